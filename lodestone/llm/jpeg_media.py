@@ -379,6 +379,8 @@ class Image:
             elif marker in (0xC0, 0xC1, 0xC3) or 0xC5 <= marker <= 0xCF and marker != 0xCC:
                 raise ValueError("not a progressive file")
             at = end
+        if data[at : at + 2] != b"\xff\xd9":
+            raise ValueError("the file ends early")
 
 
 class Intervals:
@@ -701,15 +703,15 @@ def encode_media(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-DECODED = "width int, height int, rgb binary, payload binary, feature string, error string"
-
-
 def decode_media(media: DataFrame, column: str = "media", keep: bool = True) -> DataFrame:
     """Adds width, height, rgb (the tensor's bytes), payload, feature and error.
 
     With ``keep`` False, rgb and payload become their digests (payload_sha256,
-    tail_crc32, payload_bytes) in the same pass and are not passed on.
+    tail_crc32, payload_bytes) in the same pass and are not passed on. Input
+    columns of these names are replaced.
     """
+    names = ["width", "height", "feature", "error", *(["rgb", "payload"] if keep else ["payload_bytes", "payload_sha256", "tail_crc32"])]
+    media = media.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
 
     def one(files: list[bytes | None]) -> list[tuple]:
@@ -750,7 +752,6 @@ def decode_media(media: DataFrame, column: str = "media", keep: bool = True) ->
                     ]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *columns], names=[*batch.schema.names, *names])
 
-    names = ["width", "height", "feature", "error", *(["rgb", "payload"] if keep else ["payload_bytes", "payload_sha256", "tail_crc32"])]
     extra = "width int, height int, feature string, error string, " + ("rgb binary, payload binary" if keep else "payload_bytes long, payload_sha256 string, tail_crc32 long")
     return media.mapInArrow(run, f"{fields}, {extra}")
 
