@@ -192,7 +192,8 @@ def _classes(docs: DataFrame, words: int, threshold: float, block: int, longest:
     edges = paths.repartition("path").sortWithinPartitions("path", "sig", "cls").mapInArrow(_runs(least, longest), "src binary, dst binary")
     near = connected_components(edges).withColumnRenamed("node", "cls").withColumnRenamed("component", "grp")
     near = materialise(near.join(classes.select("cls", "n", "first_row"), "cls"), "candidates")
-    texts = numbered.select(F.col("row").alias("first_row"), "text").join(near, "first_row").select("grp", "cls", "n", "text")
+    # candidates have no size bound, so they are not broadcast: one plan at every size
+    texts = numbered.select(F.col("row").alias("first_row"), "text").join(near.hint("merge"), "first_row").select("grp", "cls", "n", "text")
     units = in_units(texts, "grp", "cls", block)
     found = materialise(units.groupBy("grp", "bi", "bj").applyInArrow(_verify(words, threshold), VERIFIED), "verified")
     links = found.where(F.col("other").isNull()).groupBy("cls").agg(F.sum("links").alias("links"))
