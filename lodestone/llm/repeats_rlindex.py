@@ -132,13 +132,13 @@ def _occurrences(length: int):
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` bytes (a power of two, at least 8), equal ones by place."""
+    """Suffixes sorted by their first ``depth`` bytes (a power of two, above 8), equal ones by place."""
     n = len(text)
     bits = max(1, int(n).bit_length())
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = text
     key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     new = np.concatenate([[False], ranked[1:] != ranked[:-1]])
     rank = np.empty(n, np.int64)
@@ -205,7 +205,9 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     for side in (-1, 1):
         # heads of runs with the suffix above, tails with the suffix below
         sampled = sa[change + 1] if side < 0 else sa[change]
-        sampled = np.unique(np.concatenate([sampled, starts]))
+        is_sample = np.zeros(n, dtype=bool)
+        is_sample[sampled] = is_sample[starts] = True
+        sampled = np.flatnonzero(is_sample)
         neighbour = rank[sampled] + side
         has = (neighbour >= 0) & (neighbour < n)
         lce = np.zeros(len(sampled), np.int64)
