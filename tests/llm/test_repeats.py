@@ -92,6 +92,20 @@ def test_edit_distance_by_brute_force():
         want, most = edit(a, b), draw.randrange(40)
         got = fuzzy_lines.edit_distance(a, b, most)
         assert got == want if want <= most else got > most
+        assert fuzzy_lines.at_least(a, b) <= want <= fuzzy_lines.at_most(a, b, 10**9)
+
+
+def test_simhash_by_brute_force():
+    draw = random.Random(8)
+    lines = [" ".join(draw.choice("one two three four five six".split()) for _ in range(n)) for n in (1, 2, 7, 254, 255, 256, 511, 1300)] + [" ", "!"]
+    _, sims = fuzzy_lines.line_features(lines)
+    for line, sim in zip(lines, sims.tolist()):
+        words = fuzzy_lines.hashed_words([line])[0]
+        bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+        want = np.packbits(2 * bits.sum(axis=0) > len(words)) if len(words) else np.zeros(8, np.uint8)
+        # lanes run from the lowest bit of each byte, unpackbits from the highest
+        flipped = np.packbits(np.unpackbits(np.uint64(sim).reshape(1).view(np.uint8).reshape(8, 1), axis=1)[:, ::-1])
+        assert want.tolist() == flipped.tolist()
 
 
 @pytest.mark.parametrize("folder", FOLDERS)
