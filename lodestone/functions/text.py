@@ -129,7 +129,8 @@ def topic_score(text: Column, include: Sequence[str], exclude: Sequence[str] = (
 
 def outcome(values: Column, yes: str = "positive", no: str = "negative") -> Column:
     """1 or 0 if the values speak of ``yes`` or of ``no`` only; null if of both or neither."""
-    has_yes, has_no = (F.exists(values, lambda v, w=w: F.coalesce(F.contains(F.lower(v), F.lit(w)), F.lit(False))) for w in (yes, no))
+    has = lambda word: F.exists(values, lambda v: F.coalesce(F.contains(F.lower(v), F.lit(word)), F.lit(False)))
+    has_yes, has_no = has(yes), has(no)
     return F.when(has_yes & ~has_no, 1).when(has_no & ~has_yes, 0)
 
 

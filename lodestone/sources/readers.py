@@ -65,7 +65,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read whole by one task, as records cannot be told from within it.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("lines"))
     at = files.select("file", "lines", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4).cast("int"))).alias("k"))
     line = lambda i: F.get("lines", F.col("k") * 4 + i)
     good = line(0).startswith("@") & line(2).startswith("+") & (F.length(line(1)) == F.length(line(3)))
@@ -108,7 +108,7 @@ def blocks(spark: SparkSession, path: str, separator: str = "//") -> DataFrame:
 
 def features(spark: SparkSession, path: str, kind: str = "CDS") -> DataFrame:
     """(file, place, qualifiers map) of one kind of entry of GenBank feature tables; values may go on over lines."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     entries = files.select("file", F.explode(F.regexp_extract_all("value", F.lit(rf"(?m)^     {kind}\s+(\S[^\n]*(?:\n {{21}}[^\n]*)*)"), F.lit(1))).alias("e"))
     joined = F.regexp_replace("e", r"\s*\n\s+", " ")
     pairs = F.regexp_extract_all(joined, F.lit(r"/(\w+=\"[^\"]*\"|\w+=[^\s/]+)"), F.lit(1))
@@ -129,7 +129,7 @@ def section_titles(xml: Column) -> Column:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, modified) of all files below a folder; contents are not read."""
+    """(path, bytes, modified) of all files below a folder; contents are not read. Spark's listing leaves out empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 

@@ -113,7 +113,7 @@ def test_ranks_with_ties_and_nulls(spark):
 def test_calibration_and_fits(spark):
     few = ranking.conformal(spark.createDataFrame([(0.0, 0.5), (1.0, 0.8)], "p double, y double"), "p", "y").first()
     assert few["status"] == "small_sample_widened" and few["width"] == pytest.approx(0.75)
-    points = [("g", float(t), 2 + 3 * t + t * t) for t in range(1, 6)] + [("h", 1.0, 1.0)] * 3
+    points = [("g", float(t), 2.0 + 3 * t + t * t) for t in range(1, 6)] + [("h", 1.0, 1.0)] * 3
     fit = {r["k"]: r for r in ranking.quadratic_fit(spark.createDataFrame(points, "k string, t double, y double"), ["k"], "t", "y").collect()}
     assert [fit["g"][f"c{i}"] for i in range(3)] == pytest.approx([2, 15, 25]) and fit["h"]["c0"] is None
     assert metrics.auc(spark.createDataFrame([(0.5, 1), (0.5, 0)], "s double, y int"), [], "s", "y").first()["auc"] == 0.5
@@ -172,7 +172,9 @@ def test_sinks_never_overwrite(spark, tmp_path):
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.txt").write_text("x\n")
     (tmp_path / "files" / "b.tmp").write_text("")
-    assert {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in sinks.judged_files(readers.files(spark, str(tmp_path / "files")), [".bak"]).collect()} == {"a.txt": "keep", "b.tmp": "empty"}
+    assert [r["path"].rsplit("/", 1)[1] for r in readers.files(spark, str(tmp_path / "files"), "*.txt").collect()] == ["a.txt"]
+    listed = spark.createDataFrame([("a.txt", 2), ("b.tmp", 0), ("c.BAK", 9)], "path string, bytes long")
+    assert [r["verdict"] for r in sinks.judged_files(listed, [".bak"]).collect()] == ["keep", "empty", "bad_suffix"]
     assert sinks.inventory(spark, str(tmp_path / "files"), "*.txt").first()["lines"] == 1
 
 
