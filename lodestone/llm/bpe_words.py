@@ -2,11 +2,14 @@
 
 Encoding: tasks cut texts into pre-tokens by the tokenizer's pattern and keep,
 for a chunk of documents, the chunk's dictionary (each distinct pre-token
-once) and every document's pre-tokens as places in it. The dictionaries'
-words go through one shuffle, where each distinct word of the whole corpus is
-encoded once; the ids are joined back to the chunks' places, and documents
-are reassembled by position. A chunk ends after ``chunk_tokens`` pre-tokens
-(a longer document is a chunk of its own), so what a task holds is bounded.
+once) and every document's pre-tokens as places in it. A dictionary is dealt
+to buckets by a checksum of the word, and the buckets go through one shuffle:
+all copies of a word meet in one bucket, where each distinct word of the whole
+corpus is encoded once. The ids go back to the chunks' places by a second
+shuffle, and documents are reassembled by position. A chunk ends after
+``chunk_tokens`` pre-tokens (a longer document is a chunk of its own), and the
+number of buckets follows the shuffle partitions, so what a task holds is
+bounded. A frequent word stands once a chunk only.
 
 Decoding joins ids with the token-byte table. That table is the vocabulary:
 its size is fixed by the tokenizer (some 50,000 rows, under 1 MB) whatever the
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, materialise, ragged_take, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_SCHEMA = "chunk string, place int, word binary, doc_id {id_type}, tokens binary"
+CHUNK_SCHEMA = "chunk long, bucket int, packed binary, doc_id {id_type}"
 
 
 @lru_cache(maxsize=2)
@@ -61,43 +65,73 @@ def splitter():
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
-def _pack(places: np.ndarray) -> bytes:
+def _squeeze(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(places.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, their lowest bytes first, then the next, and so on."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _unsqueeze(packed: bytes) -> bytes:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def pack_ragged(lengths: np.ndarray, body: bytes) -> bytes:
+    """Items' lengths and their concatenation, compressed."""
+    return _squeeze(len(lengths).to_bytes(4, "little") + _planes(lengths) + body)
 
 
-def _chunks(id_type: pa.DataType, chunk_tokens: int):
-    """Rows of two kinds: a dictionary word (chunk, place, word) and a document (chunk, doc_id, tokens)."""
+def unpack_ragged(packed: bytes) -> tuple[np.ndarray, bytes]:
+    data = _unsqueeze(packed)
+    n = int.from_bytes(data[:4], "little")
+    return _numbers(data[4 : 4 + 4 * n]), data[4 + 4 * n :]
+
+
+def _chunks(id_type: pa.DataType, chunk_tokens: int, buckets: int):
+    """Rows of two kinds: a bucket of a chunk's words (chunk, bucket, packed) and a document (chunk, packed places, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
         places: dict[str, int] = {}
         ids: list = []
-        packed: list[bytes] = []
+        tokens: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal places, ids, packed, held
+            nonlocal places, ids, tokens, held
             if not ids:
                 return
-            n, m, chunk = len(places), len(ids), uuid.uuid4().hex[:16]
+            chunk = uuid.uuid4().int >> 65
+            words = [w.encode("utf-8", "replace") for w in places]
+            of = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+            order = np.argsort(of, kind="stable")
+            # places are numbered by bucket, so that the buckets in turn give the whole dictionary
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            parts = [p for p in np.split(order, cuts) if len(p)]
+            packed = []
+            for p in parts:
+                mine = [words[i] for i in p]
+                packed.append(pack_ragged(np.array([len(w) for w in mine]), b"".join(mine)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array([w.encode("utf-8", "replace") for w in places], pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.binary())],
-                names=["chunk", "place", "word", "doc_id", "tokens"],
+                [pa.array([chunk] * len(parts), pa.int64()), pa.array([int(of[p[0]]) for p in parts], pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(parts), id_type)], names=["chunk", "bucket", "packed", "doc_id"]
             )
+            m = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(ids, id_type), pa.array(packed, pa.binary())],
-                names=["chunk", "place", "word", "doc_id", "tokens"],
+                [pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int32()), pa.array([_squeeze(_planes(place[t])) for t in tokens], pa.binary()), pa.array(ids, id_type)], names=["chunk", "bucket", "packed", "doc_id"]
             )
-            places, ids, packed, held = {}, [], [], 0
+            places, ids, tokens, held = {}, [], [], 0
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -105,7 +139,7 @@ def _chunks(id_type: pa.DataType, chunk_tokens: int):
                 if held and held + len(words) > chunk_tokens:
                     yield from flush()
                 ids.append(doc_id)
-                packed.append(_pack(np.fromiter((places.setdefault(w, len(places)) for w in words), dtype=np.int64, count=len(words))))
+                tokens.append(np.fromiter((places.setdefault(w, len(places)) for w in words), dtype=np.uint32, count=len(words)))
                 held += len(words)
         yield from flush()
 
@@ -113,34 +147,44 @@ def _chunks(id_type: pa.DataType, chunk_tokens: int):
 
 
 def _encode_words(vocabulary: str):
+    """(chunk, bucket, packed ids); rows come sorted by bucket, and a word is encoded when its bucket first has it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary)._encode_single_piece
+        known: dict[bytes, tuple[int, bytes]] = {}
+        now: int | None = None
         for batch in batches:
-            ids = [np.asarray(encode(w), dtype=np.uint32).tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            out = []
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != now:
+                    now, known = bucket, {}
+                lengths, body = unpack_ragged(packed)
+                coded = []
+                at = 0
+                for n in lengths.tolist():
+                    word = body[at : at + n]
+                    at += n
+                    ids = known.get(word)
+                    if ids is None:
+                        fresh = encode(word)
+                        ids = known[word] = len(fresh), np.asarray(fresh, dtype="<u4").tobytes()
+                    coded.append(ids)
+                flat = np.frombuffer(b"".join(c[1] for c in coded), "<u4")
+                out.append(pack_ragged(np.array([c[0] for c in coded]), _planes(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "bucket", "packed"])
 
     return run
 
 
-def _binary_parts(column: pa.ChunkedArray | pa.Array, unit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column without nulls as one flat array of ``unit``-byte items and its offsets."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks)
-    array = array.cast(pa.large_binary())
-    _, offsets, data = array.buffers()
-    at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
-    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return flat[at[0] : at[-1]].view({1: np.uint8, 4: np.uint32}[unit]), (at - at[0]) // unit
-
-
 def _reassemble(id_type: pa.DataType):
     def run(key, words, docs):
-        words = words.sort_by("place")
-        flat, offsets = _binary_parts(words.column("ids"), 4) if words.num_rows else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        parts = [unpack_ragged(p) for p in words.sort_by("bucket").column("packed").to_pylist()]
+        lengths = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        flat = np.concatenate([_numbers(p[1]) for p in parts]).astype(np.uint32) if parts else np.zeros(0, np.uint32)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
         out = []
-        for packed in docs.column("tokens").to_pylist():
-            ids, _ = ragged_take(flat, offsets, _unpack(packed))
+        for packed in docs.column("packed").to_pylist():
+            ids, _ = ragged_take(flat, offsets, _numbers(_unsqueeze(packed)))
             out.append(ids.astype("<u4").tobytes())
         return pa.table([docs.column("doc_id").cast(id_type), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
@@ -153,13 +197,13 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_tokens
     id_type = pa.int64() if field.dataType.simpleString() == "bigint" else pa.int32() if field.dataType.simpleString() == "int" else pa.string()
     id_name = {pa.int64(): "bigint", pa.int32(): "int"}.get(id_type, "string")
     docs = docs.select(F.col("doc_id").cast(id_name).alias("doc_id"), "text")
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # chunk names are drawn anew by a rerun of a task, so the chunks are written before two plans read them
-    chunks = materialise(docs.mapInArrow(_chunks(id_type, chunk_tokens), CHUNK_SCHEMA.format(id_type=id_name)), "bpe-chunks")
-    words = chunks.where(F.col("place").isNotNull()).select("chunk", "place", "word")
-    coded = words.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word binary, ids binary")
-    placed = words.join(coded, "word").select("chunk", "place", "ids")
-    texts = chunks.where(F.col("place").isNull()).select(F.col("chunk").alias("of_chunk"), "doc_id", "tokens")
-    return placed.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(_reassemble(id_type), f"doc_id {id_name}, ids binary")
+    chunks = materialise(docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets), CHUNK_SCHEMA.format(id_type=id_name)), "bpe-chunks")
+    words = chunks.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "packed")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "chunk long, bucket int, packed binary")
+    texts = chunks.where(F.col("bucket").isNull()).select(F.col("chunk").alias("of_chunk"), "doc_id", "packed")
+    return coded.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(_reassemble(id_type), f"doc_id {id_name}, ids binary")
 
 
 class TokenBytes:
