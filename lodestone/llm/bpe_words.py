@@ -25,21 +25,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, ragged_take, read_table
+from .common import by_bytes, ragged_take, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_SCHEMA = "chunk long, bucket int, packed binary, doc_id {id_type}"
-
 
 @lru_cache(maxsize=2)
 def load_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -97,49 +95,47 @@ def unpack_ragged(packed: bytes) -> tuple[np.ndarray, bytes]:
     return _numbers(data[4 : 4 + 4 * n]), data[4 + 4 * n :]
 
 
-def _chunks(id_type: pa.DataType, chunk_tokens: int, buckets: int):
-    """Rows of two kinds: a bucket of a chunk's words (chunk, bucket, packed) and a document (chunk, packed places, doc_id)."""
+def _chunks(id_type: pa.DataType, chunk_tokens: int, buckets: int, dictionary: bool):
+    """Either the dictionaries, rows (chunk, bucket, packed words), or the documents, rows (chunk, doc_id, packed places).
+
+    Chunks are named by the task's partition and a counter and cut by the
+    texts alone, so both readings, and reruns of a task, agree on them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
+        chunk = TaskContext.get().partitionId() << 32
         places: dict[str, int] = {}
         ids: list = []
         tokens: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal places, ids, tokens, held
-            if not ids:
-                return
-            chunk = uuid.uuid4().int >> 65
+            nonlocal chunk, places, ids, tokens, held
             words = [w.encode("utf-8", "replace") for w in places]
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
             order = np.argsort(of, kind="stable")
-            # places are numbered by bucket, so that the buckets in turn give the whole dictionary
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            cuts = np.flatnonzero(np.diff(of[order])) + 1
-            parts = [p for p in np.split(order, cuts) if len(p)]
-            packed = []
-            for p in parts:
-                mine = [words[i] for i in p]
-                packed.append(pack_ragged(np.array([len(w) for w in mine]), b"".join(mine)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(parts), pa.int64()), pa.array([int(of[p[0]]) for p in parts], pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(parts), id_type)], names=["chunk", "bucket", "packed", "doc_id"]
-            )
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int32()), pa.array([_squeeze(_planes(place[t])) for t in tokens], pa.binary()), pa.array(ids, id_type)], names=["chunk", "bucket", "packed", "doc_id"]
-            )
-            places, ids, tokens, held = {}, [], [], 0
+            if dictionary and words:
+                parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+                packed = [pack_ragged(np.array([len(words[i]) for i in p]), b"".join([words[i] for i in p])) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(parts), pa.int64()), pa.array([int(of[p[0]]) for p in parts], pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "bucket", "packed"])
+            elif not dictionary and ids:
+                # places are numbered by bucket, so that the buckets in turn give the whole dictionary
+                place = np.empty(len(words), np.int64)
+                place[order] = np.arange(len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), pa.int64()), pa.array(ids, id_type), pa.array([_squeeze(_planes(place[t])) for t in tokens], pa.binary())], names=["of_chunk", "doc_id", "packed"])
+            places, ids, tokens, held, chunk = {}, [], [], 0, chunk + 1
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = split(text or "")
                 if held and held + len(words) > chunk_tokens:
                     yield from flush()
-                ids.append(doc_id)
-                tokens.append(np.fromiter((places.setdefault(w, len(places)) for w in words), dtype=np.uint32, count=len(words)))
+                for w in dict.fromkeys(words):
+                    places.setdefault(w, len(places))
+                if not dictionary:
+                    ids.append(doc_id)
+                    tokens.append(np.fromiter(map(places.__getitem__, words), dtype=np.uint32, count=len(words)))
                 held += len(words)
         yield from flush()
 
@@ -191,18 +187,20 @@ def _reassemble(id_type: pa.DataType):
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_tokens: int = 4_000_000) -> DataFrame:
-    """(doc_id, ids) for every row of ``docs`` (needs doc_id and text); ids: little-endian 32-bit token ids."""
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_tokens: int = 1_000_000) -> DataFrame:
+    """(doc_id, ids) for every row of ``docs`` (needs doc_id and text); ids: little-endian 32-bit token ids.
+
+    ``docs`` is read twice and must give the same rows in the same partitions
+    each time: a file scan or a written table.
+    """
     field = docs.schema["doc_id"]
     id_type = pa.int64() if field.dataType.simpleString() == "bigint" else pa.int32() if field.dataType.simpleString() == "int" else pa.string()
     id_name = {pa.int64(): "bigint", pa.int32(): "int"}.get(id_type, "string")
     docs = docs.select(F.col("doc_id").cast(id_name).alias("doc_id"), "text")
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # chunk names are drawn anew by a rerun of a task, so the chunks are written before two plans read them
-    chunks = materialise(docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets), CHUNK_SCHEMA.format(id_type=id_name)), "bpe-chunks")
-    words = chunks.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "packed")
+    words = docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets, True), "chunk long, bucket int, packed binary")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "chunk long, bucket int, packed binary")
-    texts = chunks.where(F.col("bucket").isNull()).select(F.col("chunk").alias("of_chunk"), "doc_id", "packed")
+    texts = docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets, False), f"of_chunk long, doc_id {id_name}, packed binary")
     return coded.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(_reassemble(id_type), f"doc_id {id_name}, ids binary")
 
 
