@@ -30,12 +30,17 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     A word is a run of ASCII letters and digits or of non-ASCII characters,
     after lower-casing.
     """
+    return measured_words(texts)[:2]
+
+
+def measured_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hashed_words`` and the number of characters of each word."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
     word = IS_WORD[data]
     starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.flatnonzero(word[:-1] & ~word[1:]) + 1
     at = np.flatnonzero(word)
     lengths = ends - starts
@@ -44,7 +49,8 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     hashes = mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
     bounds = np.cumsum([len(r) + 1 for r in raw])
-    return hashes, np.searchsorted(bounds, starts - 1, side="right")
+    chars = np.add.reduceat(((data[at] & 0xC0) != 0x80).astype(np.int64), first)
+    return hashes, np.searchsorted(bounds, starts - 1, side="right"), chars
 
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:

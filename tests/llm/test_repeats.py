@@ -143,6 +143,63 @@ def test_lines_keep_one_occurrence_of_each_group(spark, request, folder):
     assert sum(gone.values()) > 0
 
 
+def test_lines_by_edit_similarity_alone(spark, small_tables):
+    """The operator finds what brute force over all pairs finds, whatever the SimHashes."""
+    frame = fuzzy_lines.with_row_id(spark.read.parquet(f"{small_tables}/documents.parquet"), "row_")
+    rows = sorted((r["row_"], r["doc_id"], r["text"]) for r in frame.collect() if r["text"] is not None)
+    normals = [fuzzy_lines.normal(line) for _, _, text in rows for line in text.split("\n")]
+    first: dict[str, int] = {}
+    for k, line in enumerate(normals):
+        if line:
+            first.setdefault(line, k)
+    distinct = sorted(first, key=len)
+    parent = {x: x for x in distinct}
+    length = np.array([len(x) for x in distinct])
+    letters = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64) for x in distinct])
+    far = 0
+    for i, x in enumerate(distinct):
+        most = int(0.2 * len(x) + 1e-9)
+        start = np.searchsorted(length, 0.8 * len(x) - 1e-9)
+        more = letters[start:i] - letters[i]
+        apart = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        for j in (start + np.flatnonzero(apart <= most)).tolist():
+            y = distinct[j]
+            if fuzzy_lines.edit_distance(x, y, most) <= most:
+                sims = fuzzy_lines.line_features([x, y])[1]
+                far += int(np.bitwise_count(sims[0] ^ sims[1])) > fuzzy_lines.BITS
+                a, b = find(parent, x), find(parent, y)
+                if a != b:
+                    parent[max(a, b, key=first.get)] = min(a, b, key=first.get)
+    want, k = Counter(), 0
+    for _, doc_id, text in rows:
+        n = len(text.split("\n"))
+        want[doc_id] += sum(bool(x) and first[find(parent, x)] != k + i for i, x in enumerate(normals[k : k + n]))
+        k += n
+    got = Counter()
+    for r in fuzzy_lines.op4_fuzzy_lines(spark, small_tables).collect():
+        got[r["doc_id"]] += r["n_removed"]
+    assert +got == +want
+    assert far > 0
+
+
+def test_one_changed_word_is_always_found(spark, tmp_path):
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for n in [3, 4, 5, 6, 7, 8, 9, 10, 12, 20, 30, 50, 100] * 8:
+        line = [word(12), *(word(draw.randrange(5, 9)) for _ in range(n - 1))]
+        at = draw.randrange(1, n)
+        other = [*line]
+        other[at] = word(2) + other[at][2:] if n < 8 else word(len(other[at]))
+        texts += [" ".join(line), " ".join(other)]
+    for line in ("abcdef", "abcde fghijk", "ab cdefgh ij"):
+        texts += [line, line[:2] + "x" + line[3:]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    links = {(i, i + 1) for i in range(0, len(texts), 2) if fuzzy_lines.similar(texts[i], texts[i + 1], 0.8)}
+    got = {r["doc_id"] for r in fuzzy_lines.op4_fuzzy_lines(spark, str(tmp_path)).collect() if r["n_removed"]}
+    assert got == {j for _, j in links} and len(links) > 90
+
+
 def test_lines_in_small_blocks(spark, odd_folder):
     docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
     whole = Counter((r["row"], tuple(sorted(r["gone"]))) for r in fuzzy_lines.find_repeated_lines(docs).collect())
