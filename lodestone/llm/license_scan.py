@@ -7,9 +7,10 @@ IDF) word of every mandatory key phrase. A file's licence words are looked up
 from the rarest on; each hit fixes a relative position (file place less
 template place), the postings of the template's other words are intersected
 at that relative position, and the template counts where all its mandatory
-phrases stand there word for word and at least ``min_weight`` of its IDF
-weight is matched. A file that holds a template's mandatory phrases at their
-places is always found: they contain the looked-up words.
+phrases stand there word for word. A file that holds a template's mandatory
+phrases at their places is always found: they contain the looked-up words.
+The share of the template's IDF weight that is matched there is the score
+only, so labels do not depend on the corpus.
 
 The four base phrases are found the same way, as templates that are one
 mandatory phrase each.
@@ -76,8 +77,7 @@ def licence_words() -> list[str]:
 class Index:
     """Templates entered under the rarest word of each mandatory phrase."""
 
-    def __init__(self, df: dict[str, int], n_docs: int, min_weight: float):
-        self.min_weight = min_weight
+    def __init__(self, df: dict[str, int], n_docs: int):
         self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1 for w in licence_words()}
         self.base = self._enter([(label, text.split(), [(0, text.split())]) for text, label in BASE])
         entries = []
@@ -124,8 +124,7 @@ class Index:
                     zero = p - offset
                     if self._stands(words, zero, phrases):
                         share = sum(self.idf[w] for j, w in enumerate(template) if 0 <= zero + j < len(words) and words[zero + j] == w) / total
-                        if share >= self.min_weight:
-                            found[label] = max(found.get(label, 0.0), share)
+                        found[label] = max(found.get(label, 0.0), share)
         return starts, labels, found
 
     @staticmethod
@@ -145,11 +144,11 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows]), pa.array([c for _, c in rows], pa.int64())], names=["word", "n"])
 
 
-def build_index(docs: DataFrame, min_weight: float = 0.5) -> Index:
+def build_index(docs: DataFrame) -> Index:
     """Counts over all documents; what reaches the driver is one number per licence word."""
     counts = docs.select("text").mapInArrow(_present, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     df = {r["word"]: r["n"] for r in counts.collect()}
-    return Index(df, df.pop("", 0), min_weight)
+    return Index(df, df.pop("", 0))
 
 
 def scan_licences(docs: DataFrame, index: Index) -> DataFrame:

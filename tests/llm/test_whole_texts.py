@@ -218,6 +218,19 @@ def test_licences_stand_where_brute_force_finds_them(spark, documents, request,
                 assert all(label in r["labels"].split(",") for r in got if r["doc_id"] == d["doc_id"] and r["n_words"] == len(words))
 
 
+@pytest.mark.parametrize("df", [{}, dict.fromkeys(license_scan.licence_words(), 900), {"license": 5, "licensed": 5, "software": 5, "mozilla": 999, "unencumbered": 999, "mit": 999}])
+def test_mandatory_phrases_alone_give_the_label(df):
+    index = license_scan.Index(dict(df), 1000)
+    for label, wording, phrases in license_scan.TEMPLATES:
+        words = wording.split()
+        needed = {i for p in (x.split() for x in phrases) for i in range(len(words)) if words[i : i + len(p)] == p for i in range(i, i + len(p))}
+        for other in ("other", None):
+            text = [w if i in needed else other for i, w in enumerate(words)]
+            text = [w for w in text if w] if other is None and needed == set(range(min(needed), max(needed) + 1)) else [w or "other" for w in text]
+            assert label in index.scan(["before", *text, "after"])[2], label
+            assert label in index.scan(text)[2], label
+
+
 @pytest.mark.parametrize("folder", FOLDERS)
 def test_bpe_equals_the_library(spark, documents, request, folder):
     path = request.getfixturevalue(folder)
