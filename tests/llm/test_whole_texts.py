@@ -264,6 +264,16 @@ def test_language_odd_cases(spark, documents, odd_folder):
     assert got == Counter((d["doc_id"], not any(c.isalpha() for c in d["text"] or "")) for d in docs)
 
 
+def test_language_stage_rejects_what_no_language_holds(spark, small_tables):
+    draw = np.random.default_rng(4)
+    foreign = ["Это предложение написано на русском языке", "これは日本語の文章です", "ελληνικά γράμματα εδώ", "هذا نص باللغة العربية"]
+    random_letters = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz" * 4 + " " * 16), n)) for n in (100, 400, 2000) for _ in range(5)]
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate([*foreign, *random_letters, "", "12 34", None])], "doc_id long, text string, lang string")
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text", "lang")
+    got = Counter(r["doc_id"] for r in language_id.stage_language(spark, docs.unionByName(planted), small_tables).collect())
+    assert got == Counter(r["doc_id"] for r in docs.collect())
+
+
 def test_language_trigram_counts_by_brute_force():
     texts = ["Ab c1de", "", "é", "xyz xyz"]
     packed, owner, n_letters = language_id.trigrams(texts)
