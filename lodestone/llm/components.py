@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
 
     Alternates large-star and small-star steps until the edges no longer
     change: every round is joins and aggregates over the edges, and is written
-    to the shared folder. Rounds grow with the logarithm of a component's size.
+    to the shared folder. Rounds grow with the logarithm of a component's size;
+    it is an error if ``rounds`` do not suffice.
     Loops, repeated edges and edges with a null end change nothing.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u") != F.col("v"))
@@ -38,6 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         before, now = now, state(e)
         if now == before:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 

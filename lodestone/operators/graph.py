@@ -67,7 +67,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round joins the labels with the edges, takes the smallest label around
     and follows labels to their own label, so rounds grow with the logarithm
-    of the distance. Labels are checkpointed into the cluster's shared folder.
+    of the distance; it is an error if ``rounds`` do not suffice. Labels are checkpointed into the cluster's shared folder.
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -86,8 +86,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = near.join(jump, "component").select("node", "_old", F.least("component", "_next").alias("component")).checkpoint()
         labels = moved.select("node", "component")
         if moved.where(F.col("_old") != F.col("component")).isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def betweenness(edges: DataFrame) -> DataFrame:

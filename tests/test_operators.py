@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numeric as N
 from lodestone.functions import text as T
+from lodestone.llm import components as llm_components
 from lodestone.operators import dedup, evidence, graph, metrics, ranking, splits, validate
+from lodestone.plans import catalogue, records, registry
 from lodestone.sources import readers, sinks
 from lodestone.streaming import events as stream
 
@@ -96,6 +98,28 @@ def test_graphs(spark):
     assert graph.leaders(pairs, ["x", "y", "z"], 0.8) == {"x": "x", "y": "x", "z": "z"}
 
 
+def test_components_of_a_long_path_and_a_large_star(spark, small_tables):
+    path = [(i + 1, i) for i in range(300)]
+    star = [(1000, 1000 + i) for i in range(1, 400)]
+    edges = spark.createDataFrame(path + star + [(5000, 5000), (None, 7)], "src long, dst long")
+    got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1400)} | {5000: 5000}
+    for run in (graph.components, llm_components.connected_components):
+        with pytest.raises(RuntimeError):
+            run(edges, rounds=1)
+    parent: dict = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for e in records.customer_edges(catalogue.Tables(spark, small_tables)).collect():
+        a, b = top(e["src"]), top(e["dst"])
+        parent[max(a, b)] = min(a, b)
+    assert {(r["node"], r["component"]) for r in registry.QUERIES["order_components"](spark, small_tables).collect()} == {(x, top(x)) for x in [*parent]}
+
+
 def test_tiers(spark):
     rows = spark.createDataFrame([("a", 0.8, 0.8, 2, None), ("b", 0.4, 0.4, 3, None), ("c", 0.9, 0.9, 3, 0.81), ("d", None, 0.5, 2, None), ("e", 0.8, 0.8, None, None)], "id string, x double, y double, n int, v double")
     got = {r["id"]: r["tier"] for r in ranking.tiers(rows, "x", "y", "n", "v", 0.5, 0.5, 0.8).collect()}
