@@ -120,6 +120,17 @@ def test_components_of_a_long_path_and_a_large_star(spark, small_tables):
     assert {(r["node"], r["component"]) for r in registry.QUERIES["order_components"](spark, small_tables).collect()} == {(x, top(x)) for x in [*parent]}
 
 
+def test_position_profile_has_every_position(spark, small_tables):
+    places: dict = {}
+    for r in spark.read.parquet(f"{small_tables}/documents.parquet").select("text").collect():
+        for i, c in enumerate(r["text"] or ""):
+            counts = places.setdefault(i, {})
+            counts[c] = counts.get(c, 0) + 1
+    want = {i: (sum(n.values()), min(n, key=lambda c: (-n[c], c)), round(max(n.values()) / sum(n.values()), 9), round(n.get("-", 0) / sum(n.values()), 9)) for i, n in places.items()}
+    assert {r[0]: tuple(r[1:]) for r in registry.QUERIES["whole_position_profile"](spark, small_tables).collect()} == want
+    assert len(want) > 200
+
+
 def test_tiers(spark):
     rows = spark.createDataFrame([("a", 0.8, 0.8, 2, None), ("b", 0.4, 0.4, 3, None), ("c", 0.9, 0.9, 3, 0.81), ("d", None, 0.5, 2, None), ("e", 0.8, 0.8, None, None)], "id string, x double, y double, n int, v double")
     got = {r["id"]: r["tier"] for r in ranking.tiers(rows, "x", "y", "n", "v", 0.5, 0.5, 0.8).collect()}
