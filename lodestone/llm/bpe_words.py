@@ -13,7 +13,7 @@ bounded. A frequent word stands once a chunk only.
 
 Decoding joins ids with the token-byte table. That table is the vocabulary:
 its size is fixed by the tokenizer (some 50,000 rows, under 1 MB) whatever the
-input, so it is broadcast.
+input, so every worker loads it once from the vocabulary file, as encoding does.
 
 Defined cases: null text counts as empty; an empty text has no ids and decodes
 to no bytes; every input row gives one row, repeated rows and repeated or null
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, ragged_take, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+CHUNK_TOKENS = 500_000
+
 
 @lru_cache(maxsize=2)
 def load_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -172,27 +174,30 @@ def _encode_words(vocabulary: str):
     return run
 
 
-def _reassemble(id_type: pa.DataType):
+def _documents(id_type: pa.DataType, vocabulary: str, digest: bool):
+    """The documents of a chunk by position: their ids, or the checksums of decimal ids and decoded bytes."""
+
     def run(key, words, docs):
         parts = [unpack_ragged(p) for p in words.sort_by("bucket").column("packed").to_pylist()]
         lengths = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        flat = np.concatenate([_numbers(p[1]) for p in parts]).astype(np.uint32) if parts else np.zeros(0, np.uint32)
+        flat = np.concatenate([_numbers(p[1]).astype(np.uint32) for p in parts]) if parts else np.zeros(0, np.uint32)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         out = []
-        for packed in docs.column("packed").to_pylist():
-            ids, _ = ragged_take(flat, offsets, _numbers(_unsqueeze(packed)))
-            out.append(ids.astype("<u4").tobytes())
-        return pa.table([docs.column("doc_id").cast(id_type), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        for packed in docs.column("packed"):
+            ids, _ = ragged_take(flat, offsets, _numbers(_unsqueeze(packed.as_py())))
+            out.append(digests(ids, vocabulary) if digest else ids.astype("<u4").tobytes())
+        names = docs.column("doc_id").cast(id_type)
+        if not digest:
+            return pa.table([names, pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        return pa.table([names, *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_tokens: int = 1_000_000) -> DataFrame:
-    """(doc_id, ids) for every row of ``docs`` (needs doc_id and text); ids: little-endian 32-bit token ids.
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
-    ``docs`` is read twice and must give the same rows in the same partitions
-    each time: a file scan or a written table.
-    """
+
+def _encoded(docs: DataFrame, vocabulary: str, chunk_tokens: int, digest: bool) -> DataFrame:
     field = docs.schema["doc_id"]
     id_type = pa.int64() if field.dataType.simpleString() == "bigint" else pa.int32() if field.dataType.simpleString() == "int" else pa.string()
     id_name = {pa.int64(): "bigint", pa.int32(): "int"}.get(id_type, "string")
@@ -201,7 +206,26 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_tokens
     words = docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets, True), "chunk long, bucket int, packed binary")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "chunk long, bucket int, packed binary")
     texts = docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets, False), f"of_chunk long, doc_id {id_name}, packed binary")
-    return coded.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(_reassemble(id_type), f"doc_id {id_name}, ids binary")
+    return coded.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(_documents(id_type, vocabulary, digest), f"doc_id {id_name}, {DIGESTS if digest else 'ids binary'}")
+
+
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """(doc_id, ids) for every row of ``docs`` (needs doc_id and text); ids: little-endian 32-bit token ids.
+
+    ``docs`` is read twice and must give the same rows in the same partitions
+    each time: a file scan or a written table.
+    """
+    return _encoded(docs, vocabulary, chunk_tokens, False)
+
+
+def digest_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """doc_id, n_tokens and the checksums of the decimal ids and of the bytes decoded from them, for every row of ``docs``.
+
+    The work of ``encode_documents`` and ``decode_documents``; the function
+    that reassembles a document by position also decodes it and takes the
+    checksums, so that ids and bytes never leave the Python worker.
+    """
+    return _encoded(docs, vocabulary, chunk_tokens, True)
 
 
 class TokenBytes:
@@ -226,39 +250,38 @@ class TokenBytes:
         return ragged_take(self.digits, self.digit_at, ids)[0].tobytes()[:-1]
 
 
+@lru_cache(maxsize=2)
+def token_bytes(vocabulary: str) -> TokenBytes:
+    """One token-byte table a worker."""
+    return TokenBytes(load_ranks(vocabulary))
+
+
+def digests(ids: np.ndarray, vocabulary: str) -> tuple[int, str, str]:
+    """Number of ids, and the checksums of the decimal ids and of the decoded bytes."""
+    table = token_bytes(vocabulary)
+    ids = ids.astype(np.int64)
+    return len(ids), hashlib.sha256(table.decimal(ids)).hexdigest(), hashlib.sha256(table.decode(ids)).hexdigest()
+
+
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Adds ``decoded`` (binary) to a frame with ``ids``, by joining each id with the token-byte table."""
-    table = encoded.sparkSession.sparkContext.broadcast(TokenBytes(load_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(vocabulary)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             for a, b in by_bytes((len(x) for x in ids), 8_000_000):
-                decoded = [table.value.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids[a:b]]
+                decoded = [table.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids[a:b]]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def digest_documents(decoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens and the checksums of the decimal ids and of the decoded bytes."""
-    table = decoded.sparkSession.sparkContext.broadcast(TokenBytes(load_ranks(vocabulary)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            sums = [hashlib.sha256(table.value.decimal(np.frombuffer(x, "<u4").astype(np.int64))).hexdigest() for x in ids]
-            texts = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
 def op5_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_documents(decode_documents(encode_documents(read_table(spark, sf_dir, "documents"))))
+    return digest_documents(read_table(spark, sf_dir, "documents"))
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digest_documents(decode_documents(encode_documents(docs)))
+    """What ``digest_documents`` gives for every row of ``docs``: null text has no tokens, repeated rows give repeated results, extra columns of any name are ignored, an empty table gives no rows."""
+    return digest_documents(docs)
