@@ -50,6 +50,11 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def packed_rows(df: DataFrame, name: str = "doc") -> DataFrame:
+    """Every row as one struct, so that columns beside it cannot clash with the row's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
 def by_bytes(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Slices [a, b) of consecutive items with about ``most`` bytes each; at least one item."""
     a = total = seen = 0
