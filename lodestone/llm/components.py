@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -49,9 +50,9 @@ def forest(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list[
     left = np.arange(n)
     out: list[tuple[int, int]] = []
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        queue, left = deque([int(left[0])]), left[1:]
         while queue and len(left):
-            i = queue.pop()
+            i = queue.popleft()
             near = neighbours(i, left)
             found = left[near]
             left = left[~near]

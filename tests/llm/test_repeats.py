@@ -12,7 +12,7 @@ import pytest
 
 from lodestone.llm import chat_preference, fuzzy_lines, jaccard_forest, repeats_rlindex, topk_fagin
 from lodestone.llm.components import connected_components
-from lodestone.llm.shingles import hashed_words
+from lodestone.llm.shingles import STEP, hashed_words, mix
 
 FOLDERS = ["odd_folder", "small_tables"]
 
@@ -102,6 +102,7 @@ def test_simhash_by_brute_force():
     sims = fuzzy_lines.line_features(lines).sims
     for line, sim in zip(lines, sims.tolist()):
         words = hashed_words([line])[0]
+        words = np.array([mix(a * STEP + b) for a, b in zip(words[:-1], words[1:])], np.uint64) if len(words) > 1 else words
         bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
         want = np.packbits(2 * bits.sum(axis=0) > len(words)) if len(words) else np.zeros(8, np.uint8)
         # lanes run from the lowest bit of each byte, unpackbits from the highest
@@ -210,10 +211,55 @@ def test_long_repeats_are_cut_out(spark, documents, request, folder):
     path = request.getfixturevalue(folder)
     docs = documents(path)
     raws = [(d["text"] or "").encode() for d in docs]
-    want = Counter((d["doc_id"], len(t), n, s, hashlib.sha256(k).hexdigest()) for d, t, (n, s, k) in zip(docs, raws, removed_by_hand(raws, 400)))
+    want = Counter((d["doc_id"], len(t), n, s, hashlib.sha256(k).hexdigest(), len(k)) for d, t, (n, s, k) in zip(docs, raws, removed_by_hand(raws, 400)))
     assert Counter(tuple(r) for r in repeats_rlindex.op9_repeats_rlindex(spark, path).collect()) == want
 
 
+def test_run_index_keeps_runs_and_their_ends():
+    text = np.frombuffer(b"abracadabra" * 40 + bytes([repeats_rlindex.SEPARATOR]), np.uint8)
+    index = repeats_rlindex.RunIndex(text, np.array([0]), 512)
+    order = sorted(range(len(text)), key=lambda i: text[i:].tobytes())
+    column = [int(text[i - 1]) for i in order]
+    runs = [(c, k) for k, c in enumerate(column) if k == 0 or column[k - 1] != c]
+    assert [(int(a), int(b)) for a, b in zip(index.heads, index.starts)] == runs
+    assert all(len(place) <= len(runs) + 1 for place, _ in index.samples) and len(runs) < len(text) / 10
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(text[a:], text[b:])) if x != y), min(len(text) - a, len(text) - b))
+    want = [max(shared(order[k], order[k + d]) for d in (-1, 1) if 0 <= k + d < len(order)) for k in np.argsort(order)]
+    assert index.statistics().tolist() == want
+
+
+@pytest.mark.parametrize("name", ["op8_jaccard_forest", "op9_repeats_rlindex"])
+def test_query_equals_its_sql(spark, small_tables, name):
+    import duckdb
+
+    from lodestone.llm import registry
+
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small_tables}/documents.parquet')")
+    cursor = base.execute(registry.SQL[name])
+    names = [c[0] for c in cursor.description]
+    assert Counter(tuple(r) for r in registry.QUERIES[name](spark, small_tables).select(*names).collect()) == Counter(cursor.fetchall())
+
+
+def test_forest_shortens_prefixes_until_the_recall_is_met(spark):
+    draw = np.random.default_rng(4)
+    rest, sample = np.sort(draw.integers(0, 2, 60, dtype=np.uint64) << np.uint64(48) | draw.integers(0, 3, 60, dtype=np.uint64)), np.zeros((60, 64), np.uint8)
+    joins = jaccard_forest.descend(rest, sample, 40, 4)
+    parent = {i: i for i in range(60)}
+    for i, j, d, k in joins:
+        prefix = lambda x: int(rest[x]) >> 16 * (8 - d)
+        assert prefix(i) == prefix(j) and k == 64
+        assert find(parent, i) != find(parent, j)
+        parent[find(parent, i)] = find(parent, j)
+    # a spanning forest at every prefix length: rows equal in d values hang together by joins of d values or more
+    assert len(joins) == 59 and sum(d == 8 for *_, d, _ in joins) == 60 - len(set(rest.tolist())) and sum(d == 4 for *_, d, _ in joins) == 1
+    rows = [(i, i + 1, 8 if i % 10 else 5, 60) for i in range(0, 4000, 2)] + [(9000 + i, 9500 + i, 4, 60) for i in range(20)]
+    frame = spark.createDataFrame(rows, "src long, dst long, depth int, agree int")
+    assert jaccard_forest.enough(frame, 0.8, 4, 0.75) == 8 and jaccard_forest.enough(frame, 0.8, 4, 0.95) == 5 and jaccard_forest.enough(frame, 0.8, 4, 0.999) == 4
+    assert jaccard_forest.enough(frame.limit(0), 0.8, 4) == 4
+    assert jaccard_forest.shortest(0.8) == 4 and jaccard_forest.recall(4) > 0.9995
+
+
 @pytest.mark.parametrize("hot,block", [(2000, 1_000_000), (1, 2000), (3, 300)])
 def test_short_repeats_whatever_the_blocks(spark, tmp_path, hot, block):
     draw = random.Random(hot)
