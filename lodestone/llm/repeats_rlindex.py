@@ -12,16 +12,21 @@ If all segments of an anchor are equal, or a segment occurs twice, all its
 windows are repeated.
 
 Index. What is left, the distinct segments of anchors with several, is
-brought together by anchor in blocks of bounded size. For each block a suffix
-array gives the run-compressed Burrows-Wheeler transform; only at the ends of
-its runs (and at segment starts) are suffixes compared with their neighbour
-in suffix order, and these samples are streamed over the text: between samples
-the matching statistic with the neighbour falls by one a byte. Windows whose
-statistic reaches ``length`` are marked.
+brought together by anchor in blocks of bounded size. Each block becomes a
+run-length index (``RunIndex``): the Burrows-Wheeler transform as runs, and at
+both ends of every run the suffix's place and its match with the neighbour in
+suffix order. The matching statistics of the block's text are streamed from
+these samples: between samples the match with the neighbour falls by one a
+byte. Windows whose statistic reaches ``length`` are marked.
+
+Segments are told apart by 128-bit hashes (XXH3), which is the only place where
+a hash stands for bytes: 10^14 segments hold two unequal ones of equal hash
+with a probability of about 10^-11.
 
 An anchor with more than ``hot`` distinct segments would not fit a block. Its
-windows are hashed one by one instead and counted by a shuffle with partial
-sums, so a passage that a third of all documents share is spread evenly.
+segments are cut down to single windows, which are counted as segments are, by
+a shuffle with partial sums; so a passage that a third of all documents share
+is spread evenly, and the result is the same on either way (tested).
 
 Defined cases: null text counts as empty; texts below ``length`` bytes lose
 nothing; matches never cross documents, and overlapping occurrences within a
@@ -33,7 +38,7 @@ written table, as texts are read more than once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +58,11 @@ def raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def digests(data: memoryview, spans: Iterable[tuple[int, int]]) -> np.ndarray:
+    """128-bit hashes of (start, size) pieces, as two columns."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[s : s + n]) for s, n in spans]), "<i8").reshape(-1, 2)
+
+
 def within(h: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """How often each anchor's hash stands at the places low..high-1."""
     seen = np.zeros(1 << 22, dtype=bool)
@@ -121,11 +131,11 @@ def _occurrences(length: int):
                     continue
                 of = np.searchsorted(ends, first, side="right")
                 view = memoryview(joined)
-                seg = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + n + length - 1]) for s, n in zip(first.tolist(), count.tolist())), dtype=np.uint64, count=len(first))
+                seg = digests(view, zip(first.tolist(), (count + length - 1).tolist()))
                 begin = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(rows[a:b][of]), pa.array((first - begin[of]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inner)],
-                    names=["anchor", "seg", "row", "at", "n", "inner"],
+                    [pa.array(anchor.view(np.int64)), *(pa.array(seg[:, i]) for i in (0, 1)), pa.array(rows[a:b][of]), pa.array((first - begin[of]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inner)],
+                    names=["anchor", "seg", "seg2", "row", "at", "n", "inner"],
                 )
 
     return run
@@ -181,41 +191,59 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
     return np.minimum(np.minimum(out, limit), most)
 
 
-def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each part, which of its windows of ``length`` bytes start anywhere else in the parts.
+class RunIndex:
+    """A run-compressed Burrows-Wheeler transform with sampled run ends.
 
-    By matching statistics sampled at the ends of the runs of the
-    Burrows-Wheeler transform of all parts.
+    ``heads`` and ``starts`` are the runs (byte, first place in suffix order).
+    ``samples`` holds for either neighbour in suffix order (above at the first
+    row of every run, below at its last, and both at the starts of the parts)
+    the places of the sampled suffixes, in text order, and how many bytes they
+    share with that neighbour. All have a size in proportion to the number of
+    runs; the suffix array that they are read from is not kept.
     """
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, depth: int):
+        self.n = len(text)
+        order = suffix_array(text, depth)
+        rank = np.empty(self.n, np.int64)
+        rank[order] = np.arange(self.n)
+        last_column = text[order - 1]
+        change = np.flatnonzero(last_column[1:] != last_column[:-1])
+        self.starts = np.concatenate([[0], change + 1])
+        self.heads = last_column[self.starts]
+        self.samples = [self._sampled(text, order, rank, rows, starts, side, depth) for side, rows in ((-1, change + 1), (1, change))]
+
+    @staticmethod
+    def _sampled(text: np.ndarray, order: np.ndarray, rank: np.ndarray, rows: np.ndarray, starts: np.ndarray, side: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.zeros(len(text), dtype=bool)
+        mask[order[rows]] = mask[starts] = True
+        place = np.flatnonzero(mask)
+        neighbour = rank[place] + side
+        has = (neighbour >= 0) & (neighbour < len(text))
+        shared = np.zeros(len(place), np.int64)
+        shared[has] = common_prefix(text, place[has], order[neighbour[has]], depth)
+        return place, shared
+
+    def statistics(self) -> np.ndarray:
+        """For each place of the text, how many bytes it shares with its nearer neighbour in suffix order, streamed from the samples."""
+        out = np.zeros(self.n, np.int64)
+        for place, shared in self.samples:
+            # the text starts with a part, so the first sample is at place 0
+            last = np.repeat(np.arange(len(place)), np.diff(np.append(place, self.n)))
+            np.maximum(out, shared[last] - (np.arange(self.n) - place[last]), out=out)
+        return out
+
+
+def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each part, which of its windows of ``length`` bytes start anywhere else in the parts."""
     sep = bytes([SEPARATOR])
     text = np.frombuffer(sep.join([*parts, b""]), np.uint8)
-    n = len(text)
     sizes = np.array([len(p) for p in parts])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     depth = 8
     while depth < max(sizes.max(initial=0) + 1, length):
         depth *= 2
-    sa = suffix_array(text, depth)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
-    bwt = text[sa - 1]
-    change = np.flatnonzero(bwt[1:] != bwt[:-1])
-    statistic = np.zeros(n, np.int64)
-    place = np.arange(n)
-    for side in (-1, 1):
-        # heads of runs with the suffix above, tails with the suffix below
-        sampled = sa[change + 1] if side < 0 else sa[change]
-        is_sample = np.zeros(n, dtype=bool)
-        is_sample[sampled] = is_sample[starts] = True
-        sampled = np.flatnonzero(is_sample)
-        neighbour = rank[sampled] + side
-        has = (neighbour >= 0) & (neighbour < n)
-        lce = np.zeros(len(sampled), np.int64)
-        lce[has] = common_prefix(text, sampled[has], sa[neighbour[has]], depth)
-        last = np.zeros(n, np.int64)
-        last[sampled] = np.arange(len(sampled))
-        last = np.maximum.accumulate(last)
-        statistic = np.maximum(statistic, lce[last] - (place - sampled[last]))
+    statistic = RunIndex(text, starts, depth).statistics()
     return [statistic[s : s + max(0, z - length + 1)] >= length for s, z in zip(starts.tolist(), sizes.tolist())]
 
 
@@ -226,25 +254,21 @@ def spans_of(mask: np.ndarray) -> list[int]:
 
 
 def _cut_out(length: int):
-    """Bytes of the wanted segments; of hot anchors' segments the hashes of their windows."""
+    """Bytes of the wanted segments; of hot anchors' segments the 128-bit hashes of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = memoryview(raw(text))
-                anchor, seg, often, cut, hashes = [], [], [], [], []
+                out: list[tuple] = []
                 for w in wanted:
-                    anchor.append(w["anchor"]), seg.append(w["seg"]), often.append(w["often"])
                     if w["hot"]:
-                        cut.append(None)
-                        hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(data[i : i + length]) for i in range(w["at"], w["at"] + w["n"])), dtype=np.uint64, count=w["n"]).view(np.int64).tolist())
+                        two = digests(data, ((i, length) for i in range(w["at"], w["at"] + w["n"])))
+                        out.append((w["anchor"], w["seg"], w["seg2"], w["often"], None, two[:, 0].tolist(), two[:, 1].tolist()))
                     else:
-                        cut.append(bytes(data[w["at"] : w["at"] + w["n"] + length - 1]))
-                        hashes.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(often, pa.bool_()), pa.array(cut, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-                    names=["anchor", "seg", "often", "cut", "hashes"],
-                )
+                        out.append((w["anchor"], w["seg"], w["seg2"], w["often"], bytes(data[w["at"] : w["at"] + w["n"] + length - 1]), None, None))
+                types = pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["anchor", "seg", "seg2", "often", "cut", "w1", "w2"])
 
     return run
 
@@ -252,17 +276,15 @@ def _cut_out(length: int):
 def _index(length: int, block: int):
     """Marks of the segments of whole anchors, a block at a time; rows come sorted by anchor."""
 
-    def marks(rows: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
-        found = repeated_starts([r[3] for r in rows], length)
-        spans = [[0, len(m)] if r[2] else spans_of(m) for r, m in zip(rows, found)]
+    def marks(rows: list[tuple[int, int, int, bool, bytes]]) -> pa.RecordBatch:
+        found = repeated_starts([r[4] for r in rows], length)
+        spans = [[0, len(m)] if r[3] else spans_of(m) for r, m in zip(rows, found)]
         keep = [i for i, s in enumerate(spans) if s]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([rows[i][1] for i in keep], pa.int64()), pa.array([spans[i] for i in keep], pa.list_(pa.int32()))], names=["anchor", "seg", "spans"]
-        )
+        return pa.RecordBatch.from_arrays([*(pa.array([rows[i][k] for i in keep], pa.int64()) for k in range(3)), pa.array([spans[i] for i in keep], pa.list_(pa.int32()))], names=["anchor", "seg", "seg2", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple[int, int, bool, bytes]] = []
-        group: list[tuple[int, int, bool, bytes]] = []
+        ready: list[tuple[int, int, int, bool, bytes]] = []
+        group: list[tuple[int, int, int, bool, bytes]] = []
         ready_bytes = group_bytes = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -274,7 +296,7 @@ def _index(length: int, block: int):
                     ready_bytes += group_bytes
                     group, group_bytes = [], 0
                 group.append(row)
-                group_bytes += len(row[3]) + 1
+                group_bytes += len(row[4]) + 1
         for part in ([ready, group] if ready_bytes + group_bytes > block else [ready + group]):
             if part:
                 yield marks(part)
@@ -312,24 +334,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = 1_000_000
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = with_row_id(docs.select("doc_id", "text"), "row")
-    occ = numbered.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(_occurrences(length), "anchor long, seg long, row long, at int, n int, inner boolean")
+    occ = numbered.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(_occurrences(length), "anchor long, seg long, seg2 long, row long, at int, n int, inner boolean")
     occ = materialise(occ, "anchors")
-    often = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.max("inner").alias("inner")).where((F.col("c") > 1) | F.col("inner"))
+    ends = [f(c).alias(n) for c, low, high in (("seg", "lo", "hi"), ("seg2", "lo2", "hi2")) for f, n in ((F.min, low), (F.max, high))]
+    often = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *ends, F.max("inner").alias("inner")).where((F.col("c") > 1) | F.col("inner"))
     # an anchor that stands twice in one segment may repeat within it, so that goes to the index too
-    shared = materialise(occ.drop("inner").join(often.select("anchor", ((F.col("lo") != F.col("hi")) | (F.col("c") == 1)).alias("several")), "anchor"), "shared")
-    several = shared.where("several").groupBy("anchor", "seg").agg((F.count(F.lit(1)) > 1).alias("often"), F.min(F.struct("row", "at", "n")).alias("one"))
+    unlike = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("c") == 1)
+    shared = materialise(occ.drop("inner").join(often.select("anchor", unlike.alias("several")), "anchor"), "shared")
+    key = ["anchor", "seg", "seg2"]
+    several = shared.where("several").groupBy(*key).agg((F.count(F.lit(1)) > 1).alias("often"), F.min(F.struct("row", "at", "n")).alias("one"))
     per_anchor = several.groupBy("anchor").agg((F.count(F.lit(1)) > hot).alias("hot"))
-    wanted = several.join(per_anchor, "anchor").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct(F.col("one.at").alias("at"), F.col("one.n").alias("n"), "anchor", "seg", "often", "hot")).alias("wanted"))
-    cut = numbered.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(_cut_out(length), "anchor long, seg long, often boolean, cut binary, hashes array<long>")
+    wanted = several.join(per_anchor, "anchor").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct(F.col("one.at").alias("at"), F.col("one.n").alias("n"), *key, "often", "hot")).alias("wanted"))
+    cut = numbered.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(_cut_out(length), "anchor long, seg long, seg2 long, often boolean, cut binary, w1 array<long>, w2 array<long>")
     cut = materialise(cut, "segments")
-    cold = cut.where(F.col("cut").isNotNull()).select("anchor", "seg", "often", "cut").repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_index(length, block), "anchor long, seg long, spans array<int>")
-    windows = cut.where(F.col("hashes").isNotNull()).select("anchor", "seg", "often", F.posexplode("hashes").alias("i", "w"))
-    twice = windows.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("anchor", "w", F.lit(True).alias("twice"))
-    marked = windows.join(twice, ["anchor", "w"], "left").where(F.col("often") | F.col("twice"))
-    warm = marked.groupBy("anchor", "seg").agg(F.flatten(F.collect_list(F.array("i", F.col("i") + 1))).alias("spans"))
+    cold = cut.where(F.col("cut").isNotNull()).select(*key, "often", "cut").repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_index(length, block), "anchor long, seg long, seg2 long, spans array<int>")
+    windows = cut.where(F.col("w1").isNotNull()).select(*key, "often", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select(*key, "often", "i", "w.w1", "w.w2")
+    twice = windows.groupBy("anchor", "w1", "w2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("anchor", "w1", "w2", F.lit(True).alias("twice"))
+    marked = windows.join(twice, ["anchor", "w1", "w2"], "left").where(F.col("often") | F.col("twice"))
+    warm = marked.groupBy(*key).agg(F.flatten(F.collect_list(F.array("i", F.col("i") + 1))).alias("spans"))
     marks = materialise(cold.unionByName(warm), "marks")
     whole = shared.where(~F.col("several")).select("row", "at", "n", F.lit(None).cast("array<int>").alias("spans"))
-    partly = shared.where("several").join(marks, ["anchor", "seg"]).select("row", "at", "n", "spans")
+    partly = shared.where("several").join(marks, key).select("row", "at", "n", "spans")
     found = whole.unionByName(partly).groupBy("row").agg(F.collect_list(F.struct("at", "n", "spans")).alias("found"))
     joined = numbered.join(found, "row", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_removed(length, kind), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -337,4 +362,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = 1_000_000
 
 def op9_repeats_rlindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"))
+
+
+#: Bytes as hexadecimal digits; every window of 400 bytes that stands twice is marked, and covered bytes go.
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS pos, h FROM d WHERE length(h) >= 800),
+k AS (SELECT r, pos, md5_number(substring(h, 2 * pos + 1, 800)) AS k FROM w),
+m AS (SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY k) AS c FROM k) WHERE c > 1),
+g AS (SELECT *, sum(CASE WHEN pos <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS g FROM (SELECT r, pos, coalesce(lag(pos) OVER (PARTITION BY r ORDER BY pos), -9999) AS before FROM m)),
+s AS (SELECT r, g, min(pos) AS a, max(pos) + 400 AS b FROM g GROUP BY 1, 2),
+n AS (SELECT *, lead(a) OVER (PARTITION BY r ORDER BY a) AS following FROM s),
+p AS (SELECT n.r, sum(b - a)::BIGINT AS gone, count(*) AS spans, min(a) AS first, string_agg(substring(d.h, (2 * b + 1)::BIGINT, (2 * (coalesce(following, length(d.h) // 2) - b))::BIGINT), '' ORDER BY a) AS rest FROM n JOIN d ON d.r = n.r GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN p.r IS NULL THEN h ELSE substring(h, 1, (2 * first)::BIGINT) || rest END)) AS kept_sha256, ((length(h) // 2) - coalesce(gone, 0))::BIGINT AS kept_bytes
+FROM d LEFT JOIN p ON p.r = d.r
+"""
