@@ -82,11 +82,10 @@ def stable_id(prefix: str, number: Column, *fields: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"), F.lit("_"), F.substring(F.sha2(F.concat_ws("\x1f", number.cast("string"), *[F.coalesce(c.cast("string"), F.lit("\x1e")) for c in fields]), 256), 1, 16))
 
 
-def identifier_flags(name: Column, exempt: str | None = None, cut_off: str = r"(?i)\((gb|ref|emb|dbj)$") -> Column:
-    """Flags of an identifier: missing, cut off, compound; ids that match ``exempt`` are not compound."""
+def pattern_flags(name: Column, rules: Sequence[tuple[str, str]], empty: str = "missing") -> Column:
+    """The flags of a name, trimmed: ``empty`` if nothing is left, and of each (pattern, flag) whose pattern is found."""
     value = F.trim(F.coalesce(name, F.lit("")))
-    compound = value.rlike(r"[|\s]")
-    return reasons((value == "", "missing_id"), (value.rlike(cut_off), "possibly_cut_off"), (compound & ~value.rlike(exempt) if exempt else compound, "compound_or_blank_id"))
+    return reasons((value == "", empty), *[(value.rlike(pattern), flag) for pattern, flag in rules])
 
 
 def first_category(text: Column, rules: Sequence[tuple[str, str]], default: str = "unresolved") -> Column:
@@ -193,3 +192,32 @@ def expand_lists(frame: DataFrame, lists: Sequence[str], separator: str = ";") -
     zipped = F.arrays_zip(*[F.split(F.col(c), separator).alias(c) for c in lists])
     keep = [c for c in frame.columns if c not in lists]
     return frame.select(*keep, F.posexplode_outer(zipped).alias("position", "item")).select(*keep, "position", *[F.col("item")[c].alias(c) for c in lists])
+
+
+def canonical_key(text: Column, alphabet: str) -> Column:
+    """Struct (text, sha256): blanks, ``-`` and every character outside ``alphabet`` go; sha256 is null if nothing is left.
+
+    Ambiguous characters go as well, so this is another key than ``normalise``'s.
+    """
+    kept = F.regexp_replace(ascii_upper(F.coalesce(text, F.lit(""))), f"[^{alphabet}]", "")
+    return F.struct(kept.alias("text"), F.when(kept != "", F.sha2(kept, 256)).alias("sha256"))
+
+
+def strict_sequence(text: Column, alphabet: str = "ACGTN") -> Column:
+    """Struct (text, sha256, status, reasons): blanks and ``-`` go; any other foreign character makes the whole invalid, without a key."""
+    raw = F.replace(F.regexp_replace(ascii_upper(F.coalesce(text, F.lit(""))), BLANKS, ""), F.lit("-"), F.lit(""))
+    foreign = raw.rlike(f"[^{alphabet}]")
+    why = reasons((foreign, "invalid_characters"))
+    return F.struct(raw.alias("text"), F.when((raw != "") & ~foreign, F.sha2(raw, 256)).alias("sha256"), F.when(foreign | (raw == ""), "invalid").otherwise("pass").alias("status"), why.alias("reasons"))
+
+
+def bracketed_suffix(text: Column) -> Column:
+    """What stands in brackets at the very end, else null."""
+    found = F.regexp_extract(text, r"\[([^\]]+)\]\s*$", 1)
+    return F.when(found != "", F.trim(found))
+
+
+def other_class(text: Column, own: Sequence[str], known: str) -> Column:
+    """Whether a text, without blanks, ``_`` and ``-`` and in lower case, names a known class (pattern ``known``) and none of ``own``."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s_-]+", "")
+    return (plain != "") & ~plain.isin(list(own)) & plain.rlike(known)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,9 +42,9 @@ def median_log_ratio(rows: DataFrame, key: str, category: str) -> DataFrame:
 
 
 def tier(total: Column, ratio: Column, low: int = 5, high: int = 50, edge: float = 1.0) -> tuple[Column, Column]:
-    """(coverage, call)."""
+    """(coverage, call): a ratio below -edge is essential, above edge dispensable."""
     coverage = F.when(total < low, "low").when(total < high, "medium").otherwise("high")
-    call = F.when(total < low, "untested").when(ratio >= edge, "essential").when(ratio <= -edge, "dispensable").otherwise("conditional")
+    call = F.when(total < low, "untested").when(ratio < -edge, "essential").when(ratio > edge, "dispensable").otherwise("conditional")
     return coverage, call
 
 
@@ -93,3 +93,56 @@ def groups_per_class(rows: DataFrame, label: str, group: str) -> DataFrame:
 def pre_aggregated_join(left: DataFrame, right: DataFrame, key: str, **aggregates: Column) -> DataFrame:
     """Left join with the right side summed up by key first, so rows of ``left`` never multiply."""
     return left.join(right.groupBy(key).agg(*[c.alias(n) for n, c in aggregates.items()]), key, "left")
+
+
+def positions(rows: DataFrame, key: str, place: str, side: str, sides: Sequence[str]) -> DataFrame:
+    """(key, n, places, n_<side>...): rows, distinct places and rows on each side."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(place).alias("places"), *[F.count_if(F.col(side) == s).alias(f"n_{s}") for s in sides])
+
+
+def aliased(columns: Sequence[str], aliases: Sequence[str]) -> str:
+    """The column that has one of the names, whatever its case and a leading ``#``."""
+    found = [c for c in columns if c.lstrip("#").casefold() in aliases]
+    if not found:
+        raise ValueError(f"none of {sorted(aliases)} is among the columns {sorted(columns)}")
+    return found[0]
+
+
+def category_audit(rows: DataFrame, column: str, ineligible: Sequence[str]) -> DataFrame:
+    """(value, n, eligible): counts of a column's values (null as empty), eligible unless listed."""
+    per = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("eligible", ~F.col("value").isin(list(ineligible)))
+
+
+def alignment(rows: DataFrame, group: str, row_id: str, text: str, sample: int = 100) -> DataFrame:
+    """(group, n, consensus, effective, identity): of rows aligned by character position.
+
+    consensus: the most frequent character of each position that all rows
+    reach (ties: the smaller; ``-`` and ``.`` do not count, X if nothing else
+    stands there); effective: rows that agree with it in 60 % or more;
+    identity: the mean over all pairs of the first ``sample`` rows (by id) of
+    the share of equal characters in the shorter length, 1 for a single row.
+    """
+    texts = rows.select(group, row_id, F.coalesce(text, F.lit("")).alias("_t"))
+    size = texts.groupBy(group).agg(F.min(F.length("_t")).alias("_l"), F.count(F.lit(1)).alias("n"))
+    cut = texts.join(size, group).withColumn("_c", F.when(F.col("_l") > 0, F.split(F.substr("_t", F.lit(1), F.col("_l")), "")).otherwise(F.array().cast("array<string>")))
+    letters = cut.select(group, F.posexplode("_c").alias("_i", "_x")).groupBy(group, "_i", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    counted = F.when(~F.col("_x").isin("-", "."), F.struct(-F.col("_n"), F.col("_x")))
+    best = letters.groupBy(group, "_i").agg(F.coalesce(F.min(counted)["_x"], F.lit("X")).alias("_x"))
+    line = best.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_cons"))
+    agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & ~x.isin("-", ".")), lambda e: e))
+    near = cut.join(line, group).groupBy(group).agg(F.max("n").alias("n"), F.max(F.array_join("_cons", "")).alias("consensus"), F.count_if(agree(F.col("_c"), F.col("_cons")) >= 0.6 * F.col("_l")).alias("effective"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(row_id))
+    first = texts.withColumn("_r", rank).where(F.col("_r") <= sample)
+    a, b = first.select(group, F.col("_r").alias("_ra"), F.split("_t", "").alias("_a"), F.length("_t").alias("_la")), first.select(group, F.col("_r").alias("_rb"), F.split("_t", "").alias("_b"), F.length("_t").alias("_lb"))
+    pairs = a.join(b, group).where(F.col("_ra") < F.col("_rb"))
+    share = F.coalesce(F.try_divide(agree(F.slice("_a", 1, F.least("_la", "_lb")), F.slice("_b", 1, F.least("_la", "_lb"))), F.least("_la", "_lb")), F.lit(0.0))
+    identity = pairs.groupBy(group).agg(F.avg(share).alias("identity"))
+    return near.join(identity, group, "left").select(group, "n", "consensus", "effective", F.coalesce("identity", F.lit(1.0)).alias("identity"))
+
+
+def position_coverage(rows: DataFrame, group: str, text: str, length: int) -> DataFrame:
+    """(group, covered): the share of the first ``length`` positions at which some row has a character other than ``-`` and ``.``."""
+    spots = rows.select(group, F.posexplode(F.split(F.substring(F.coalesce(text, F.lit("")), 1, length), "")).alias("_i", "_x")).where(~F.col("_x").isin("", "-", "."))
+    seen = spots.groupBy(group).agg(F.countDistinct("_i").alias("_n"))
+    return rows.select(group).distinct().join(seen, group, "left").select(group, (F.coalesce("_n", F.lit(0)) / length).alias("covered"))

@@ -85,3 +85,49 @@ def merge_ledger(rows: DataFrame, key: str, order: Sequence[str], first: Sequenc
     """One row a key: fields of its first row, the distinct values of ``gathered``, and whether the fields differ."""
     head = [F.min_by(F.struct(*first), F.struct(*order)).alias("_first"), F.sort_array(F.collect_set(gathered)).alias("gathered"), (F.countDistinct(F.struct(*first)) > 1).alias("conflict")]
     return rows.groupBy(key).agg(*head).select(key, *[F.col(f"_first.{c}").alias(c) for c in first], "gathered", "conflict")
+
+
+def first_of(*columns: Column) -> Column:
+    """The first value that is neither null nor blank, as text."""
+    return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c.cast("string")) for c in columns])
+
+
+def label_rows(rows: DataFrame, keys: Sequence[str], values: Sequence[str], source: str, task: Column | None = None, renamed: dict[str, str] | None = None) -> DataFrame:
+    """(key, task, label, source) of raw rows, from the first filled key and value column; rows without a key, a task or a number go, numbers outside 0..1 are an error."""
+    key = first_of(*[F.col(c) for c in keys])
+    named = first_of(task if task is not None else F.lit(None).cast("string"), F.col("task") if "task" in rows.columns else F.lit(None).cast("string"))
+    for old, new in (renamed or {}).items():
+        named = F.when(named == old, new).otherwise(named)
+    number = F.expr(f"try_cast({_first_sql(values)} AS double)")
+    out = rows.select(key.alias("key"), named.alias("task"), number.alias("label"), F.coalesce(first_of(F.col("source")) if "source" in rows.columns else F.lit(None).cast("string"), F.lit(source)).alias("source"))
+    kept = out.where(F.col("key").isNotNull() & F.col("task").isNotNull() & F.col("label").isNotNull())
+    label = F.when(F.col("label").between(0, 1), F.col("label")).otherwise(F.raise_error(F.lit("a label lies outside 0..1")).cast("double"))
+    return kept.withColumn("label", label)
+
+
+def _first_sql(columns: Sequence[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(trim(cast(`{c}` AS string)), '')" for c in columns) + ")"
+
+
+def union_sources(sources: dict[str, DataFrame], level: Column) -> DataFrame:
+    """(key, task, label, source, origin, level) of several tables of (key, task, label, source): origin names the table and is kept as such; ``level`` grades each row anew."""
+    out = None
+    for origin, frame in sources.items():
+        part = frame.select("key", "task", "label", "source").withColumn("origin", F.lit(origin))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("level", level)
+
+
+def gold_lookup(wanted: DataFrame, labels: DataFrame, key: str, task: str, levels: Sequence[str] = ("E1", "E2")) -> DataFrame:
+    """Adds label and status (found, missing, conflict) to the wanted keys, from labels of one task with direct evidence only; null levels: any."""
+    rows = labels.where(F.col("task") == task)
+    rows = rows.where(F.col("level").isin(list(levels))) if levels else rows
+    per = rows.groupBy(key).agg(F.countDistinct("label").alias("_n"), F.min("label").alias("_label"))
+    status = F.when(F.col("_n").isNull() | (F.col("_n") == 0), "missing").when(F.col("_n") > 1, "conflict").otherwise("found")
+    return wanted.join(per, key, "left").withColumn("label", F.when(F.col("_n") == 1, F.col("_label"))).withColumn("status", status).drop("_n", "_label")
+
+
+def study_report(rows: DataFrame, study: str, **summaries: Column) -> DataFrame:
+    """One row a study with the summaries, and the checksum of the row as JSON."""
+    per = rows.groupBy(study).agg(*[c.alias(n) for n, c in summaries.items()])
+    return per.withColumn("report_sha256", F.sha2(F.to_json(F.struct(*per.columns)), 256))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,14 +69,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and follows labels to their own label, so rounds grow with the logarithm
     of the distance; it is an error if ``rounds`` do not suffice. Labels are checkpointed into the cluster's shared folder.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
+    _checkpoints(edges.sparkSession)
     both = both_ways(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()).distinct().checkpoint()
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
     for _ in range(rounds):
@@ -90,43 +83,50 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder: the cluster's shared one, or on one machine a temporary one."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
-    """(node, betweenness) of an undirected graph, by shortest paths from every node.
+    """(node, betweenness) of an undirected graph: the share of shortest paths between other nodes that pass a node, of all pairs of nodes.
 
-    Components are worked on apart, each in one task, so it is for graphs
-    whose components fit one; the share is of all pairs of the component.
+    Breadth-first levels from all nodes at once, then the dependencies back
+    from the farthest level: each level is a join with the edges and a sum by
+    (source, node), written before the next. All (source, node) pairs that are
+    connected are rows, so it is for graphs of bounded components. Loops and
+    repeated edges change nothing; fewer than three nodes give 0.
     """
-    labelled = edges.select("src", "dst").join(components(edges), F.col("src") == F.col("node")).select("component", "src", "dst")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            if a != b:
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-        total = dict.fromkeys(near, 0.0)
-        for source in near:
-            level, paths, order, before = {source: 0}, {source: 1.0}, [source], {}
-            for v in order:
-                for w in near[v]:
-                    if w not in level:
-                        level[w], paths[w] = level[v] + 1, 0.0
-                        order.append(w)
-                    if level[w] == level[v] + 1:
-                        paths[w] += paths[v]
-                        before.setdefault(w, []).append(v)
-            through = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before.get(w, ()):
-                    through[v] += paths[v] / paths[w] * (1 + through[w])
-                if w != source:
-                    total[w] += through[w]
-        n = len(near)
-        pairs = (n - 1) * (n - 2)
-        return pd.DataFrame({"node": list(total), "betweenness": [t / pairs if pairs else 0.0 for t in total.values()]})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return labelled.groupBy("component").applyInPandas(one, f"node {kind}, betweenness double")
+    _checkpoints(edges.sparkSession)
+    both = both_ways(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())).distinct().checkpoint()
+    near = both.where(F.col("src") != F.col("dst"))
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    levels = [nodes.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"))]
+    seen = levels[0].select("s", "node")
+    while True:
+        reached = levels[-1].join(near, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        fresh = reached.join(seen, ["s", "node"], "left_anti").checkpoint()
+        if fresh.isEmpty():
+            break
+        levels.append(fresh)
+        seen = seen.unionByName(fresh.select("s", "node")).checkpoint()
+    through = levels[-1].withColumn("d", F.lit(0.0))
+    total = through.select("s", "node", "d")
+    for level in reversed(levels[:-1]):
+        later = through.select("s", F.col("node").alias("dst"), ((1 + F.col("d")) / F.col("paths")).alias("x"))
+        back = near.join(later, "dst").groupBy("s", F.col("src").alias("node")).agg(F.sum("x").alias("x"))
+        through = level.join(back, ["s", "node"], "left").select("s", "node", "paths", F.coalesce(F.col("paths") * F.col("x"), F.lit(0.0)).alias("d")).checkpoint()
+        total = total.unionByName(through.select("s", "node", "d"))
+    n = nodes.agg(F.count(F.lit(1)).alias("_n"))
+    per = total.groupBy("node").agg(F.sum(F.when(F.col("s") != F.col("node"), F.col("d")).otherwise(0.0)).alias("_d"))
+    return per.crossJoin(F.broadcast(n)).select("node", F.coalesce(F.try_divide("_d", (F.col("_n") - 1) * (F.col("_n") - 2)), F.lit(0.0)).alias("betweenness"))
 
 
 def leaders(pairs: DataFrame, names: Sequence[str], least: float) -> dict[str, str]:
@@ -143,3 +143,49 @@ def leaders(pairs: DataFrame, names: Sequence[str], least: float) -> dict[str, s
             heads.append(name)
         out[name] = head or name
     return out
+
+
+def build_edges(edges: DataFrame, nodes: DataFrame, node: str, split: str, aliases: dict[str, str], least: dict[str, float], signed: Sequence[str] = (), strict: dict[str, float] | None = None) -> DataFrame:
+    """(src, dst, kind, weight, reason) of edges (src, dst, kind, confidence): accepted ones both ways, the others once with their reason.
+
+    Kinds are trimmed, lower-cased and renamed by ``aliases``; ``least`` names
+    the kinds and the least confidence of each (``strict``: of a kind by its
+    name before renaming), for ``signed`` kinds of the absolute value, whose
+    square is the weight. Reasons: those of ``drop_reasons``, invalid_confidence
+    and below_threshold. Repeated edges stay.
+    """
+    raw = F.lower(F.trim("kind"))
+    named = edges.select("src", "dst", raw.alias("_raw"), F.coalesce(*[F.when(raw == a, k) for a, k in aliases.items()], raw).alias("kind"), F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
+    checked = drop_reasons(named, nodes, node, split, list(least))
+    odd = F.col("kind").isin(list(signed))
+    size = F.when(odd, F.abs("confidence")).otherwise(F.col("confidence"))
+    limits = {**least, **(strict or {})}
+    limit = F.coalesce(*[F.when(F.col("_raw") == k, float(v)) for k, v in limits.items()], *[F.when(F.col("kind") == k, float(v)) for k, v in least.items()])
+    reason = F.coalesce("reason", F.when(~F.coalesce(size.between(0, 1), F.lit(False)), "invalid_confidence").when(size < limit, "below_threshold"))
+    weight = F.when(odd, F.col("confidence") * F.col("confidence")).otherwise(F.col("confidence"))
+    done = checked.select("src", "dst", "kind", weight.alias("weight"), reason.alias("reason"))
+    return both_ways(done.where(F.col("reason").isNull())).unionByName(done.where(F.col("reason").isNotNull()))
+
+
+def attribute_edges(*sources: DataFrame) -> DataFrame:
+    """(src, dst, kind, weight) both ways from several edge tables of these columns; of edges with the same ends and kind the last table's (there, the heaviest) stays."""
+    out = None
+    for k, edges in enumerate(sources):
+        part = both_ways(edges.select("src", "dst", "kind", "weight").where(F.col("src") != F.col("dst"))).withColumn("_source", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("src", "dst", "kind").agg(F.max_by("weight", F.struct("_source", "weight")).alias("weight"))
+
+
+def neighbour_edges(rows: DataFrame, group: Sequence[str], row_id: str, start: str, stop: str, side: str, unit: str, most: int = 60, together: float = 1.0, near: float = 0.8) -> DataFrame:
+    """(src, dst, weight) of neighbours in a group that share a unit (weight ``together``), or are on one side at most ``most`` apart (``near``)."""
+    w = Window.partitionBy(*group).orderBy(start, row_id)
+    out = rows.select(F.col(row_id).alias("src"), F.lead(row_id).over(w).alias("dst"), (F.col(unit) == F.lead(unit).over(w)).alias("_unit"), (F.col(side) == F.lead(side).over(w)).alias("_side"), F.greatest(F.lead(start).over(w) - F.col(stop) - 1, F.lit(0)).alias("_gap"))
+    weight = F.when(F.coalesce("_unit", F.lit(False)), together).when(F.coalesce("_side", F.lit(False)) & (F.col("_gap") <= most), near)
+    return out.where(F.col("dst").isNotNull()).select("src", "dst", weight.alias("weight")).where(F.col("weight").isNotNull())
+
+
+def retention(values: DataFrame, node: str, value: str, first: DataFrame, second: DataFrame, central: DataFrame, rate: float) -> DataFrame:
+    """(node, retention): exp(-rate x centrality) times the node's mean with its neighbours along ``first`` and that along ``second``; centrality (node, betweenness), 0 where missing."""
+    around = [neighbour_mean(e, values, node, value).select(node, F.col("around").alias(f"_{i}")) for i, e in enumerate((first, second))]
+    joined = around[0].join(around[1], node).join(central.select(F.col("node").alias(node), "betweenness"), node, "left")
+    return joined.select(node, (F.exp(-rate * F.coalesce("betweenness", F.lit(0.0))) * F.col("_0") * F.col("_1")).alias("retention"))

@@ -66,18 +66,34 @@ def gate_metrics(rows: DataFrame, passed: Column, known: Column) -> DataFrame:
     return rows.agg(F.count_if(passed).alias("n_passed"), (F.count_if(passed & known) / n(known)).alias("recall"), (F.count_if(passed & known) / n(passed)).alias("precision"))
 
 
-def bootstrap(rows: DataFrame, group: str, value: Column, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """(replicate, mean): a Poisson bootstrap of whole groups; weights come from checksums, so reruns agree."""
-    per = rows.groupBy(group).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    drawn = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", group), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    weight, upto, term = F.lit(8), 0.0, 0.36787944117144233
-    cuts = []
-    for k in range(8):
+def _poisson(levels: int = 256, most: int = 6) -> list[int]:
+    """The first byte value that gives a weight above k, for each k: a Poisson variable of mean 1 in steps of 1 / levels."""
+    out, upto, term = [], 0.0, 1 / 2.718281828459045
+    for k in range(most):
         upto += term
-        cuts.append((k, upto))
+        out.append(round(upto * levels))
         term /= k + 1
-    for k, cut in reversed(cuts):
-        weight = F.when(u < cut, k).otherwise(weight)
-    drawn = drawn.withColumn("_w", weight)
+    return out
+
+
+def poisson_sql(u: str) -> str:
+    """The weight of a byte as SQL text."""
+    return "CASE " + " ".join(f"WHEN {u} < {cut} THEN {k}" for k, cut in enumerate(_poisson())) + f" ELSE {len(_poisson())} END"
+
+
+def bootstrap(rows: DataFrame, group: str, value: Column, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """(replicate, mean): a Poisson bootstrap of whole groups. Weights come from the bytes of checksums of the group, 16 replicates a checksum, so reruns agree."""
+    per = rows.groupBy(group).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    chunks = per.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 16))))
+    chunks = chunks.withColumn("_h", F.md5(F.concat_ws(":", F.col("_k").cast("string"), F.lit(str(seed)), F.col(group).cast("string"))))
+    drawn = chunks.select("_s", "_n", "_k", "_h", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_i")).withColumn("replicate", F.col("_k") * 16 + F.col("_i")).where(F.col("replicate") < replicates)
+    u = F.conv(F.substr("_h", F.col("_i") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    drawn = drawn.withColumn("_u", u).withColumn("_w", F.expr(poisson_sql("_u")))
     return drawn.groupBy("replicate").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("mean"))
+
+
+def bootstrap_interval(rows: DataFrame, group: str, value: Column, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """One row: replicates, mean, low, high; the interval of the replicates' means (one row a replicate)."""
+    means = bootstrap(rows, group, value, replicates, seed).where(F.col("mean").isNotNull())
+    tail = round((1 - level) / 2, 10)
+    return means.agg(F.count(F.lit(1)).alias("replicates"), F.avg("mean").alias("mean"), F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))

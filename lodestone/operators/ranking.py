@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.numeric import min_max
 
 
 def global_rank(rows: DataFrame, score: str, row_id: str, buckets: int = 256) -> DataFrame:
@@ -69,10 +68,19 @@ def consensus(rows: DataFrame, row_id: str, scores: Sequence[str], k: int) -> Da
     return out.groupBy(row_id).agg(F.count(F.lit(1)).alias("votes"))
 
 
-def acquisition(rows: DataFrame, width: str, disagreement: str, gap: str) -> DataFrame:
-    """Adds acquisition: scaled width times scaled disagreement times one less scaled gap; ranges come from one pass."""
-    w = Window.partitionBy()
-    return rows.withColumn("acquisition", min_max(F.col(width), w) * min_max(F.col(disagreement), w) * (1 - min_max(F.col(gap), w)))
+def mean_cosine(queries: DataFrame, row_id: str, support: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
+    """(id, group, cosine): the mean of a query's cosines with the support vectors of its group.
+
+    The mean of dot products with unit vectors is the dot product with their
+    mean, so the support is summed up once. Zero vectors and nulls take no part.
+    """
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.transform(F.col(vector), lambda x: x.cast("double") / norm(F.col(vector)))
+    usable = lambda df: df.where(F.coalesce(norm(F.col(vector)) > 0, F.lit(False)))
+    mean = usable(support).select(*group, F.posexplode(unit).alias("_k", "_x")).groupBy(*group, "_k").agg(F.avg("_x").alias("_m"))
+    mean = mean.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_m"))), lambda s: s["_m"]).alias("_mean"))
+    dot = F.aggregate(F.zip_with(unit, "_mean", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return usable(queries).select(row_id, *group, vector).join(mean, list(group)).select(row_id, *group, dot.alias("cosine"))
 
 
 def scaled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,22 +118,59 @@ def threshold_grid(rows: DataFrame, a: str, b: str, known: str, steps: int = 10)
 
 
 def conformal(pairs: DataFrame, predicted: str, actual: str, alpha: float = 0.1, small: int = 100) -> DataFrame:
-    """One row: n, width, status. Width is the ceil((1 - alpha)(n + 1))-th error; under ``small`` rows the largest, widened."""
-    errors = pairs.select(F.abs(F.col(predicted) - F.col(actual)).alias("_e")).where(F.col("_e").isNotNull())
-    counts = errors.groupBy("_e").agg(F.count(F.lit(1)).alias("_c"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.orderBy("_e"))).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-    wanted = F.least(F.ceil(F.lit(round(1 - alpha, 10)) * (F.col("_n") + 1)), F.col("_n"))
-    picked = upto.agg(F.max("_n").alias("n"), F.min(F.when(F.col("_upto") >= wanted, F.col("_e"))).alias("_q"), F.max("_e").alias("_max"))
-    return picked.select("n", F.when(F.col("n") < small, F.col("_max") * (1 + 1 / F.col("n"))).otherwise(F.col("_q")).alias("width"), F.when(F.col("n") < small, "small_sample_widened").otherwise("calibrated").alias("status"))
+    """One row: n, width, status. Width is the ceil((1 - alpha)(n + 1))-th error; under ``small`` rows, or where that place is beyond n, the largest error, widened by 1 / n.
+
+    The place is bracketed by approximate percentiles, and only the errors
+    between them (some 0.06 % of all) are put in order.
+    """
+    errors = pairs.select(F.abs(F.col(predicted) - F.col(actual)).cast("double").alias("_e")).where(F.col("_e").isNotNull())
+    accuracy = 10_000
+    at = round(1 - alpha, 10)
+    ends = F.percentile_approx("_e", [max(0.0, at - 3 / accuracy), min(1.0, at + 3 / accuracy)], accuracy)
+    span = errors.agg(F.count(F.lit(1)).alias("n"), F.max("_e").alias("_max"), ends.alias("_ends"))
+    place = F.ceil(F.lit(at) * (F.col("n") + 1))
+    span = span.select("n", "_max", place.alias("_place"), F.when(F.col("n") >= small * 100, F.col("_ends")[0]).alias("_low"), F.when(F.col("n") >= small * 100, F.col("_ends")[1]).alias("_high"))
+    placed = errors.crossJoin(F.broadcast(span))
+    below = placed.agg(F.count_if(F.col("_e") < F.col("_low")).alias("_below"))
+    inside = placed.where((F.col("_low").isNull() | (F.col("_e") >= F.col("_low"))) & (F.col("_high").isNull() | (F.col("_e") <= F.col("_high")))).groupBy("_e", "_place").agg(F.count(F.lit(1)).alias("_c"))
+    upto = inside.crossJoin(F.broadcast(below)).withColumn("_upto", F.col("_below") + F.sum("_c").over(Window.orderBy("_e")))
+    picked = upto.agg(F.min(F.when(F.col("_upto") >= F.col("_place"), F.col("_e"))).alias("_q"))
+    few = F.col("n") < small
+    width = F.when(few | (F.col("_place") > F.col("n")), F.col("_max") * (1 + F.try_divide(F.lit(1.0), F.col("n")))).otherwise(F.col("_q"))
+    status = F.when(F.col("n") == 0, "no_calibration_data").when(few, "small_sample_widened").otherwise("split_conformal")
+    return span.crossJoin(F.broadcast(picked)).select("n", width.alias("width"), status.alias("status"))
+
+
+def intervals(rows: DataFrame, point: str, calibration: DataFrame) -> DataFrame:
+    """Adds lower, upper and status: the point less and plus ``conformal``'s width, within 0..1; 0..1 without a point or a calibration."""
+    finite = F.coalesce(~F.isnan(F.col(point)) & (F.abs(F.col(point)) < F.lit(float("inf"))), F.lit(False))
+    known = finite & F.col("width").isNotNull()
+    out = rows.crossJoin(F.broadcast(calibration.select("width", F.col("status").alias("_status"))))
+    return out.select(
+        *rows.columns,
+        F.when(known, F.greatest(F.lit(0.0), F.col(point) - F.col("width"))).otherwise(0.0).alias("lower"),
+        F.when(known, F.least(F.lit(1.0), F.col(point) + F.col("width"))).otherwise(1.0).alias("upper"),
+        F.when(~finite, "unavailable").otherwise(F.col("_status")).alias("status"),
+    )
 
 
 def quadratic_fit(points: DataFrame, group: Sequence[str], t: str, y: str) -> DataFrame:
-    """(group, n, c0, c1, c2): least squares of y on 1, u, u^2 with u = t / max t, from sums; null where singular."""
-    top = points.groupBy(*group).agg(F.max(t).alias("_top"))
-    u = points.join(top, list(group)).where(F.col("_top") > 0).withColumn("_u", F.col(t) / F.col("_top"))
-    p = {k: F.sum(F.pow("_u", F.lit(k))).alias(f"s{k}") for k in range(1, 5)}
-    q = {k: F.sum(F.pow("_u", F.lit(k)) * F.col(y)).alias(f"y{k}") for k in range(3)}
-    s = u.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("s0"), *p.values(), *q.values())
+    """(group, n, c0, c1, c2, status): least squares of y on 1, u, u^2 with u = t / max t, from sums; null where not fitted.
+
+    status: fitted, or why not: too_few_points (under 3), not_finite, negative_time,
+    no_positive_time, singular (fewer than 3 different times).
+    """
+    number = lambda x: F.coalesce(~F.isnan(F.col(x).cast("double")) & (F.abs(F.col(x).cast("double")) < F.lit(float("inf"))), F.lit(False))
+    top = points.groupBy(*group).agg(F.max(t).alias("_top"), F.min(t).alias("_least"), F.count(F.lit(1)).alias("n"), F.count_if(~(number(t) & number(y))).alias("_odd"))
+    for g in group:
+        top = top.withColumnRenamed(g, f"_group_{g}")
+    same = [F.col(g).eqNullSafe(F.col(f"_group_{g}")) for g in group]
+    u = points.join(top, same).select(*group, F.try_divide(F.col(t), F.col("_top")).alias("_u"), F.col(y).alias("_y"), "_top", "_least", "n", "_odd")
+    power = lambda k: F.lit(1.0) if k == 0 else F.col("_u") if k == 1 else power(k - 1) * F.col("_u")
+    p = [F.sum(power(k)).alias(f"s{k}") for k in range(1, 5)]
+    q = [F.sum(power(k) * F.col("_y")).alias(f"y{k}") for k in range(3)]
+    # powers of u are at most 1, so three different times show in a determinant above rounding
+    s = u.groupBy(*group).agg(F.max("n").alias("n"), F.max("_top").alias("_top"), F.max("_least").alias("_least"), F.max("_odd").alias("_odd"), F.count(F.lit(1)).cast("double").alias("s0"), *p, *q)
     c = F.col
 
     def det(m: list[list[Column]]) -> Column:
@@ -134,4 +179,108 @@ def quadratic_fit(points: DataFrame, group: Sequence[str], t: str, y: str) -> Da
     m = [[c(f"s{i + j}") for j in range(3)] for i in range(3)]
     whole = det(m)
     put = lambda k: det([[c(f"y{i}") if j == k else m[i][j] for j in range(3)] for i in range(3)])
-    return s.select(*group, c("s0").cast("long").alias("n"), *[F.when(F.abs(whole) > 1e-9, put(k) / whole).alias(f"c{k}") for k in range(3)])
+    status = (
+        F.when(c("n") < 3, "too_few_points").when(c("_odd") > 0, "not_finite").when(c("_least") < 0, "negative_time").when(c("_top") <= 0, "no_positive_time")
+        .when(F.abs(whole) <= 1e-12 * F.pow(c("s0"), F.lit(3.0)), "singular").otherwise("fitted")
+    )
+    out = s.withColumn("status", status)
+    return out.select(*group, "n", *[F.when(c("status") == "fitted", F.try_divide(put(k), whole)).alias(f"c{k}") for k in range(3)], "status")
+
+
+def composite(rows: DataFrame, share: str, cost: str, weight: float = 0.5) -> DataFrame:
+    """Adds composite: weight x share + (1 - weight) x (cost, turned round and scaled to 0..1 over all rows); null unless both are there."""
+    turned = scaled(rows.withColumn("_turned", -F.col(cost)), ["_turned"])
+    both = F.col(share).isNotNull() & F.col("_turned_scaled").isNotNull()
+    return turned.withColumn("composite", F.when(both, weight * F.col(share) + (1 - weight) * F.col("_turned_scaled"))).drop("_turned", "_turned_scaled")
+
+
+def choose_thresholds(rows: DataFrame, high: str, low_a: str, low_b: str, target: str, spoiled_a: str, spoiled_b: str, least_recall: float = 0.6, most_a: float = 0.05, most_b: float = 0.02) -> DataFrame:
+    """One row: cut_high, cut_a, cut_b, n, recall, rate_a, rate_b of the best admissible thresholds; no row if none is.
+
+    A row is chosen if high >= cut_high, low_a < cut_a and low_b < cut_b, for
+    cuts among the columns' own values. Admissible: some rows, recall of
+    ``target`` and the shares of ``spoiled_a`` and ``spoiled_b`` within bounds.
+    Best: most recall, fewest rows, least rate_a, then the highest cut_high and
+    lowest other cuts. Rows are counted once a cell of values; cumulative
+    windows along each axis then give every triple, so the work is the product
+    of the numbers of distinct values: round fine scores first.
+    """
+    axes = {"_a": high, "_b": low_a, "_c": low_b}
+    usable = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in axes.values()))
+    flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    cells = usable.groupBy(*[F.col(c).alias(n) for n, c in axes.items()]).agg(F.count(F.lit(1)).alias("n"), flag(target).alias("t"), flag(spoiled_a).alias("p"), flag(spoiled_b).alias("q"))
+    total = cells.agg(F.sum("t").alias("_targets"))
+    values = [cells.select(n).distinct() for n in axes]
+    grid = values[0].crossJoin(values[1]).crossJoin(values[2]).join(cells, list(axes), "left").fillna(0, ["n", "t", "p", "q"])
+    for axis, order, frame in (("_a", F.col("_a").desc(), (Window.unboundedPreceding, 0)), ("_b", F.col("_b"), (Window.unboundedPreceding, -1)), ("_c", F.col("_c"), (Window.unboundedPreceding, -1))):
+        w = Window.partitionBy(*[x for x in axes if x != axis]).orderBy(order).rowsBetween(*frame)
+        grid = grid.select(*axes, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(m) for m in ("n", "t", "p", "q")])
+    rated = grid.where("n > 0").crossJoin(F.broadcast(total)).select(*axes, "n", (F.col("t") / F.greatest("_targets", F.lit(1))).alias("recall"), (F.col("p") / F.col("n")).alias("rate_a"), (F.col("q") / F.col("n")).alias("rate_b"))
+    fit = rated.where((F.col("recall") >= least_recall) & (F.col("rate_a") <= most_a) & (F.col("rate_b") <= most_b))
+    best = fit.agg(F.min_by(F.struct(*rated.columns), F.struct(-F.col("recall"), "n", "rate_a", -F.col("_a"), "_b", "_c")).alias("_best")).where(F.col("_best").isNotNull())
+    return best.select(F.col("_best._a").alias("cut_high"), F.col("_best._b").alias("cut_a"), F.col("_best._c").alias("cut_b"), *[f"_best.{c}" for c in ("n", "recall", "rate_a", "rate_b")])
+
+
+def combination_scores(rows: DataFrame, edges: DataFrame, row_id: str, gain: str, kept: str, safe: str, worth: str, veto: str, veto_above: float, most: int = 3, shortlist: int = 60) -> DataFrame:
+    """(members, gain, retained, safe) of all sets of up to ``most`` of the ``shortlist`` rows with the largest gain x kept x safe.
+
+    Sets with a member whose veto is above ``veto_above`` are left out. gain:
+    noisy-or of the members; safe: their least; retained: the share of all
+    rows' worth outside the members and their neighbours along ``edges``
+    (src, dst, either way); null if there is no worth.
+    """
+    score = F.col(gain) * F.col(kept) * F.col(safe)
+    best = rows.where(score.isNotNull()).orderBy(score.desc(), row_id).limit(shortlist)
+    best = best.where(~F.coalesce(F.col(veto) > veto_above, F.lit(False))).select(F.col(row_id).alias("_id"), F.col(gain).alias("_g"), F.col(safe).alias("_s"))
+    out = level = best.select(F.array("_id").alias("members"), F.col("_id").alias("_last"), (1 - F.col("_g")).alias("_miss"), F.col("_s").alias("_safe"))
+    for _ in range(most - 1):
+        # at most C(shortlist, size) rows; the shortlist is the bounded side
+        level = level.join(F.broadcast(best), F.col("_last") < F.col("_id")).select(F.concat("members", F.array("_id")).alias("members"), F.col("_id").alias("_last"), (F.col("_miss") * (1 - F.col("_g"))).alias("_miss"), F.least("_safe", "_s").alias("_safe"))
+        out = out.unionByName(level)
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
+    near = best.select("_id").join(edges.select(ends).select(F.col("e.src").alias("_id"), F.col("e.dst").alias("_out")), "_id").unionByName(best.select("_id", F.col("_id").alias("_out"))).distinct()
+    priced = near.join(rows.select(F.col(row_id).alias("_out"), F.coalesce(worth, F.lit(0.0)).alias("_w")), "_out")
+    lost = out.select("members", F.explode("members").alias("_id")).join(priced, "_id").select("members", "_out", "_w").distinct().groupBy("members").agg(F.sum("_w").alias("_lost"))
+    total = rows.agg(F.coalesce(F.sum(worth), F.lit(0.0)).alias("_total"))
+    joined = out.join(lost, "members", "left").crossJoin(F.broadcast(total))
+    return joined.select("members", (1 - F.col("_miss")).alias("gain"), F.when(F.col("_total") > 0, (F.col("_total") - F.coalesce("_lost", F.lit(0.0))) / F.col("_total")).alias("retained"), F.col("_safe").alias("safe"))
+
+
+def position_scores(weights: Column, valid: Column) -> Column:
+    """Scores of positions from attention weights [head][query][key] and a mask of valid positions: null without a valid one.
+
+    The weights of valid queries are summed over heads and queries, divided by
+    the number of valid positions and scaled to 0..1 over them; 0 elsewhere
+    and where all are equal.
+    """
+    zero = F.transform(valid, lambda _: F.lit(0.0))
+    add = lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b)
+    masked = lambda head: F.zip_with(head, valid, lambda row, v: F.transform(row, lambda x: F.when(v, x.cast("double")).otherwise(0.0)))
+    summed = F.aggregate(weights, zero, lambda acc, head: F.aggregate(masked(head), acc, add))
+    n = F.size(F.filter(valid, lambda v: v))
+    inside = lambda s: F.filter(F.zip_with(s, valid, lambda x, v: F.when(v, x / n)), lambda x: x.isNotNull())
+    low, high = F.array_min(inside(summed)), F.array_max(inside(summed))
+    return F.when(n > 0, F.zip_with(summed, valid, lambda x, v: F.when(v & (high > low), (x / n - low) / (high - low)).otherwise(0.0)))
+
+
+def class_ranking(rows: DataFrame, classes: Sequence[str], row_id: str, score: str, cutoffs: dict[str, float], evidence: DataFrame) -> DataFrame:
+    """Rows (id, class, score) with rank in the class, call (score at or above the class's cutoff) and status.
+
+    status joins evidence (id, class) and call: known_above, known_below,
+    candidate, below.
+    """
+    kind = F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(float(cutoffs[c])))]), F.col("class"))
+    ranked = None
+    for c in classes:  # one global rank a class: no window holds a class
+        part = global_rank(rows.where(F.col("class") == c), score, row_id).drop("percentile")
+        ranked = part if ranked is None else ranked.unionByName(part)
+    known = evidence.select(row_id, "class").distinct().withColumn("_known", F.lit(True))
+    out = ranked.join(known, [row_id, "class"], "left").withColumn("call", F.coalesce(F.col(score) >= kind, F.lit(False)))
+    status = F.when(F.col("_known") & F.col("call"), "known_above").when(F.col("_known"), "known_below").when(F.col("call"), "candidate").otherwise("below")
+    return out.withColumn("status", status).drop("_known")
+
+
+def screened(rows: DataFrame, group: Sequence[str], score: str, year: str, row_id: str, least: float, quota: int) -> DataFrame:
+    """The first ``quota`` rows of each group with at least ``least``: best score first, then the latest year (null as 0), then id."""
+    order = [F.col(score).desc(), F.coalesce(year, F.lit(0)).desc(), F.col(row_id)]
+    return top_per_group(rows.where(F.col(score) >= least), group, order, quota)

@@ -33,33 +33,75 @@ def sample_n(rows: DataFrame, key: str, n: int, seed: int | str, by: Sequence[st
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def _cut(n: Column, total: Column, parts: Sequence[tuple[str, float]]) -> Column:
-    """The part of number n (from 1) of total: cumulative shares, rounded down, at least one in the first."""
-    out, upto = F.lit(parts[-1][0]), 0.0
-    bounds = []
-    for name, part in parts[:-1]:
-        upto += part
-        bounds.append((name, F.greatest(F.floor(total * F.lit(round(upto, 10))), F.lit(1))))
-    for name, bound in reversed(bounds):
-        out = F.when(n <= bound, name).otherwise(out)
-    return out
+def numbered(rows: DataFrame, order: Column, ties: Column) -> DataFrame:
+    """Adds _n (from 1, in ``order``, a hexadecimal checksum) and _total, without a window over all rows.
+
+    Rows are dealt by the checksum's first three digits; the counts of the 4096
+    parts give each its offset.
+    """
+    dealt = rows.withColumn("_order", order).withColumn("_part", F.substring("_order", 1, 3))
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_total"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_order", ties))
+    return dealt.join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_before") + within).drop("_part", "_order", "_before")
+
+
+def _part(n: Column, first: Column, second: Column, names: Sequence[str]) -> Column:
+    """The part of number n: the first ``first`` numbers, the next ``second``, the rest."""
+    return F.when(n <= first, names[0]).when(n <= first + second, names[1]).otherwise(names[2])
 
 
+def _share(total: Column, share: float, least: int = 1) -> Column:
+    return F.greatest(F.floor(total * F.lit(share)), F.lit(least))
+
+
+NAMES = ("train", "validation", "test")
 PARTS = (("train", 0.7), ("validation", 0.15), ("test", 0.15))
 
 
-def group_split(rows: DataFrame, group: str, seed: int | str = 42, parts: Sequence[tuple[str, float]] = PARTS) -> DataFrame:
-    """(group, split) of every group; the groups, one row each, are ordered by checksum."""
-    groups = rows.select(group).where(F.col(group).isNotNull()).distinct()
-    n = F.row_number().over(Window.orderBy(draw(seed, F.col(group)), group))
-    return groups.withColumn("_n", n).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy())).select(group, _cut(F.col("_n"), F.col("_total"), parts).alias("split"))
+def group_split(rows: DataFrame, group: str, seed: int | str = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """(group, split) of every group, ordered by checksum; it is an error if no group is left to test."""
+    groups = numbered(rows.select(group).where(F.col(group).isNotNull()).distinct(), draw(seed, F.col(group)), F.col(group))
+    first, second = _share(F.col("_total"), train), _share(F.col("_total"), validation)
+    split = F.when(first + second >= F.col("_total"), F.raise_error(F.lit("no group is left to test"))).otherwise(_part(F.col("_n"), first, second, NAMES))
+    return groups.select(group, split.alias("split"))
 
 
-def stratified_group_split(groups: DataFrame, group: str, stratum: str, seed: int | str = 42, parts: Sequence[tuple[str, float]] = PARTS) -> DataFrame:
-    """(group, stratum, split) of a table with one row a group, split within each stratum."""
+def stratified_group_split(groups: DataFrame, group: str, stratum: str, seed: int | str = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """(group, stratum, split) of a table with one row a group, split within each stratum.
+
+    A stratum of up to three groups has no validation part; the first part
+    gives way where nothing else would be left. If no stratum has a test part,
+    the last group (by stratum and number) of validation, else of train, is it.
+    """
     w = Window.partitionBy(stratum)
-    n = F.row_number().over(w.orderBy(draw(seed, F.col(group)), group))
-    return groups.withColumn("_n", n).withColumn("_total", F.count(F.lit(1)).over(w)).select(group, stratum, _cut(F.col("_n"), F.col("_total"), parts).alias("split"))
+    total = F.col("_total")
+    n = groups.withColumn("_n", F.row_number().over(w.orderBy(draw(seed, F.col(group)), group))).withColumn("_total", F.count(F.lit(1)).over(w))
+    second = F.when(total > 3, _share(total, validation)).otherwise(0)
+    first = _share(total, train)
+    first = F.when((first + second >= total) & (total > 1), F.greatest(F.lit(1), total - 1 - second)).otherwise(first)
+    cut = n.withColumn("_split", _part(F.col("_n"), first, second, NAMES))
+    place = F.struct(F.col("_split") == "validation", F.col(stratum), F.col("_n"))
+    last = cut.agg(F.count_if(F.col("_split") == "test").alias("_tests"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("_groups"))
+    moved = (F.col("_tests") == 0) & (F.col("_last") == place)
+    split = F.when(moved & (F.col("_groups") < 2), F.raise_error(F.lit("a split needs two groups"))).when(moved, "test").otherwise(F.col("_split"))
+    return cut.crossJoin(F.broadcast(last)).select(group, stratum, split.alias("split"))
+
+
+def stratified_row_split(rows: DataFrame, key: str, strata: Sequence[str], seed: int | str = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """Adds split: rows of each stratum in an order drawn by checksum, shares rounded down. Rows of one entity may part: see ``entity_split``."""
+    w = Window.partitionBy(*strata)
+    n = F.row_number().over(w.orderBy(draw(seed, F.col(key)), key))
+    total = F.count(F.lit(1)).over(w)
+    out = rows.withColumn("_n", n).withColumn("_total", total)
+    return out.withColumn("split", _part(F.col("_n"), _share(F.col("_total"), train, 0), _share(F.col("_total"), validation, 0), NAMES)).drop("_n", "_total")
+
+
+def entity_split(entities: DataFrame, rows: DataFrame, key: str, split: str = "split", order: Sequence[str] = NAMES) -> DataFrame:
+    """Entities that have rows, with the first split (in ``order``) that any of their rows is in."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(split))
+    first = rows.groupBy(key).agg(F.min_by(split, place).alias(split))
+    return entities.join(first, key)
 
 
 def row_split(rows: DataFrame, key: str, seed: int | str = 42, parts: Sequence[tuple[str, float]] = PARTS) -> DataFrame:
@@ -75,14 +117,25 @@ def row_split(rows: DataFrame, key: str, seed: int | str = 42, parts: Sequence[t
     return rows.withColumn("split", out)
 
 
-def component_split(rows: DataFrame, group: str, content: str, seed: int | str = 42, parts: Sequence[tuple[str, float]] = PARTS) -> DataFrame:
-    """(group, component, split): groups that share a content, directly or by way of others, stay together."""
+def component_split(rows: DataFrame, group: str, content: str, seed: int | str = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """(group, component, split): groups that share a content, directly or by way of others, stay together.
+
+    Components are ordered by the checksum of the seed and the least content
+    checksum of their least group, and each part has one at least; fewer than
+    three components are an error.
+    """
     keyed = rows.select(group, F.sha2(F.col(content).cast("string"), 256).alias("_sha")).where(F.col(group).isNotNull()).distinct()
     lead = keyed.groupBy("_sha").agg(F.min(group).alias("_lead"))
     edges = keyed.join(lead, "_sha").select(F.col(group).alias("src"), F.col("_lead").alias("dst"))
-    parts_of = components(edges)
-    groups = keyed.select(group).distinct().join(parts_of, F.col(group) == F.col("node"), "left").select(group, F.coalesce("component", group).alias("component"))
-    return groups.join(group_split(groups, "component", seed, parts), "component").select(group, "component", "split")
+    heads = keyed.groupBy(group).agg(F.min("_sha").alias("_head"))
+    groups = heads.join(components(edges), F.col(group) == F.col("node"), "left").select(group, "_head", F.coalesce("component", group).alias("component"))
+    each = groups.groupBy("component").agg(F.min_by("_head", group).alias("_head"))
+    each = numbered(each, F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("_head")), 256), F.col("component"))
+    total = F.col("_total")
+    first = F.greatest(F.lit(1), F.least(F.floor(total * F.lit(train)), total - 2))
+    upto = F.greatest(first + 1, F.least(F.floor(total * F.lit(round(train + validation, 10))), total - 1))
+    split = F.when(total < 3, F.raise_error(F.lit("a split needs three independent groups"))).otherwise(_part(F.col("_n"), first, upto - first, NAMES))
+    return groups.join(each.select("component", split.alias("split")), "component").select(group, "component", "split")
 
 
 def leaks(rows: DataFrame, key: str, split: str) -> DataFrame:

@@ -98,3 +98,48 @@ def file_kind(content: Column) -> Column:
     """Kind of a file by its first bytes."""
     magic = F.hex(F.substring(content, 1, 8))
     return F.when(magic.startswith("1F8B"), "gzip").when(magic.startswith("504B0304"), "zip").when(magic.startswith("89504E47"), "png").when(magic.startswith("25504446"), "pdf").when(magic.startswith("50415231"), "parquet").otherwise("other")
+
+
+def eligible(rows: DataFrame, status: str, flags: str, **wanted: str) -> DataFrame:
+    """Rows whose status is not invalid, that have no flags, and whose columns have the ``wanted`` values."""
+    out = rows.where((F.col(status) != "invalid") & (F.size(flags) == 0))
+    for column, value in wanted.items():
+        out = out.where(F.col(column) == value)
+    return out
+
+
+def covered(rows: DataFrame, keys: Sequence[str], amount: Column, least: float) -> DataFrame:
+    """(keys, total) of keys whose total amount is at least ``least``."""
+    return rows.groupBy(*keys).agg(F.sum(amount).alias("total")).where(F.col("total") >= least)
+
+
+def scored_rules(name: str, level: str, low: str, high: str, shares: Sequence[str]) -> list[Rule]:
+    """Rules of a scored row: a name, a known level, an interval within 0..1, shares null or within 0..1."""
+    inside = lambda c: is_finite(F.col(c).cast("double")) & F.col(c).between(0, 1)
+    return [
+        (F.coalesce(F.trim(F.col(name)), F.lit("")) == "", f"{name}:empty"),
+        (F.coalesce(~F.col(level).isin("E1", "E2", "E3", "E4"), F.lit(True)), f"{level}:unknown"),
+        (F.coalesce(~(inside(low) & inside(high) & (F.col(low) <= F.col(high))), F.lit(True)), "interval:outside"),
+        *[(F.col(c).isNotNull() & ~F.coalesce(inside(c), F.lit(False)), f"{c}:outside") for c in shares],
+    ]
+
+
+def compatible(required: dict[str, object], aliases: dict[str, str]) -> Column:
+    """Whether the version columns have the required values; ``aliases`` names the column that stands in for a null one."""
+    out = F.lit(True)
+    for column, value in required.items():
+        own = F.coalesce(F.col(column), F.col(aliases[column])) if column in aliases else F.col(column)
+        out = out & own.eqNullSafe(F.lit(value))
+    return out
+
+
+def verified_evidence(evidence: DataFrame, reference: DataFrame, key: str, text: str, sha: str, category: str, scope: Sequence[str]) -> DataFrame:
+    """Curated rows against a reference table, with status: unknown_key, hash_mismatch (blanks apart, in upper case), out_of_scope, accepted."""
+    actual = F.sha2(F.upper(F.regexp_replace(F.col(text), r"\s+", "")), 256)
+    known = reference.select(key, actual.alias("_actual"), F.lit(True).alias("_known")).dropDuplicates([key])
+    stated = F.coalesce(F.col(sha), F.lit(""))
+    status = (
+        F.when(F.col("_known").isNull(), "unknown_key").when((stated != "") & ~F.col("_actual").eqNullSafe(stated), "hash_mismatch")
+        .when(~F.coalesce(F.upper(F.col(category)).isin(list(scope)), F.lit(False)), "out_of_scope").otherwise("accepted")
+    )
+    return evidence.join(known, key, "left").withColumn("status", status).drop("_actual", "_known")

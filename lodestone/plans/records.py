@@ -51,7 +51,7 @@ r AS (SELECT user_id, k::INTEGER AS categories, t AS total, CASE WHEN k >= 2 THE
 
 
 @query(f"""WITH {RATIO} SELECT user_id, categories, total, round(log_ratio, 6) AS log_ratio, CASE WHEN total < 5 THEN 'low' WHEN total < 50 THEN 'medium' ELSE 'high' END AS coverage,
-CASE WHEN total < 5 THEN 'untested' WHEN log_ratio >= 1 THEN 'essential' WHEN log_ratio <= -1 THEN 'dispensable' ELSE 'conditional' END AS call FROM r""")
+CASE WHEN total < 5 THEN 'untested' WHEN log_ratio < -1 THEN 'essential' WHEN log_ratio > 1 THEN 'dispensable' ELSE 'conditional' END AS call FROM r""")
 def call_tiers(t: Tables) -> DataFrame:
     r = aggregate.median_log_ratio(t.events, "user_id", "event_type")
     coverage, call = aggregate.tier(F.col("total"), F.col("log_ratio"))
@@ -97,9 +97,10 @@ def semi_flag(t: Tables) -> DataFrame:
     return t.supplier.join(hit, "s_suppkey", "left").select("s_suppkey", F.coalesce("_hit", F.lit(False)).alias("returned"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
 def orphans(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order."""
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT r_name, n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -126,18 +127,21 @@ def adjacent_pairs(t: Tables) -> DataFrame:
 FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE cosine >= 0.3""")
 def pair_cosine(t: Tables) -> DataFrame:
     """Pairs within a label. Meant for blocks of bounded size: at scale the block key must be fine."""
-    e = t.embeddings
+    return similar_vectors(t.embeddings, 0.3).withColumn("cosine", F.round("cosine", 9))
+
+
+def similar_vectors(e: DataFrame, least: float) -> DataFrame:
+    """(label, src, dst, cosine) of pairs within a label."""
     a, b = e.select("label", F.col("vec_id").alias("src"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("dst"), F.col("embedding").alias("y"))
     c = a.join(b, "label").where(F.col("src") < F.col("dst")).withColumn("cosine", N.cosine(F.col("x"), F.col("y")))
-    return c.where(F.col("cosine") >= 0.3).select("label", "src", "dst", F.round("cosine", 9).alias("cosine"))
+    return c.where(F.col("cosine") >= least).select("label", "src", "dst", "cosine")
 
 
-@query("""WITH c AS (SELECT label, k, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1, 2), l AS (SELECT label, list(m ORDER BY k) AS m FROM c GROUP BY 1)
-SELECT vec_id, e.label, round(list_dot_product(embedding::DOUBLE[], m) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(m, m))), 6) AS cosine FROM embeddings e JOIN l ON l.label = e.label""")
+@query("""SELECT a.vec_id, a.label, round(avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) AS cosine
+FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label GROUP BY 1, 2""")
 def prototype_cosine(t: Tables) -> DataFrame:
-    long = t.embeddings.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("proto"))
-    return t.embeddings.join(mean, "label").select("vec_id", "label", F.round(N.cosine(F.col("embedding"), F.col("proto")), 6).alias("cosine"))
+    """The mean of the cosines with all vectors of the label; by way of the mean unit vector, so no pairs are formed."""
+    return ranking.mean_cosine(t.embeddings, "vec_id", t.embeddings, ["label"], "embedding").withColumn("cosine", F.round("cosine", 6))
 
 
 @query("SELECT l_suppkey, count(*) AS n, round(CASE WHEN stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0 THEN covar_pop(l_quantity, l_extendedprice) / (stddev_pop(l_quantity) * stddev_pop(l_extendedprice)) END, 6) AS r FROM lineitem GROUP BY 1")
@@ -186,9 +190,22 @@ def order_components(t: Tables) -> DataFrame:
     return graph.components(customer_edges(t))
 
 
-@query()
+def _walks(levels: int) -> str:
+    """Numbers of shortest paths between all nodes, a level at a time."""
+    steps = ["w0 AS (SELECT node AS s, node AS t, 0 AS d, 1.0 AS paths FROM v)"]
+    for d in range(1, levels + 1):
+        steps.append(f"w{d} AS (SELECT * FROM w{d - 1} UNION ALL SELECT s, b.dst, {d}, sum(paths) FROM w{d - 1} w JOIN b ON b.src = w.t WHERE d = {d - 1} AND (s, b.dst) NOT IN (SELECT (s, t) FROM w{d - 1}) GROUP BY 1, 2)")
+    return ", ".join(steps)
+
+
+@query(f"""WITH e AS (SELECT n_nationkey + 100 AS src, n_regionkey AS dst FROM nation UNION ALL SELECT r_regionkey, (r_regionkey + 1) % 5 FROM region), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)),
+v AS (SELECT DISTINCT src AS node FROM b), {_walks(4)}, n AS (SELECT count(*) AS n FROM v)
+SELECT v.node, round(coalesce(sum(a.paths * z.paths / w.paths), 0) / any_value((n - 1) * (n - 2)), 9) AS betweenness FROM v CROSS JOIN n LEFT JOIN w4 a ON a.t = v.node AND a.s <> v.node
+LEFT JOIN w4 z ON z.s = v.node AND z.t <> v.node AND a.s <> z.t LEFT JOIN w4 w ON w.s = a.s AND w.t = z.t AND w.d = a.d + z.d GROUP BY 1""")
 def betweenness(t: Tables) -> DataFrame:
-    return graph.betweenness(t.nation.select((F.col("n_nationkey") + 100).alias("src"), F.col("n_regionkey").alias("dst")))
+    """Nations hang on their regions, regions form a ring."""
+    ring = t.region.select(F.col("r_regionkey").alias("src"), ((F.col("r_regionkey") + 1) % 5).alias("dst"))
+    return graph.betweenness(t.nation.select((F.col("n_nationkey") + 100).alias("src"), F.col("n_regionkey").alias("dst")).unionByName(ring)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank, round((count(*) OVER () - row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)) / greatest(1, count(*) OVER () - 1), 9) AS percentile FROM supplier")
@@ -241,16 +258,20 @@ def threshold_grid(t: Tables) -> DataFrame:
     return g.withColumn("recall", F.round("recall", 9))
 
 
-@query("""WITH e AS (SELECT abs(l_extendedprice - l_quantity * 1500) AS e FROM lineitem), n AS (SELECT count(*) AS n FROM e), r AS (SELECT e, row_number() OVER (ORDER BY e) AS k FROM e) SELECT n, round(e, 6) AS width, 'calibrated' AS status FROM r, n WHERE k = least(ceil(0.9 * (n + 1)), n)""")
+@query("""WITH e AS (SELECT abs(l_extendedprice - l_quantity * 1500) AS e FROM lineitem), n AS (SELECT count(*) AS n FROM e), r AS (SELECT e, row_number() OVER (ORDER BY e) AS k FROM e) SELECT n, round(e, 6) AS width, 'split_conformal' AS status FROM r, n WHERE k = ceil(0.9 * (n + 1))""")
 def conformal(t: Tables) -> DataFrame:
     pairs = t.lineitem.select((F.col("l_quantity") * 1500).alias("p"), F.col("l_extendedprice").alias("y"))
     return ranking.conformal(pairs, "p", "y").withColumn("width", F.round("width", 6))
 
 
-@query()
+@query("""WITH u AS (SELECT l_suppkey, l_quantity / max(l_quantity) OVER (PARTITION BY l_suppkey) AS u, l_extendedprice AS y FROM lineitem),
+s AS (SELECT l_suppkey, count(*) AS n, count(*)::DOUBLE AS s0, sum(u) AS s1, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(y) AS y0, sum(u * y) AS y1, sum(u * u * y) AS y2 FROM u GROUP BY 1),
+d AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS w FROM s)
+SELECT l_suppkey, n, round((y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)) / w, 3) AS c0, round((s0 * (y1 * s4 - s3 * y2) - y0 * (s1 * s4 - s3 * s2) + s2 * (s1 * y2 - y1 * s2)) / w, 3) AS c1,
+  round((s0 * (s2 * y2 - y1 * s3) - s1 * (s1 * y2 - y1 * s2) + y0 * (s1 * s3 - s2 * s2)) / w, 3) AS c2, 'fitted' AS status FROM d""")
 def quadratic_fit(t: Tables) -> DataFrame:
-    fit = ranking.quadratic_fit(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice")
-    return fit.select("l_returnflag", "n", *[F.round(f"c{k}", 4).alias(f"c{k}") for k in range(3)])
+    fit = ranking.quadratic_fit(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return fit.select("l_suppkey", "n", *[F.round(f"c{k}", 3).alias(f"c{k}") for k in range(3)], "status")
 
 
 @query("SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 8")
@@ -389,6 +410,11 @@ def rollup_summary(t: Tables) -> DataFrame:
     return j.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query()
+@query(f"""WITH g AS (SELECT o_custkey AS g, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT range AS k FROM range(63)),
+h AS (SELECT g, s, n, k, md5(k || ':0:' || g) AS h FROM g, k), d AS (SELECT s, n, 16 * k + p - 1 AS replicate, ('0x' || substring(h, 2 * p - 1, 2))::INTEGER AS u FROM h, (SELECT range AS p FROM range(1, 17)) WHERE 16 * k + p - 1 < 1000),
+m AS (SELECT replicate, sum(w * s) / sum(w * n) AS mean FROM (SELECT *, {metrics.poisson_sql('u')} AS w FROM d) GROUP BY 1)
+SELECT count(*) AS replicates, round(avg(mean), 4) AS mean, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high FROM m""")
 def bootstrap(t: Tables) -> DataFrame:
-    return metrics.bootstrap(t.orders, "o_custkey", F.col("o_totalprice"), 50)
+    """The 95 % interval of the mean price from 1000 draws of whole customers."""
+    out = metrics.bootstrap_interval(t.orders, "o_custkey", F.col("o_totalprice"), 1000)
+    return out.select("replicates", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])

@@ -127,9 +127,14 @@ def first_category(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.first_category(F.col("text"), rules).alias("category"), T.keyword(F.col("text"), "version ([0-9]+)", ["mit", "gpl"]).alias("keyword"))
 
 
+#: How a cut-off and a compound identifier look.
+CUT_OFF, COMPOUND = r"(?i)\((gb|ref|emb|dbj)$", r"^(?!x).*[|\s]"
+
+
 @query("""SELECT page_id, concat_ws(';', CASE WHEN trim(url) = '' THEN 'missing_id' END, CASE WHEN regexp_matches(trim(url), '(?i)\\((gb|ref|emb|dbj)$') THEN 'possibly_cut_off' END, CASE WHEN regexp_matches(trim(url), '[|\\s]') AND NOT regexp_matches(trim(url), '^x') THEN 'compound_or_blank_id' END) AS flags FROM pages""")
 def identifier_flags(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.array_join(T.identifier_flags(F.col("url"), "^x"), ";").alias("flags"))
+    rules = [(CUT_OFF, "possibly_cut_off"), (COMPOUND, "compound_or_blank_id")]
+    return t.pages.select("page_id", F.array_join(T.pattern_flags(F.col("url"), rules, "missing_id"), ";").alias("flags"))
 
 
 @query("""
@@ -182,15 +187,18 @@ def ngram_tfidf(t: Tables) -> DataFrame:
     return w.groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
-@query("SELECT DISTINCT source, CASE WHEN n <= greatest(floor(t * 0.7), 1) THEN 'train' WHEN n <= greatest(floor(t * 0.85), 1) THEN 'validation' ELSE 'test' END AS split FROM (SELECT source, row_number() OVER (ORDER BY sha256('42:' || source), source) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))")
+@query("SELECT DISTINCT source, CASE WHEN n <= greatest(floor(t * 0.7::DOUBLE), 1) THEN 'train' WHEN n <= greatest(floor(t * 0.7::DOUBLE), 1) + greatest(floor(t * 0.15::DOUBLE), 1) THEN 'validation' ELSE 'test' END AS split FROM (SELECT source, row_number() OVER (ORDER BY sha256('42:' || source), source) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))")
 def group_split(t: Tables) -> DataFrame:
     return splits.group_split(t.documents, "source")
 
 
 @query("""
-WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2), m AS (SELECT source, arg_min(lang, (-n, f)) AS lang FROM c GROUP BY 1)
-SELECT source, lang, CASE WHEN k <= greatest(floor(t * 0.7), 1) THEN 'train' WHEN k <= greatest(floor(t * 0.85), 1) THEN 'validation' ELSE 'test' END AS split
-FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || source), source) AS k, count(*) OVER (PARTITION BY lang) AS t FROM m)""")
+WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2), m AS (SELECT source, arg_min(lang, (-n, f)) AS lang FROM c GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || source), source) AS k, count(*) OVER (PARTITION BY lang) AS t FROM m),
+v AS (SELECT *, CASE WHEN t > 3 THEN greatest(floor(t * 0.15::DOUBLE), 1) ELSE 0 END AS b, greatest(floor(t * 0.7::DOUBLE), 1) AS a FROM k),
+p AS (SELECT *, CASE WHEN k <= f THEN 'train' WHEN k <= f + b THEN 'validation' ELSE 'test' END AS part FROM (SELECT *, CASE WHEN a + b >= t AND t > 1 THEN greatest(1, t - 1 - b) ELSE a END AS f FROM v)),
+l AS (SELECT count(*) FILTER (part = 'test') AS tests, max((part = 'validation', lang, k)) AS last FROM p)
+SELECT source, lang, CASE WHEN tests = 0 AND last = (part = 'validation', lang, k) THEN 'test' ELSE part END AS split FROM p, l""")
 def stratified_group_split(t: Tables) -> DataFrame:
     modes = dedup.mode_first_seen(t.documents, "source", "lang", "doc_id")
     return splits.stratified_group_split(modes, "source", "lang")
@@ -214,8 +222,9 @@ def sample_per_group(t: Tables) -> DataFrame:
 @query("""
 WITH RECURSIVE k AS (SELECT DISTINCT doc_id AS g, sha256(text) AS s FROM documents WHERE doc_id IS NOT NULL), l AS (SELECT s, min(g) AS lead FROM k GROUP BY 1),
 c AS (SELECT g, min(lead) AS component FROM k JOIN l USING (s) GROUP BY 1), u AS (SELECT DISTINCT component FROM c),
-n AS (SELECT component, row_number() OVER (ORDER BY sha256('42:' || component::VARCHAR), component) AS n, count(*) OVER () AS t FROM u)
-SELECT g AS doc_id, component, CASE WHEN n <= greatest(floor(t * 0.7), 1) THEN 'train' WHEN n <= greatest(floor(t * 0.85), 1) THEN 'validation' ELSE 'test' END AS split FROM c JOIN n USING (component)""")
+n AS (SELECT component, row_number() OVER (ORDER BY sha256('42:' || s), component) AS n, count(*) OVER () AS t FROM u JOIN (SELECT g, min(s) AS s FROM k GROUP BY 1) ON g = component),
+x AS (SELECT *, greatest(1, least(floor(t * 0.7::DOUBLE), t - 2)) AS a FROM n), y AS (SELECT *, greatest(a + 1, least(floor(t * 0.85::DOUBLE), t - 1)) AS b FROM x)
+SELECT g AS doc_id, component, CASE WHEN n <= a THEN 'train' WHEN n <= b THEN 'validation' ELSE 'test' END AS split FROM c JOIN y USING (component)""")
 def component_split(t: Tables) -> DataFrame:
     """Documents that share a text stay together (each has one text here, so components are the groups of copies)."""
     return splits.component_split(t.documents, "doc_id", "text")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numeric as N
 from lodestone.functions import text as T
-from lodestone.llm import components as llm_components
-from lodestone.operators import dedup, evidence, graph, metrics, ranking, splits, validate
+from lodestone.operators import aggregate, dedup, evidence, graph, metrics, ranking, splits, validate
 from lodestone.plans import catalogue, records, registry
 from lodestone.sources import readers, sinks
 from lodestone.streaming import events as stream
@@ -104,9 +103,8 @@ def test_components_of_a_long_path_and_a_large_star(spark, small_tables):
     edges = spark.createDataFrame(path + star + [(5000, 5000), (None, 7)], "src long, dst long")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1400)} | {5000: 5000}
-    for run in (graph.components, llm_components.connected_components):
-        with pytest.raises(RuntimeError):
-            run(edges, rounds=1)
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1)
     parent: dict = {}
 
     def top(x):
@@ -222,3 +220,126 @@ def test_stream_equals_table(spark, small_tables, tmp_path):
     q.awaitTermination(120)
     got = {(r["start"], r["event_type"], r["n"]) for r in spark.table("w").collect()}
     assert got == {(r["start"], r["event_type"], r["n"]) for r in stream.windowed(table, "ts", "event_type", "value").collect()}
+
+
+def test_calls_follow_the_sign_of_the_ratio(spark):
+    rows = spark.createDataFrame([(3, 0.0), (10, -1.0), (10, -1.5), (60, 1.5), (60, 1.0)], "total int, ratio double")
+    coverage, call = aggregate.tier(F.col("total"), F.col("ratio"))
+    got = [tuple(r) for r in rows.select(coverage, call).collect()]
+    assert got == [("low", "untested"), ("medium", "conditional"), ("medium", "essential"), ("high", "dispensable"), ("high", "conditional")]
+
+
+def test_mean_of_cosines(spark):
+    query = spark.createDataFrame([(1, "g", [1.0, 0.0]), (2, "g", [0.0, 0.0])], "id int, g string, v array<double>")
+    support = spark.createDataFrame([("g", [5.0, 0.0]), ("g", [0.0, 1.0]), ("g", None)], "g string, v array<double>")
+    assert [(r["id"], r["cosine"]) for r in ranking.mean_cosine(query, "id", support, ["g"], "v").collect()] == [(1, 0.5)]
+
+
+@pytest.mark.parametrize("n,parts", [(13, (9, 1, 3)), (1, None), (2, (1, 0, 1)), (3, (2, 0, 1)), (4, (2, 1, 1)), (20, (14, 3, 3))])
+def test_stratified_group_split_sizes(spark, n, parts):
+    groups = spark.createDataFrame([(f"g{i}", "s") for i in range(n)], "g string, s string")
+    if parts is None:
+        with pytest.raises(Exception, match="two groups"):
+            splits.stratified_group_split(groups, "g", "s").collect()
+        return
+    got = [r["split"] for r in splits.stratified_group_split(groups, "g", "s").collect()]
+    assert tuple(got.count(x) for x in splits.NAMES) == parts
+
+
+def test_single_groups_leave_one_to_test(spark):
+    groups = spark.createDataFrame([(f"g{i}", f"s{i}") for i in range(4)], "g string, s string")
+    got = {r["g"]: r["split"] for r in splits.stratified_group_split(groups, "g", "s").collect()}
+    assert got == {"g0": "train", "g1": "train", "g2": "train", "g3": "test"}
+
+
+@pytest.mark.parametrize("n,parts", [(2, None), (3, (1, 1, 1)), (4, (2, 1, 1)), (40, (28, 6, 6))])
+def test_component_split_sizes(spark, n, parts):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(n)] + [(0, "t0")], "g int, t string")
+    if parts is None:
+        with pytest.raises(Exception, match="three independent"):
+            splits.component_split(rows, "g", "t").collect()
+        return
+    got = [r["split"] for r in splits.component_split(rows, "g", "t").collect()]
+    assert tuple(got.count(x) for x in splits.NAMES) == parts
+
+
+def test_intervals(spark):
+    pairs = spark.createDataFrame([(float(i), i + i / 100) for i in range(1, 201)], "p double, y double")
+    width = ranking.conformal(pairs, "p", "y").first()
+    assert width["status"] == "split_conformal" and width["width"] == pytest.approx(1.81)
+    assert ranking.conformal(pairs, "p", "y", alpha=0.001).first()["width"] == pytest.approx(2.0 * (1 + 1 / 200))
+    none = ranking.conformal(pairs.limit(0), "p", "y")
+    assert tuple(none.first()) == (0, None, "no_calibration_data")
+    points = spark.createDataFrame([(0.4,), (None,), (float("nan"),)], "x double")
+    small = ranking.conformal(spark.createDataFrame([(0.0, 0.5), (1.0, 0.8)], "p double, y double"), "p", "y")
+    got = [tuple(r)[1:] for r in ranking.intervals(points, "x", small).collect()]
+    assert got[0][2] == "small_sample_widened" and got[0][:2] == pytest.approx((0.0, 1.0))
+    assert got[1:] == [(0.0, 1.0, "unavailable")] * 2
+
+
+def test_conformal_of_many_errors_equals_sorting(spark):
+    pairs = spark.range(30_000).select(F.lit(0.0).alias("p"), (F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7).alias("y"))
+    errors = sorted(r["y"] for r in pairs.collect())
+    assert ranking.conformal(pairs, "p", "y").first()["width"] == errors[27_000]
+
+
+def test_betweenness_counts_pairs_of_all_nodes(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a"), ("c", "c"), ("x", "y")], "src string, dst string")
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(edges).collect()}
+    assert got == {"a": 0.0, "b": pytest.approx(1 / 6), "c": 0.0, "x": 0.0, "y": 0.0}
+    square = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1)], "src int, dst int")
+    assert [r["betweenness"] for r in graph.betweenness(square).collect()] == pytest.approx([1 / 6] * 4)
+
+
+def test_fit_reasons(spark):
+    points = [("few", 1.0, 1.0), ("few", 2.0, 1.0)] + [("same", 1.0, 1.0)] * 3 + [("nan", float(t), float("nan")) for t in range(3)] + [("minus", float(t), 1.0) for t in (-1, 1, 2)] + [("zero", 0.0, 1.0)] * 3
+    got = {r["k"]: r["status"] for r in ranking.quadratic_fit(spark.createDataFrame(points, "k string, t double, y double"), ["k"], "t", "y").collect()}
+    assert got == {"few": "too_few_points", "same": "singular", "nan": "not_finite", "minus": "negative_time", "zero": "no_positive_time"}
+
+
+def test_thresholds_none_and_ties(spark):
+    rows = spark.createDataFrame([(0.9, 0.1, 0.1, True, False, False), (0.9, 0.3, 0.2, False, False, False), (0.2, 0.9, 0.9, False, True, True)], "a double, i double, e double, t boolean, x boolean, y boolean")
+    best = ranking.choose_thresholds(rows, "a", "i", "e", "t", "x", "y").collect()
+    assert [tuple(r) for r in best] == [(0.9, 0.3, 0.2, 1, 1.0, 0.0, 0.0)]
+    assert ranking.choose_thresholds(rows, "a", "i", "e", "x", "x", "y").collect() == []
+
+
+def test_combinations_leave_out_vetoed_and_lose_neighbours(spark):
+    rows = spark.createDataFrame([("a", 0.5, 1.0, 1.0, 1.0, 0.0), ("b", 0.5, 0.9, 0.8, 1.0, 0.1), ("c", 0.9, 0.9, 0.9, 1.0, 0.9), ("d", None, 1.0, 1.0, 1.0, 0.0)], "id string, g double, k double, s double, w double, v double")
+    edges = spark.createDataFrame([("a", "d")], "src string, dst string")
+    got = {tuple(r["members"]): (r["gain"], r["retained"], r["safe"]) for r in ranking.combination_scores(rows, edges, "id", "g", "k", "s", "w", "v", 0.5).collect()}
+    assert got == {("a",): (0.5, 0.5, 1.0), ("b",): (0.5, 0.75, 0.8), ("a", "b"): (0.75, 0.25, 0.8)}
+
+
+def test_sequences_and_names(spark):
+    row = spark.range(1).select(
+        T.canonical_key(F.lit("ac-d*?x"), "ACD").alias("k"), T.strict_sequence(F.lit("ac gt-n")).alias("good"), T.strict_sequence(F.lit("acx")).alias("bad"), T.strict_sequence(F.lit(None).cast("string")).alias("none"),
+        T.bracketed_suffix(F.lit("p1 [x] protein [Some organism] ")).alias("s"), T.bracketed_suffix(F.lit("none")).alias("ns"), T.other_class(F.lit("Type VI-secretion"), ["t3ss"], "type(?:vi|iv)secretion").alias("o"), T.other_class(F.lit(None).cast("string"), [], "x").alias("no"),
+    ).first()
+    assert row["k"]["text"] == "ACD" and row["good"]["status"] == "pass" and row["good"]["text"] == "ACGTN"
+    assert row["bad"]["sha256"] is None and row["bad"]["reasons"] == ["invalid_characters"] and row["none"]["status"] == "invalid"
+    assert (row["s"], row["ns"], row["o"], row["no"]) == ("Some organism", None, True, False)
+
+
+def test_label_rows_outside_the_range_are_an_error(spark):
+    rows = spark.createDataFrame([("a", "2", "T")], "key string, label string, task string")
+    with pytest.raises(Exception, match="outside 0..1"):
+        evidence.label_rows(rows, ["key"], ["label"], "s").collect()
+    unknown = spark.createDataFrame([("a", "yes", "T"), (" ", "1", "T"), ("b", "1", None), ("c", None, "T")], "key string, label string, task string")
+    assert evidence.label_rows(unknown, ["key"], ["label"], "s").collect() == []  # unknown is no negative
+
+
+def test_gold_lookup_sets_conflicts_apart(spark):
+    labels = spark.createDataFrame([("a", "t", 1.0, "E1"), ("a", "t", 0.0, "E2"), ("b", "t", 1.0, "E4"), ("c", "t", 1.0, "E2"), ("c", "t", 1.0, "E2")], "key string, task string, label double, level string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    got = {r["key"]: (r["label"], r["status"]) for r in evidence.gold_lookup(wanted, labels, "key", "t").collect()}
+    assert got == {"a": (None, "conflict"), "b": (None, "missing"), "c": (1.0, "found")}
+
+
+def test_attribute_edges_keep_the_last(spark):
+    first = spark.createDataFrame([("a", "b", "k", 0.5), ("a", "a", "k", 1.0)], "src string, dst string, kind string, weight double")
+    last = spark.createDataFrame([("b", "a", "k", 0.2)], "src string, dst string, kind string, weight double")
+    assert sorted(tuple(r) for r in graph.attribute_edges(first, last).collect()) == [("a", "b", "k", 0.2), ("b", "a", "k", 0.2)]
+    genes = spark.createDataFrame([("g", 1, 1, 10, "+", None), ("g", 2, 51, 60, "+", None), ("g", 3, 200, 210, "-", "o"), ("g", 4, 900, 910, "+", "o")], "c string, id int, a int, b int, s string, o string")
+    assert sorted(tuple(r) for r in graph.neighbour_edges(genes, ["c"], "id", "a", "b", "s", "o").collect()) == [(1, 2, 0.8), (3, 4, 1.0)]
+
