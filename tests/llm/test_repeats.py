@@ -335,3 +335,9 @@ def test_components_of_loops_chains_and_stars(spark):
 @pytest.mark.parametrize("op", [topk_fagin.op3_topk_fagin, fuzzy_lines.op4_fuzzy_lines, jaccard_forest.op8_jaccard_forest, repeats_rlindex.op9_repeats_rlindex, chat_preference.op10_preference_format])
 def test_empty_table(spark, empty_folder, op):
     assert op(spark, empty_folder).collect() == []
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(300)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, rounds=1)
