@@ -2,18 +2,20 @@
 
 A first pass counts, over all documents, in how many each licence word stands;
 that gives every licence word its inverse document frequency. The index holds
-for each template the places of its words, entered under the rarest (highest
-IDF) word of every mandatory key phrase. A file's licence words are looked up
-from the rarest on; each hit fixes a relative position (file place less
-template place), the postings of the template's other words are intersected
-at that relative position, and the template counts where all its mandatory
-phrases stand there word for word. A file that holds a template's mandatory
-phrases at their places is always found: they contain the looked-up words.
-The share of the template's IDF weight that is matched there is the score
-only, so labels do not depend on the corpus.
-
-The four base phrases are found the same way, as templates that are one
-mandatory phrase each.
+the postings of all words of all templates: word -> (template, place). A file
+is looked up by the highest-IDF word of each template's mandatory phrases, and
+each hit fixes a relative position, file place less template place. There the
+mandatory phrases are verified word for word; a phrase may stand up to
+``DRIFT`` words nearer or farther than in the template, as copies add names
+and drop clauses. The postings of all the template's words are then
+intersected at the relative positions of its phrases, and the share of the
+template's IDF weight that they hold there is its score.
+
+Templates are whole wordings of short licences, the notices of long ones, and
+lines that files carry instead (``license_texts``). Verified mandatory phrases
+decide a label; the score does not, so labels do not depend on the corpus. The
+four base phrases are templates that are one mandatory phrase each, and have
+score 1 where they stand. A file's score is that of its best template.
 
 Defined cases: null text counts as empty and has no words; repeated rows give
 repeated results; ties in IDF go to the smaller word; other columns of the
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .license_texts import LINES, WORDINGS
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -43,24 +46,9 @@ BASE = [
     ("mit license", "mit"),
 ]
 
-#: Label, wording, and the key phrases of it that must stand.
-TEMPLATES = [
-    ("agpl-3.0", "gnu affero general public license version 3", ["gnu affero general public license"]),
-    ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", ["permission to use copy modify", "distribute this software"]),
-    ("lgpl-2.1", "gnu lesser general public license version 2 1", ["gnu lesser general public license"]),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy", ["permission is hereby granted free of charge"]),
-    ("mit-notice", "released under the mit license", ["the mit license"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-]
+TEMPLATES = [*WORDINGS, *LINES]
+#: How many words a mandatory phrase may stand off its place in the template.
+DRIFT = 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,62 +62,85 @@ def licence_words() -> list[str]:
     return sorted({w for text, _ in BASE for w in text.split()} | {w for _, text, _ in TEMPLATES for w in text.split()})
 
 
+class Template:
+    """A wording, the places of its words, and its mandatory phrases as (start, words, rarest word, place of that in the phrase)."""
+
+    def __init__(self, label: str, wording: str, phrases: list[str], idf: dict[str, float]):
+        self.label, self.words = label, wording.split()
+        self.weight = sum(idf[w] for w in self.words)
+        self.phrases = []
+        for phrase in map(str.split, phrases):
+            start = next(i for i in range(len(self.words)) if self.words[i : i + len(phrase)] == phrase)
+            rare = min(phrase, key=lambda w: (-idf[w], w))
+            self.phrases.append((start, phrase, rare, phrase.index(rare)))
+        # the file is looked up by the rarest phrase's rarest word
+        self.phrases.sort(key=lambda x: (-idf[x[2]], x[2], x[0]))
+
+
 class Index:
-    """Templates entered under the rarest word of each mandatory phrase."""
+    """Postings of the templates' words, and the templates by the word that they are looked up by."""
 
     def __init__(self, df: dict[str, int], n_docs: int):
         self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1 for w in licence_words()}
-        self.base = self._enter([(label, text.split(), [(0, text.split())]) for text, label in BASE])
-        entries = []
-        for label, text, phrases in TEMPLATES:
-            words = text.split()
-            at = []
-            for phrase in phrases:
-                p = phrase.split()
-                at.append((next(i for i in range(len(words)) if words[i : i + len(p)] == p), p))
-            entries.append((label, words, at))
-        self.full = self._enter(entries)
-        self.lookup = sorted({*self.base, *self.full}, key=lambda w: (-self.idf[w], w))
-
-    def _enter(self, entries: list) -> dict[str, list]:
-        index: dict[str, list] = defaultdict(list)
-        for label, words, phrases in entries:
-            # one rarest word over all phrases is enough: all phrases must stand
-            start, phrase = max(phrases, key=lambda x: max((self.idf[w], w) for w in x[1]))
-            rare = min(phrase, key=lambda w: (-self.idf[w], w))
-            index[rare].append((label, words, phrases, start + phrase.index(rare)))
-        return dict(index)
+        self.base = [Template(label, text, [text], self.idf) for text, label in BASE]
+        self.full = [Template(*t, self.idf) for t in TEMPLATES]
+        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for number, template in enumerate(self.full):
+            for place, word in enumerate(template.words):
+                self.postings[word].append((number, place))
+        self.entries: dict[str, list[tuple[bool, int]]] = defaultdict(list)
+        for is_base, templates in ((True, self.base), (False, self.full)):
+            for number, template in enumerate(templates):
+                self.entries[template.phrases[0][2]].append((is_base, number))
+        self.lookup = sorted(self.entries, key=lambda w: (-self.idf[w], w))
 
     def scan(self, words: list[str]) -> tuple[set[int], set[str], dict[str, float]]:
         """(base places, base labels, templates with their best share of IDF weight)."""
         starts: set[tuple[str, int]] = set()
-        labels: set[str] = set()
         found: dict[str, float] = {}
         present = set(words)
+        places: dict[str, list[int]] = {}
+
+        def standing(word: str) -> list[int]:
+            if word not in places:
+                at, out = -1, []
+                for _ in range(words.count(word)):
+                    at = words.index(word, at + 1)
+                    out.append(at)
+                places[word] = out
+            return places[word]
+
         for rare in self.lookup:
             if rare not in present:
                 continue
-            places, at = [], -1
-            for _ in range(words.count(rare)):
-                at = words.index(rare, at + 1)
-                places.append(at)
-            for label, template, phrases, offset in self.base.get(rare, ()):
-                for p in places:
-                    if self._stands(words, p - offset, phrases):
-                        starts.add((label, p - offset))
-                        labels.add(label)
-            for label, template, phrases, offset in self.full.get(rare, ()):
-                total = sum(self.idf[w] for w in template)
-                for p in places:
-                    zero = p - offset
-                    if self._stands(words, zero, phrases):
-                        share = sum(self.idf[w] for j, w in enumerate(template) if 0 <= zero + j < len(words) and words[zero + j] == w) / total
-                        found[label] = max(found.get(label, 0.0), share)
-        return starts, labels, found
+            for is_base, number in self.entries[rare]:
+                template = (self.base if is_base else self.full)[number]
+                start, phrase, _, offset = template.phrases[0]
+                for p in standing(rare):
+                    if words[p - offset : p - offset + len(phrase)] != phrase or p < offset:
+                        continue
+                    if is_base:
+                        starts.add((template.label, p - offset))
+                    elif shifts := self._shifts(words, standing, template, p - offset - start):
+                        found[template.label] = max(found.get(template.label, 0.0), self._share(words, number, shifts))
+        return starts, {label for label, _ in starts}, found
 
     @staticmethod
-    def _stands(words: list[str], zero: int, phrases: list) -> bool:
-        return all(zero + s >= 0 and words[zero + s : zero + s + len(p)] == p for s, p in phrases)
+    def _shifts(words: list[str], standing, template: Template, zero: int) -> set[int] | None:
+        """The relative positions of all mandatory phrases; None if one does not stand."""
+        shifts = {zero}
+        for start, phrase, rare, offset in template.phrases[1:]:
+            near = [p - offset - start for p in standing(rare) if abs(p - offset - start - zero) <= DRIFT and p >= offset and words[p - offset : p - offset + len(phrase)] == phrase]
+            if not near:
+                return None
+            shifts.add(min(near, key=lambda x: (abs(x - zero), x)))
+        return shifts
+
+    def _share(self, words: list[str], number: int, shifts: set[int]) -> float:
+        """The share of the template's IDF weight whose postings meet the file's words at one of the relative positions."""
+        template = self.full[number]
+        held = {place for shift in shifts for at in range(max(0, shift), min(len(words), shift + len(template.words))) for t, place in self.postings.get(words[at], ()) if t == number and at - place == shift}
+        return sum(self.idf[template.words[place]] for place in held) / template.weight
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +174,7 @@ def scan_licences(docs: DataFrame, index: Index) -> DataFrame:
                 words = words_of(text)
                 starts, base, found = shared.value.scan(words)
                 at = [p for _, p in starts]
-                row = (len(words), len(starts), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), ",".join(sorted(found)), max(found.values(), default=0.0))
+                row = (len(words), len(starts), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), ",".join(sorted(found)), max(found.values(), default=0.0) if not base else 1.0)
                 for column, value in zip(out, row):
                     column.append(value)
             types = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.float64()]

@@ -218,6 +218,26 @@ def test_licences_stand_where_brute_force_finds_them(spark, documents, request,
                 assert all(label in r["labels"].split(",") for r in got if r["doc_id"] == d["doc_id"] and r["n_words"] == len(words))
 
 
+@pytest.mark.parametrize("df", [{}, dict.fromkeys(license_scan.licence_words(), 900), {"license": 5, "licensed": 5, "software": 5, "mozilla": 999, "unencumbered": 999, "mit": 999}])
+def test_scores_are_shares_of_idf_weight_at_the_phrases_places(df):
+    index = license_scan.Index(dict(df), 1000)
+    for number, template in enumerate(index.full):
+        words = ["x", "y", *template.words, "z"]
+        assert index.scan(words)[2][template.label] == pytest.approx(1.0)
+        # words added between two phrases: what goes on at either place is held
+        if len(template.phrases) > 1:
+            starts = sorted(p[0] for p in template.phrases)
+            cut = starts[1]
+            moved = template.words[:cut] + ["new"] * 5 + template.words[cut:]
+            assert index.scan(moved)[2][template.label] == pytest.approx(1.0)
+            assert template.label not in index.scan(template.words[:cut] + ["new"] * 40 + template.words[cut:])[2] or any(t.label == template.label for i, t in enumerate(index.full) if i != number)
+        # by brute force: one word of the wording replaced takes its weight
+        k = max(i for i in range(len(template.words)) if not any(s <= i < s + len(p) for s, p, *_ in template.phrases)) if len(template.words) > sum(len(p[1]) for p in template.phrases) else None
+        if k is not None and sum(t.label == template.label for t in index.full) == 1:
+            changed = [*template.words[:k], "other", *template.words[k + 1 :]]
+            assert index.scan(changed)[2][template.label] == pytest.approx(1 - index.idf[template.words[k]] / template.weight)
+
+
 @pytest.mark.parametrize("df", [{}, dict.fromkeys(license_scan.licence_words(), 900), {"license": 5, "licensed": 5, "software": 5, "mozilla": 999, "unencumbered": 999, "mit": 999}])
 def test_mandatory_phrases_alone_give_the_label(df):
     index = license_scan.Index(dict(df), 1000)
