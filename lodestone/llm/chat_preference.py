@@ -14,8 +14,8 @@ turns for the common prefix; a pair with one side only has an empty prompt
 and an empty completion for the missing side; rows with a null pair id or any
 other side are left out; an empty table gives no rows. Columns beside the five
 named ones are ignored, so clashing names cannot matter. A conversation is
-gathered in one row, as its rendering is one string; repeated rows are
-removed before that.
+gathered in one row, as its rendering is one string; repeated rows go
+before they move.
 """
 
 from __future__ import annotations
@@ -48,17 +48,8 @@ def _mask(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc["spans"])
 
 
-def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "side", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per pair: pair_id, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask, n_chosen_turns, n_rejected_turns."""
-    rows = (
-        turns.select(F.col(pair).alias("pair_id"), F.col(side).alias("side"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-        .where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
-        .distinct()
-    )
-    item = F.struct("turn", "role", "text")
-    sides = rows.groupBy("pair_id").agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("chosen", "rejected")]
-    )
+def format_sides(sides: DataFrame) -> DataFrame:
+    """One row per row of (pair_id, chosen, rejected), both arrays of (turn, role, text) in order: see ``format_preferences``."""
     shorter = F.least(F.size("chosen"), F.size("rejected"))
     same = F.zip_with(
         F.slice("chosen", 1, shorter),
@@ -82,30 +73,41 @@ def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "sid
     )
 
 
-def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
-    """Preference pairs from plain conversations.
+def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "side", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row per pair: pair_id, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask, n_chosen_turns, n_rejected_turns."""
+    rows = turns.select(F.col(pair).alias("pair_id"), F.col(side).alias("side"), F.struct(F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("item"))
+    rows = rows.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
+    # sets, so that repeated rows go on the map side and turns move once
+    sides = rows.groupBy("pair_id").agg(*[F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("item")))).alias(s) for s in ("chosen", "rejected")])
+    return format_sides(sides)
+
+
+def sides_from_conversations(conversations: DataFrame) -> DataFrame:
+    """Preference pairs from plain conversations: (pair_id, chosen, rejected).
 
     Chosen: the conversation as it is. Rejected: the same turns up to its last
     assistant turn, whose text is replaced by that of the last assistant turn
     of the conversation with the next id (conv_id + 1), where there is one;
     without one, the rejected side ends before that turn. Conversations
     without an assistant turn get a rejected side equal to the chosen one.
+
+    Turns are moved once, to their conversation; only last answers move again.
     """
-    turns = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").where(F.col("conv_id").isNotNull()).distinct()
-    # max() of a struct: the last assistant turn and its text; repeated turn numbers take the larger text, nulls before any text
-    answers = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = answers.select((F.col("conv_id") - 1).alias("conv_id"), F.lit(True).alias("found"), F.col("last.text").alias("other_text"))
-    last = answers.select("conv_id", F.lit(True).alias("has"), F.col("last.turn").alias("last_turn")).join(other, "conv_id", "left")
-    chosen = turns.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    joined = turns.join(last, "conv_id", "left")
-    kept = joined.where(F.col("has").isNull() | F.col("last_turn").isNull() | (F.col("turn") < F.col("last_turn")))
-    kept = kept.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
-    swapped = last.where(F.col("found") & F.col("last_turn").isNotNull()).select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other_text").alias("text"))
-    return chosen.unionByName(kept).unionByName(swapped)
+    item = F.struct(F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    whole = conversations.where(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").alias("pair_id")).agg(F.sort_array(F.collect_set(item)).alias("chosen"))
+    # the largest (turn, text): repeated turn numbers take the larger text, nulls before any text
+    last = F.array_max(F.transform(F.filter("chosen", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["turn"].alias("turn"), t["text"].alias("text"))))
+    whole = whole.withColumn("last", last)
+    other = whole.where(F.col("last").isNotNull()).select((F.col("pair_id") - 1).alias("pair_id"), F.lit(True).alias("found"), F.col("last.text").alias("other_text"))
+    joined = whole.join(other, "pair_id", "left")
+    before = F.filter("chosen", lambda t: t["turn"] < F.col("last.turn"))
+    answer = F.array(F.struct(F.col("last.turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other_text").alias("text")))
+    rejected = F.when(F.col("last.turn").isNull(), F.col("chosen")).when(F.col("found"), F.concat(before, answer)).otherwise(before)
+    return joined.select("pair_id", "chosen", rejected.alias("rejected"))
 
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(pairs_from_conversations(read_table(spark, sf_dir, "conversations")))
+    return format_sides(sides_from_conversations(read_table(spark, sf_dir, "conversations")))
 
 
 OP10_SQL = """

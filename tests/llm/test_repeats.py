@@ -341,3 +341,46 @@ def test_components_that_do_not_settle_are_an_error(spark):
     chain = spark.createDataFrame([(i + 1, i) for i in range(300)], "src long, dst long")
     with pytest.raises(RuntimeError):
         connected_components(chain, rounds=1)
+
+
+def by_sql(name: str, table: str, path: str) -> Counter:
+    import duckdb
+
+    from lodestone.llm import registry
+
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/{table}.parquet/*.parquet')")
+    cursor = base.execute(registry.SQL[name])
+    order = sorted(range(len(cursor.description)), key=lambda i: cursor.description[i][0])
+    return Counter(tuple(r[i] for i in order) for r in cursor.fetchall())
+
+
+def test_preferences_of_odd_conversations(spark, tmp_path):
+    rows = [
+        (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 2, "assistant", "b"), (2, 1, "user", "a"), (2, 2, "assistant", "c"), (2, 3, "user", "d"), (3, 1, "assistant", None), (4, 1, "user", "x"), (4, None, "assistant", "y"),
+        (5, 1, "user", ""), (5, 1, "assistant", "p"), (5, 1, "assistant", "q"), (6, None, None, None), (8, 1, "assistant", "z"), (9, 1, "assistant", "w"), (None, 1, "user", "n"), (10, 2, "user", "late"), (10, 1, "assistant", "äö" * 5000),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS pair_id", "'x' AS chosen", "'x' AS n", "'x' AS `last`", "'x' AS found")
+    frame.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = chat_preference.op10_preference_format(spark, str(tmp_path))
+    assert Counter(tuple(r) for r in out.select(*sorted(out.columns)).collect()) == by_sql("op10_preference_format", "conversations", str(tmp_path))
+
+
+def test_preferences_run_without_python_workers(spark, small_tables):
+    plan = chat_preference.op10_preference_format(spark, small_tables)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and len(re.findall("Exchange hashpartitioning", plan)) <= 3
+
+
+def test_top_k_of_odd_vectors(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (100, [0.5, -0.25]), (100, [0.5, -0.25]), (200, [nan, 1.0]), (300, [inf, 1.0]), (400, None), (500, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [0.0, 0.0]), (9, [3.0, -2.0])]
+    rows += [(1000 + i, [float(i % 7), float(i % 5) - 2]) for i in range(1, 60) if (1000 + i) % 100]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS blk", "'x' AS dim", "'x' AS score", "'x' AS extra", "'x' AS v")
+    frame.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = Counter(tuple(r[c] for c in ("query_id", "rank", "score", "vec_id")) for r in topk_fagin.op3_topk_fagin(spark, str(tmp_path)).collect())
+    usable = [(i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want: Counter = Counter()
+    for q, x in {(i, tuple(v)) for i, v in usable if i % 100 == 0}:
+        scores = sorted(((-sum(a * b for a, b in zip(x, v)), i) for i, v in usable if i != q))[:10]
+        want.update((q, k, -s, i) for k, (s, i) in enumerate(scores, 1))
+    assert got == want
