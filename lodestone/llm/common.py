@@ -21,14 +21,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made and set as checkpoint folder.
+    Taken from ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (tests on one machine) a temporary folder is made and set
+    as checkpoint folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         path = sc.getCheckpointDir()
         if not path:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -55,6 +58,14 @@ def packed_rows(df: DataFrame, name: str = "doc") -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as make it none of the columns' (whatever their case)."""
+    taken = {c.casefold() for c in columns}
+    while name.casefold() in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_bytes(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Slices [a, b) of consecutive items with about ``most`` bytes each; at least one item."""
     a = total = seen = 0

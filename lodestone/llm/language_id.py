@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, read_table
+from .common import by_bytes, free_name, read_table
 
 BLANK = 32
 #: The least share of known trigrams of a document that is kept. Held-out documents of sf0.001, sf0.01 and sf0.1 have 0.58 or more, random letters 0.24 or less.
@@ -197,8 +197,11 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score:
 
     It cannot where the text is null or letterless, or where the best language
     holds less than ``min_cover`` of its trigrams (foreign scripts, gibberish).
+    Repeated rows have one fate, other columns of any name are kept, and
+    without a labelled document, or without rows, nothing stays.
     """
-    columns = docs.columns
+    columns = [f"`{c}`" for c in docs.columns]
     filters = train(docs.where(~held_out()))
-    found = predict(docs, filters, "_lang_pred", "_score", "_cover")
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= min_score) & (F.col("_cover") >= min_cover)).select(*columns)
+    pred, score, cover = (free_name(docs.columns, name) for name in ("lang_pred", "score", "cover"))
+    found = predict(docs, filters, pred, score, cover)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= min_score) & (F.col(cover) >= min_cover)).select(*columns)

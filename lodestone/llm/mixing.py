@@ -20,8 +20,7 @@ Defined cases: null text has size 0; a null source is a source of its own,
 last in order; sources of size 0 have target 0; documents of size 0 are taken
 0 words; repeated rows share their unit's copies evenly; an empty table gives
 no rows; extra columns take part in telling rows apart and are otherwise kept
-by ``mix_rows`` and ignored by ``mix_counts``. Names that begin with ``_mix``
-are reserved. The table of sources (one row a source) passes through one task.
+by ``mix_rows``, whatever their names, and ignored by ``mix_counts``. The table of sources (one row a source) passes through one task.
 """
 
 from __future__ import annotations
@@ -157,9 +156,10 @@ def _units(docs: DataFrame, block: int) -> DataFrame:
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    columns = docs.columns
+    """The rows packed in ``doc``, with two checksums of the whole row, doc_id, source and size."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"_mix1": F.xxhash64(*columns), "_mix2": F.xxhash64(F.lit("mix"), *columns), "_mix_size": size})
+    return docs.select(F.struct(*columns).alias("doc"), F.xxhash64(*columns).alias("_mix1"), F.xxhash64(F.lit("mix"), *columns).alias("_mix2"), "doc_id", "source", size.alias("size"))
 
 
 def _copies(units: DataFrame) -> DataFrame:
@@ -176,28 +176,28 @@ def _copies(units: DataFrame) -> DataFrame:
 def mix_counts(docs: DataFrame, block: int = 2048) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source, ...)."""
     kind = docs.schema["doc_id"].dataType
-    rows = _prepared(docs).select("_mix1", "_mix2", "doc_id", "source", F.col("_mix_size").alias("size"))
+    rows = _prepared(docs).drop("doc")
     out = _copies(_units(rows, block))
     return out.select(F.col("_mix_doc").cast(kind).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
 def mix_rows(docs: DataFrame, block: int = 2048) -> DataFrame:
     """The mixed corpus: columns of ``docs``, each row as often as it is taken; a document taken in part keeps its first words."""
-    columns = docs.columns
     keyed = _prepared(docs)
-    units = _units(keyed.select("_mix1", "_mix2", "doc_id", "source", F.col("_mix_size").alias("size")), block)
+    units = _units(keyed.drop("doc"), block)
     units = units.select("_mix1", "_mix2", "n", (F.col("sure") + F.col("x").cast("long")).alias("_mix_total"), F.col("part").alias("_mix_part"))
-    taken = keyed.join(units.where((F.col("_mix_total") > 0) | (F.col("_mix_part") > 0)), ["_mix1", "_mix2"])
+    taken = keyed.select("doc", "_mix1", "_mix2").join(units.where((F.col("_mix_total") > 0) | (F.col("_mix_part") > 0)), ["_mix1", "_mix2"])
     # equal rows are kept once and then repeated, so that no row needs a number among its equals
     single = taken.where(F.col("n") == 1).unionByName(taken.where(F.col("n") > 1).dropDuplicates(["_mix1", "_mix2"]))
     times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_mix_total").cast("int")), F.when(F.col("_mix_part") > 0, F.array("_mix_part")).otherwise(F.array().cast("array<bigint>")))
     out = single.withColumn("_mix_words", F.explode(times))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, F.col("_mix_words").cast("int")), "")
-    out = out.withColumn("text", F.when(F.col("_mix_words") < 0, F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_words") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    whole = F.col("_mix_words") < 0
+    doc = F.col("doc").withField("text", F.when(whole, F.col("doc.text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.when(whole, F.col("doc.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType))
+    return out.select(doc.alias("doc")).select("doc.*")
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,4 +205,5 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of ``docs``, all columns kept: rows are left out or repeated, and one a source at most is cut to its first words; the module's text defines nulls, empty texts, repeated rows and empty tables."""
     return mix_rows(docs)
