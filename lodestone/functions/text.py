@@ -34,19 +34,23 @@ def normalise(text: Column, allowed: str, ambiguous: str = "", shortest: int = 2
     Fields: text, sha256 (null if empty), length, stop_removed, gaps, ambiguous, invalid, status (invalid, review, pass), reasons.
     """
     squeezed = ascii_upper(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, ""))
-    unstopped = F.regexp_replace(squeezed, r"\*$", "")
-    gapless = F.replace(unstopped, F.lit("-"), F.lit(""))
     known = allowed + ambiguous
-    strange = F.array_sort(F.array_distinct(F.regexp_extract_all(gapless, F.lit(f"([^{known}])"), F.lit(1))))
-    unsure = F.array_sort(F.array_distinct(F.regexp_extract_all(gapless, F.lit(f"([{ambiguous}])"), F.lit(1)))) if ambiguous else F.array().cast("array<string>")
-    clean = F.regexp_replace(gapless, f"[^{known}]", "")
-    n, gaps = F.length(clean), F.length(unstopped) - F.length(gapless)
-    why = reasons((n == 0, "empty_after_normalization"), (F.size(strange) > 0, "invalid_characters"), (n < shortest, "short_review"), (n > longest, "implausibly_long"), (F.size(unsure) > 0, "ambiguous_characters"), (gaps > 0, "gaps_removed"))
-    status = F.when((F.size(strange) > 0) | (n == 0) | (n > longest), "invalid").when(F.size(why) > 0, "review").otherwise("pass")
-    return F.struct(
-        clean.alias("text"), F.when(n > 0, F.sha2(clean, 256)).alias("sha256"), n.cast("long").alias("length"), squeezed.endswith("*").alias("stop_removed"),
-        gaps.cast("long").alias("gaps"), unsure.alias("ambiguous"), strange.alias("invalid"), status.alias("status"), why.alias("reasons"),
-    )
+    remove = lambda value, letters: F.call_function("translate", value, letters, F.lit(""))
+    gapless = lambda s: F.replace(F.regexp_replace(s, r"\*$", ""), F.lit("-"), F.lit(""))
+
+    def found(s: Column, g: Column, strange: Column, clean: Column) -> Column:
+        n, gaps = F.length(clean), F.length(s) - F.when(s.endswith("*"), 1).otherwise(0) - F.length(g)
+        unsure = F.array_compact(F.array(*[F.when(F.contains(g, F.lit(c)), c) for c in sorted(ambiguous)]).cast("array<string>"))
+        why = reasons((n == 0, "empty_after_normalization"), (F.size(strange) > 0, "invalid_characters"), (n < shortest, "short_review"), (n > longest, "implausibly_long"), (F.size(unsure) > 0, "ambiguous_characters"), (gaps > 0, "gaps_removed"))
+        status = F.when((F.size(strange) > 0) | (n == 0) | (n > longest), "invalid").when(F.size(why) > 0, "review").otherwise("pass")
+        return F.struct(
+            clean.alias("text"), F.when(n > 0, F.sha2(clean, 256)).alias("sha256"), n.cast("long").alias("length"), s.endswith("*").alias("stop_removed"),
+            gaps.cast("long").alias("gaps"), unsure.alias("ambiguous"), strange.alias("invalid"), status.alias("status"), why.alias("reasons"),
+        )
+
+    # each step once a row; known characters are deleted first, so that only the few foreign ones become an array
+    distinct = lambda rest: F.array_sort(F.array_distinct(F.filter(F.split(rest, ""), lambda c: c != "")))
+    return let(squeezed, lambda s: let(gapless(s), lambda g: let(distinct(remove(g, F.lit(known))), lambda strange: let(remove(g, F.array_join(strange, "")), lambda clean: found(s, g, strange, clean)))))
 
 
 def replace_outside(text: Column, allowed: str, filler: str = "X", longest: int | None = None) -> Column:

@@ -37,13 +37,26 @@ def word_grams(text: Column, k: int) -> Column:
 
 
 def containment(texts: DataFrame, text_id: str, probes: DataFrame, probe_id: str, text: str = "text", k: int = 8) -> DataFrame:
-    """(text_id, probe_id, shared, contained): the share of a probe's k-word runs that stand in a text."""
+    """(text_id, probe_id, shared, contained): the share of a probe's k-word runs that stand in a text.
+
+    Probes and texts of fewer than k words have no runs and give no rows. Runs
+    of the texts are held against the distinct hashes of the probes' runs
+    first, so that only the few that may match move with their words.
+    """
     a = texts.select(text_id, F.explode(word_grams(F.col(text), k)).alias("g")).select(text_id, F.xxhash64("g").alias("h"), "g")
     b = probes.select(probe_id, word_grams(F.col(text), k).alias("gs")).select(probe_id, F.size("gs").alias("_n"), F.explode("gs").alias("g")).select(probe_id, "_n", F.xxhash64("g").alias("h"), F.col("g").alias("_g"))
+    hashes = b.select("h").distinct()
+    if few(hashes):  # 8 bytes each; beyond that the join shuffles both sides
+        a = a.join(F.broadcast(hashes), "h", "left_semi")
     found = a.join(b, "h").where(F.col("g") == F.col("_g")).groupBy(text_id, probe_id, "_n").agg(F.count(F.lit(1)).alias("shared"))
     return found.select(text_id, probe_id, "shared", (F.col("shared") / F.col("_n")).alias("contained"))
 
 
+def few(rows: DataFrame, most: int = 1_000_000) -> bool:
+    """Whether there are at most so many rows (a job that stops at that number), so that they may be broadcast."""
+    return rows.limit(most + 1).count() <= most
+
+
 def sections(html: Column, tokens: Sequence[str], longest: int = 1800) -> Column:
     """Array of (heading, cut) of h1 to h6 headings that hold one of the tokens; heading is cut to ``longest`` characters."""
     headings = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import fnmatch
+import tarfile
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +52,27 @@ def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
 
 
 def optional(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
-    """The delimited table, or an empty one of ``schema`` where there is no path."""
-    if path is None:
+    """The delimited table, or an empty one of ``schema`` where there is no path or nothing at it."""
+    try:
+        return spark.createDataFrame([], schema) if path is None else delimited(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return delimited(spark, path)
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, sequence): records start with ``>``; split at records, so plain files are read in parallel."""
-    block = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("b")).where(F.length(F.trim("b")) > 0)
+def fasta(spark: SparkSession, path: str, others: bool = False) -> DataFrame:
+    """(id, description, sequence): records start with ``>``; split at records, so plain files are read in parallel.
+
+    Text before a file's first ``>`` is an error, which costs a second pass
+    over the files. ``others``: without the first record of each file.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("_file")).where(F.length(F.trim("value")) > 0)
+    # only the first record of a file still has its mark
+    marked = F.col("value").startswith(">")
+    begun = raw.groupBy("_file").agg(F.bool_or(marked).alias("_begun"))
+    checked = raw.join(begun, "_file").where(F.when(F.col("_begun"), True).otherwise(F.raise_error(F.concat(F.lit("no header at the start of "), F.col("_file"))).cast("boolean")))
+    block = (checked.where(~marked) if others else checked).select(F.regexp_replace("value", "^>", "").alias("b"))
     head = F.regexp_extract("b", r"^([^\r\n]*)", 1)
     return block.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), F.regexp_replace(F.regexp_replace("b", r"^[^\r\n]*", ""), r"\s", "").alias("sequence"))
 
@@ -66,8 +83,10 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
     A file is read whole by one task, as records cannot be told from within it.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("lines"))
-    at = files.select("file", "lines", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4).cast("int"))).alias("k"))
-    line = lambda i: F.get("lines", F.col("k") * 4 + i)
+    starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4).cast("int"))
+    # records are formed before they are exploded, so that none carries the file's lines
+    at = files.select("file", F.explode(F.transform(starts, lambda k: F.slice("lines", k * 4 + 1, F.lit(4)))).alias("record"))
+    line = lambda i: F.get("record", F.lit(i))
     good = line(0).startswith("@") & line(2).startswith("+") & (F.length(line(1)) == F.length(line(3)))
     return at.select("file", F.regexp_extract(line(0), r"^@?(\S*)", 1).alias("id"), line(1).alias("read"), line(3).alias("quality"), (~F.coalesce(good, F.lit(False))).alias("faulty"))
 
@@ -78,9 +97,9 @@ def file_integrity(records: DataFrame) -> DataFrame:
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(id, reference, position, mapped) of SAM files; header lines and lines of under four columns are skipped."""
+    """(id, reference, position, mapped) of SAM files; header lines and lines of under three columns are skipped."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(parts) > 3))
+    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(parts) > 2))
     flag = F.get(parts, F.lit(1)).try_cast("int")
     return rows.select(F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(2)).alias("reference"), F.get(parts, F.lit(3)).try_cast("long").alias("position"), (F.coalesce(flag, F.lit(4)).bitwiseAND(4) == 0).alias("mapped"))
 
@@ -93,8 +112,8 @@ def intervals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def aligned_texts(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA records of an alignment without insertions (lower-case letters and dots)."""
-    return fasta(spark, path).withColumn("sequence", F.regexp_replace("sequence", "[a-z.]", ""))
+    """FASTA records of an alignment but for the first of each file, the query; without insertions (lower-case letters and dots)."""
+    return fasta(spark, path, others=True).withColumn("sequence", F.regexp_replace("sequence", "[a-z.]", ""))
 
 
 def blocks(spark: SparkSession, path: str, separator: str = "//") -> DataFrame:
@@ -124,8 +143,49 @@ def link_rows(text: Column) -> Column:
 
 
 def section_titles(xml: Column) -> Column:
-    """Titles of the sections of well-formed XML; null where it is not well formed."""
-    return F.when(F.coalesce(xml.rlike(r"(?s)^\s*<.*>\s*$"), F.lit(False)), F.xpath(xml, F.lit("//sec/title/text()")))
+    """Titles of the sections of well-formed XML; null where a parser finds it not well formed."""
+    broken = F.from_xml(xml, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"]
+    return F.when(F.coalesce(xml.rlike(r"(?s)^\s*<.*>\s*$") & broken.isNull(), F.lit(False)), F.xpath(xml, F.lit("//sec/title/text()")))
+
+
+def archive_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(archive, member, number, line) of the text members of zip and tar archives (gzip too) whose names match.
+
+    An archive is read by one task, as archives cannot be split; its lines
+    leave in batches. Lines are UTF-8, faulty bytes replaced.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows: list[tuple[str, str, int, str]] = []
+                for member, number, line in _members(content.as_buffer()):
+                    if fnmatch.fnmatch(member, pattern):
+                        rows.append((archive, member, number, line))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+                        rows = []
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+
+    names = ["archive", "member", "number", "line"]
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("number", pa.int64()), ("line", pa.string())])
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, number long, line string")
+
+
+def _members(content: pa.Buffer) -> Iterator[tuple[str, int, str]]:
+    file = pa.BufferReader(content)
+    if zipfile.is_zipfile(file):
+        with zipfile.ZipFile(file) as archive:
+            for name in archive.namelist():
+                if not name.endswith("/"):
+                    with archive.open(name) as stream:
+                        yield from ((name, k, line.decode("utf-8", "replace").rstrip("\r\n")) for k, line in enumerate(stream))
+        return
+    file.seek(0)
+    with tarfile.open(fileobj=file, mode="r:*") as archive:
+        for entry in archive:
+            if entry.isfile() and (stream := archive.extractfile(entry)) is not None:
+                yield from ((entry.name, k, line.decode("utf-8", "replace").rstrip("\r\n")) for k, line in enumerate(stream))
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -343,3 +343,40 @@ def test_attribute_edges_keep_the_last(spark):
     genes = spark.createDataFrame([("g", 1, 1, 10, "+", None), ("g", 2, 51, 60, "+", None), ("g", 3, 200, 210, "-", "o"), ("g", 4, 900, 910, "+", "o")], "c string, id int, a int, b int, s string, o string")
     assert sorted(tuple(r) for r in graph.neighbour_edges(genes, ["c"], "id", "a", "b", "s", "o").collect()) == [(1, 2, 0.8), (3, 4, 1.0)]
 
+
+def test_broken_files(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    headless = write(tmp_path / "h.fasta", "ACGT\n>p\nAC\n")
+    with pytest.raises(Exception, match="no header"):
+        readers.fasta(spark, headless).collect()
+    aligned = readers.aligned_texts(spark, write(tmp_path / "a.a3m", ">query\nACD\n>hit\nAc.CD\n")).collect()
+    assert [(r["id"], r["sequence"]) for r in aligned] == [("hit", "ACD")]
+    sam = readers.alignments(spark, write(tmp_path / "g.sam", "q1\t0\tchr\nq2\t4\n")).collect()
+    assert [(r["id"], r["reference"], r["position"], r["mapped"]) for r in sam] == [("q1", "chr", None, True)]
+    xml = spark.createDataFrame([("<a><sec><title>One</title></sec><sec><title>Two</title></sec></a>",), ("<a><sec></a>",), ("no xml",), (None,)], "x string")
+    assert [r[0] for r in xml.select(readers.section_titles(F.col("x"))).collect()] == [["One", "Two"], None, None, None]
+    assert readers.optional(spark, str(tmp_path / "none.tsv"), "a string").collect() == [] == readers.optional(spark, None, "a string").collect()
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in/a.tsv", "x\ty\r\n1\t2\n")
+        z.writestr("b.txt", "no")
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        entry = tarfile.TarInfo("c.fasta")
+        entry.size = 7
+        t.addfile(entry, io.BytesIO(b">p\nACGT"))
+    lines = lambda name, pattern="*": [(r["member"], r["number"], r["line"]) for r in readers.archive_lines(spark, str(tmp_path / name), pattern).orderBy("member", "number").collect()]
+    assert lines("z.zip", "*.tsv") == [("in/a.tsv", 0, "x\ty"), ("in/a.tsv", 1, "1\t2")]
+    assert lines("t.tar.gz") == [("c.fasta", 0, ">p"), ("c.fasta", 1, "ACGT")]
+
+
+def test_containment_is_the_same_without_a_broadcast(spark, monkeypatch):
+    from lodestone.operators import textmine
+
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d x"), (3, None)], "id int, text string")
+    probes = spark.createDataFrame([(1, "b c d e"), (2, "a b")], "pid int, text string")
+    want = sorted(tuple(r) for r in textmine.containment(texts, "id", probes, "pid", k=3).collect())
+    monkeypatch.setattr(textmine, "few", lambda rows: False)
+    assert want == sorted(tuple(r) for r in textmine.containment(texts, "id", probes, "pid", k=3).collect()) == [(1, 1, 2, 1.0), (2, 1, 1, 0.5)]
+
