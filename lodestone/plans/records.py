@@ -244,10 +244,10 @@ def acquisition(t: Tables) -> DataFrame:
     return s.select("p_partkey", F.round(F.col("a_scaled") * F.col("b_scaled") * (1 - F.col("v_scaled")), 9).alias("acquisition"))
 
 
-@query(f"""WITH {SCORES}, s AS (SELECT p_partkey AS k, b FROM p ORDER BY b DESC, p_partkey LIMIT 20) SELECT k::VARCHAR AS members, round(b, 9) AS score FROM s UNION ALL SELECT x.k || ',' || y.k, round(1 - (1 - x.b) * (1 - y.b), 9) FROM s x JOIN s y ON x.k < y.k
+@query(f"""WITH {SCORES}, s AS (SELECT p_partkey AS k, b FROM p ORDER BY b DESC, p_partkey LIMIT 60) SELECT k::VARCHAR AS members, round(b, 9) AS score FROM s UNION ALL SELECT x.k || ',' || y.k, round(1 - (1 - x.b) * (1 - y.b), 9) FROM s x JOIN s y ON x.k < y.k
 UNION ALL SELECT x.k || ',' || y.k || ',' || z.k, round(1 - (1 - x.b) * (1 - y.b) * (1 - z.b), 9) FROM s x JOIN s y ON x.k < y.k JOIN s z ON y.k < z.k""")
 def combinations3(t: Tables) -> DataFrame:
-    c = ranking.combinations(part_scores(t), "p_partkey", "b", 3, 20)
+    c = ranking.combinations(part_scores(t), "p_partkey", "b", 3, 60)
     return c.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), F.round("score", 9).alias("score"))
 
 

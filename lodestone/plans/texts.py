@@ -177,14 +177,14 @@ def kgram_containment(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT item_id, lower(text) AS x FROM benchmark),
-g AS (SELECT item_id, unnest(list_concat(list_transform(range(1, length(x)), lambda i: substring(x, i, 2)), list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3)))) AS term FROM b),
-tf AS (SELECT item_id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
-r AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term))
-SELECT item_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weight, round(max(w) / sqrt(sum(w * w)), 6) AS heaviest FROM r GROUP BY 1""")
+WITH b AS (SELECT doc_id, lower(text) AS x FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, length(x)), lambda i: substring(x, i, 2)), list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3)), list_transform(range(1, length(x) - 2), lambda i: substring(x, i, 4)))) AS term FROM b),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term))
+SELECT doc_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weight, round(max(w) / sqrt(sum(w * w)), 6) AS heaviest FROM r GROUP BY 1""")
 def ngram_tfidf(t: Tables) -> DataFrame:
-    w = textmine.tfidf(t.benchmark, "item_id", textmine.char_ngrams(F.lower("text"), 2, 3))
-    return w.groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("heaviest"))
+    w = textmine.tfidf(t.documents, "doc_id", textmine.char_ngrams(F.lower("text"), 2, 4))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
 @query("SELECT DISTINCT source, CASE WHEN n <= greatest(floor(t * 0.7::DOUBLE), 1) THEN 'train' WHEN n <= greatest(floor(t * 0.7::DOUBLE), 1) + greatest(floor(t * 0.15::DOUBLE), 1) THEN 'validation' ELSE 'test' END AS split FROM (SELECT source, row_number() OVER (ORDER BY sha256('42:' || source), source) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))")
