@@ -143,3 +143,11 @@ def verified_evidence(evidence: DataFrame, reference: DataFrame, key: str, text:
         .when(~F.coalesce(F.upper(F.col(category)).isin(list(scope)), F.lit(False)), "out_of_scope").otherwise("accepted")
     )
     return evidence.join(known, key, "left").withColumn("status", status).drop("_actual", "_known")
+
+
+def with_lineage(rows: DataFrame, rules: Sequence[Rule], lineage: dict[str, str]) -> DataFrame:
+    """The rows, which must break no rule, with constant version columns, which must say something."""
+    empty = [n for n, v in lineage.items() if v.strip().lower() in PLACEHOLDERS]
+    if empty:
+        raise ValueError(f"versions that say nothing: {empty}")
+    return strict(rows, rules).withColumns({n: F.lit(v) for n, v in lineage.items()})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import aggregate, evidence, graph, ranking, splits, validate
+from lodestone.sources import readers, sinks
 
 from .catalogue import Tables, query
 from .records import EDGES, SCORES, customer_edges, part_scores, similar_vectors
@@ -266,3 +267,26 @@ def retention(t: Tables) -> DataFrame:
     central = t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("node"), F.lit(0.25).alias("betweenness"))
     out = graph.retention(values, "c_custkey", "x", edges.where("kind = 'near'"), edges.where("kind = 'same'"), central, 2.0)
     return out.withColumn("retention", F.round("retention", 6))
+
+
+@query("""SELECT page_id, CASE WHEN NOT starts_with(url, 'http') THEN 'no page' WHEN regexp_matches(url, '[02468]$') THEN 'even' WHEN length(html) > 2000 THEN 'large' END AS reason FROM pages""")
+def packaging_reasons(t: Tables) -> DataFrame:
+    rules = [(~F.col("url").startswith("http"), "no page"), (F.col("url").rlike("[02468]$"), "even"), (F.length("html") > 2000, "large")]
+    return sinks.packaged(t.pages, rules).select("page_id", "reason")
+
+
+@query("""SELECT url AS path, nullif(regexp_extract(url, '^https?://([^/]+)', 1), '') AS project, nullif(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), '') AS accession, 'crawl' AS assay, 0.5::DOUBLE AS label FROM pages""")
+def path_records(t: Tables) -> DataFrame:
+    return readers.path_records(t.pages.select(F.col("url").alias("path")), {"project": "^https?://([^/]+)", "accession": "([0-9]+)[^0-9]*$"}, {"assay": "crawl", "label": 0.5})
+
+
+@query("""SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS name FROM pages WHERE regexp_extract(url, '^https?://([^/]+)', 1) <> ''""")
+def names_in_paths(t: Tables) -> DataFrame:
+    return readers.names_in_paths(t.pages.select(F.col("url").alias("path")), "^https?://([^/]+)")
+
+
+@query("""SELECT vec_id, embedding[1]::DOUBLE AS first, 'v1' AS model_version, 'b7' AS batch_id FROM embeddings""")
+def validated_features(t: Tables) -> DataFrame:
+    rules = [(F.col("embedding").isNull() | (F.size("embedding") != 64), "feature:shape")]
+    rows = validate.with_lineage(t.embeddings, rules, {"model_version": "v1", "batch_id": "b7"})
+    return rows.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), "model_version", "batch_id")

@@ -198,3 +198,14 @@ def vectors(table: DataFrame, wanted: DataFrame, key: str, place: str) -> DataFr
     joined = wanted.join(table.withColumn("_found", F.lit(True)), key, "left")
     checked = joined.where(F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True))
     return checked.drop("_found").orderBy(place)
+
+
+def path_records(paths: DataFrame, patterns: dict[str, str], constants: dict[str, object], path: str = "path") -> DataFrame:
+    """One record a path: the first group of each pattern (null where it is not found), and constant columns."""
+    found = {name: F.regexp_extract(path, pattern, 1) for name, pattern in patterns.items()}
+    return paths.select(path, *[F.when(c != "", c).alias(name) for name, c in found.items()], *[F.lit(v).alias(name) for name, v in constants.items()])
+
+
+def names_in_paths(paths: DataFrame, pattern: str, path: str = "path") -> DataFrame:
+    """(name): the distinct first groups of the pattern over all paths."""
+    return path_records(paths, {"name": pattern}, {}, path).select("name").where(F.col("name").isNotNull()).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,9 @@ def judged_files(files: DataFrame, bad_suffixes: Sequence[str]) -> DataFrame:
     for s in bad_suffixes:
         bad = bad | F.lower("path").endswith(s)
     return files.withColumn("verdict", F.when(bad, "bad_suffix").when(F.col("bytes") == 0, "empty").otherwise("keep"))
+
+
+def packaged(files: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
+    """Adds reason to files (or rows): the first (condition, reason) that holds, null for those that are packed."""
+    reason = F.coalesce(*[F.when(condition, why) for condition, why in rules]) if rules else F.lit(None).cast("string")
+    return files.withColumn("reason", reason)

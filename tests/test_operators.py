@@ -380,3 +380,16 @@ def test_containment_is_the_same_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(textmine, "few", lambda rows: False)
     assert want == sorted(tuple(r) for r in textmine.containment(texts, "id", probes, "pid", k=3).collect()) == [(1, 1, 2, 1.0), (2, 1, 1, 0.5)]
 
+
+def test_lineage_must_say_something(spark):
+    rows = spark.createDataFrame([(1, [1.0])], "id int, v array<double>")
+    with pytest.raises(ValueError, match="batch_id"):
+        validate.with_lineage(rows, [], {"batch_id": " Unknown "})
+    with pytest.raises(Exception, match="short"):
+        validate.with_lineage(rows, [(F.size("v") < 2, "short")], {"batch_id": "b"}).collect()
+
+
+def test_labels_keep_duplicates_and_invent_no_negatives(spark):
+    part = spark.createDataFrame([("a", "t", 1.0, "s"), ("a", "t", 1.0, "s")], "key string, task string, label double, source string")
+    out = evidence.union_sources({"x": part, "y": part}, F.lit("E4")).collect()
+    assert len(out) == 4 and all(r["label"] == 1.0 for r in out) and {r["origin"] for r in out} == {"x", "y"}
