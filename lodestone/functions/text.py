@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,3 +226,31 @@ def other_class(text: Column, own: Sequence[str], known: str) -> Column:
     """Whether a text, without blanks, ``_`` and ``-`` and in lower case, names a known class (pattern ``known``) and none of ``own``."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s_-]+", "")
     return (plain != "") & ~plain.isin(list(own)) & plain.rlike(known)
+
+
+def pooled_pairs(text: Column, classes: dict[str, str], order: str, cells: int) -> Column:
+    """Array of ``cells`` shares: those of neighbouring pairs of classes (by their places in ``order``), the cells beyond folded back onto the first, divided by their number.
+
+    Characters without a class are left out.
+    """
+    kept = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{''.join(classes)}]", ""), "".join(classes), "".join(classes.values()))
+    size = len(order)
+    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
+    names = [a + b for a in order for b in order]
+    share = lambda p, name: F.size(F.filter(p, lambda y: y == name)) / F.greatest(F.size(F.filter(p, lambda y: F.length(y) == 2)), F.lit(1))
+    spare = size * size - cells
+
+    def cut(p: Column) -> Column:
+        shares = [share(p, n) for n in names]
+        return F.array(*[shares[i] + shares[cells + i] / spare if i < spare else shares[i] for i in range(cells)])
+
+    return let(kept, lambda x: let(pairs(x), cut))
+
+
+def folded_title_key(title: Column) -> Column:
+    """``title_key`` of the title without accents (compatibility decomposition, in Arrow batches: Spark has no function for it)."""
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFKD")
+
+    return title_key(fold(title))

@@ -146,3 +146,52 @@ def position_coverage(rows: DataFrame, group: str, text: str, length: int) -> Da
     spots = rows.select(group, F.posexplode(F.split(F.substring(F.coalesce(text, F.lit("")), 1, length), "")).alias("_i", "_x")).where(~F.col("_x").isin("", "-", "."))
     seen = spots.groupBy(group).agg(F.countDistinct("_i").alias("_n"))
     return rows.select(group).distinct().join(seen, group, "left").select(group, (F.coalesce("_n", F.lit(0)) / length).alias("covered"))
+
+
+def strata_coverage(strata: DataFrame, inputs: DataFrame, stratum: str, weight: str, factors: Sequence[str], low: str, high: str, members: DataFrame, member: str) -> DataFrame:
+    """One row (lower, upper, missing): the weighted mean over strata of the chance that any member covers, with the low and the high chance.
+
+    ``inputs`` holds (member, stratum, factors, low, high); a member covers a
+    stratum with the product of the factors and the chance. A pair of member
+    and stratum without all of them makes the result null: nothing is assumed.
+    Negative or no weights are an error.
+    """
+    pairs = strata.select(stratum, weight).join(members.select(member).distinct()).join(inputs, [member, stratum], "left")
+    share = F.lit(1.0)
+    for f in factors:
+        share = share * F.col(f)
+    known = share.isNotNull() & F.col(low).isNotNull() & F.col(high).isNotNull()
+    per = pairs.groupBy(stratum, weight).agg(F.count_if(~known).alias("_missing"), *[(1 - F.product(1 - share * F.col(c))).alias(f"_{n}") for n, c in (("low", low), ("high", high))])
+    w = F.when(F.col(weight) >= 0, F.col(weight)).otherwise(F.raise_error(F.lit("a weight is negative")).cast("double"))
+    total = per.agg(F.sum("_missing").alias("missing"), F.sum(w).alias("_w"), *[F.sum(F.col(weight) * F.col(f"_{n}")).alias(f"_{n}") for n in ("low", "high")])
+    value = lambda n: F.when(F.col("missing") > 0, None).when(F.col("_w") > 0, F.col(f"_{n}") / F.col("_w"))
+    return total.select(value("low").alias("lower"), value("high").alias("upper"), "missing")
+
+
+def spread_density(rows: DataFrame, group: Sequence[str], score: str, power: float = 1.0) -> DataFrame:
+    """(group, n, density, evenness, spread): mean score within 0..1, normalised entropy of the scores above 0, and density x evenness^power."""
+    x = F.col(score).cast("double")
+    with_score = rows.where(F.col(score).isNotNull()).select(*group, F.greatest(x, F.lit(0.0)).alias("_x"), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("_c"))
+    totals = with_score.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("_t"), F.avg("_c").alias("density"))
+    for g in group:
+        totals = totals.withColumnRenamed(g, f"_group_{g}")
+    joined = with_score.join(totals, [F.col(g).eqNullSafe(F.col(f"_group_{g}")) for g in group])
+    p = F.try_divide("_x", "_t")
+    out = joined.groupBy(*group).agg(F.max("n").alias("n"), F.max("density").alias("density"), F.max("_t").alias("_t"), (-F.sum(p * F.ln(p + 1e-12))).alias("_h"))
+    evenness = F.when((F.col("_t") > 0) & (F.col("n") > 1), F.col("_h") / F.ln("n")).otherwise(0.0)
+    return out.select(*group, "n", "density", evenness.alias("evenness"), (F.col("density") * F.pow(evenness, F.lit(power))).alias("spread"))
+
+
+def sample_weights(rows: DataFrame, label: str, tier: Column, weights: dict[str, float], beta: float = 0.999) -> DataFrame:
+    """Adds weight: the class weight times that of the row's tier; the least of them for other tiers."""
+    tiers = F.lit(min(weights.values()))
+    for name, value in weights.items():
+        tiers = F.when(tier == name, value).otherwise(tiers)
+    # one row a class
+    return rows.join(F.broadcast(class_weights(rows, label, beta).select(label, F.col("weight").alias("_class"))), label).withColumn("weight", F.col("_class") * tiers).drop("_class")
+
+
+def filtered_summary(rows: DataFrame, kept: Column, score: str, amount: str, call: str, calls: Sequence[str]) -> DataFrame:
+    """One row: all rows, kept rows, kept rows of each call, mean and median score and mean amount of the kept (0 without any)."""
+    mean = lambda f, c: F.coalesce(f(F.when(kept, F.col(c))), F.lit(0.0))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept"), *[F.count_if(kept & (F.col(call) == c)).alias(f"n_{c}") for c in calls], mean(F.avg, score).alias("mean_score"), mean(F.median, score).alias("median_score"), mean(F.avg, amount).alias("mean_amount"))

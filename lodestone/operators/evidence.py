@@ -32,6 +32,12 @@ def grade(private: Column, assay: Column, source: Column, reference: Column, tar
     )
 
 
+def grade_reason(level: Column) -> Column:
+    """In words, why a row has its level."""
+    texts = {"E1": "direct assay on the target with a reference", "E2": "direct assay in private data", "E3": "computed", "E4": "no direct assay stated"}
+    return F.coalesce(*[F.when(level == name, text) for name, text in texts.items()])
+
+
 def level_weight(level: Column) -> Column:
     out = F.lit(None).cast("double")
     for name, weight in WEIGHTS.items():

@@ -97,3 +97,21 @@ def bootstrap_interval(rows: DataFrame, group: str, value: Column, replicates: i
     means = bootstrap(rows, group, value, replicates, seed).where(F.col("mean").isNotNull())
     tail = round((1 - level) / 2, 10)
     return means.agg(F.count(F.lit(1)).alias("replicates"), F.avg("mean").alias("mean"), F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
+
+
+def category_kappa(left: DataFrame, right: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """One row (n, agreement, kappa) of two raters' labels of any values, on the keys that both have; null where chance agreement is complete."""
+    both = left.select(*keys, F.col(label).alias("_a")).join(right.select(*keys, F.col(label).alias("_b")), list(keys)).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    cells = both.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sides = cells.select(F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("_a").alias("v")), F.struct(F.lit("b").alias("s"), F.col("_b").alias("v")))).alias("e"), "_n")
+    per = sides.groupBy("e.v").agg(F.sum(F.when(F.col("e.s") == "a", F.col("_n")).otherwise(0)).alias("_x"), F.sum(F.when(F.col("e.s") == "b", F.col("_n")).otherwise(0)).alias("_y"))
+    chance = per.agg(F.sum(F.col("_x") * F.col("_y")).alias("_c"))
+    total = cells.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(0)).alias("_same"))
+    agreement, expected = F.try_divide("_same", "n"), F.try_divide("_c", F.col("n") * F.col("n"))
+    return total.crossJoin(F.broadcast(chance)).select("n", agreement.alias("agreement"), F.when(expected < 1, (agreement - expected) / (1 - expected)).alias("kappa"))
+
+
+def gate_rates(rows: DataFrame, passed: Column, known: Column, **spoiled: Column) -> DataFrame:
+    """One row: rows passed, recall of the known, and the share of the passed that each ``spoiled`` flag holds for; denominators are 1 at least."""
+    n = lambda c: F.greatest(F.count_if(c), F.lit(1))
+    return rows.agg(F.count_if(passed).alias("n_passed"), (F.count_if(passed & known) / n(known)).alias("recall"), *[(F.count_if(passed & c) / n(passed)).alias(name) for name, c in spoiled.items()])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import reasons
+
 
 
 def global_rank(rows: DataFrame, score: str, row_id: str, buckets: int = 256) -> DataFrame:
@@ -284,3 +286,32 @@ def screened(rows: DataFrame, group: Sequence[str], score: str, year: str, row_i
     """The first ``quota`` rows of each group with at least ``least``: best score first, then the latest year (null as 0), then id."""
     order = [F.col(score).desc(), F.coalesce(year, F.lit(0)).desc(), F.col(row_id)]
     return top_per_group(rows.where(F.col(score) >= least), group, order, quota)
+
+
+def top_overlap(rows: DataFrame, row_id: str, scores: Sequence[str], k: int, least: float = 0.3) -> DataFrame:
+    """One row a pair of scores (a, b, overlap): rows in both top k over k, and ``disagree``: whether the mean overlap of all pairs is below ``least``."""
+    tops = {s: rows.where(F.col(s).isNotNull()).orderBy(F.col(s).desc(), row_id).limit(k).select(row_id) for s in scores}
+    out = None
+    for i, a in enumerate(scores):
+        for b in scores[i + 1 :]:
+            part = tops[a].join(tops[b], row_id).agg((F.count(F.lit(1)) / max(1, k)).alias("overlap")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "overlap")
+            out = part if out is None else out.unionByName(part)
+    return out.withColumn("disagree", F.avg("overlap").over(Window.partitionBy()) < least)  # one row a pair of columns
+
+
+def judged_tiers(rows: DataFrame, x: str, y: str, safe: str, agree: str, veto: str, least_x: float, least_y: float, veto_above: float, powers: tuple[float, float, float] = (1.0, 1.0, 1.0), least_agree: int = 2) -> DataFrame:
+    """``tiers`` with reasons (sorted) and utility, x^p y^q safe^r, null unless all three are there; shares outside 0..1 are an error."""
+    shares = (x, y, safe, veto)
+    odd = F.lit(False)
+    for c in shares:
+        odd = odd | (F.col(c).isNotNull() & ~F.coalesce(F.col(c).between(0, 1), F.lit(False)))
+    checked = rows.where(F.when(odd, F.raise_error(F.lit("a share lies outside 0..1")).cast("boolean")).otherwise(True))
+    out = tiers(checked, x, y, agree, veto, least_x, least_y, veto_above, least_agree)
+    missing = F.col(x).isNull() | F.col(y).isNull()
+    vetoed, below = F.col("tier") == "excluded", ~((F.col(x) >= least_x) & (F.col(y) >= least_y))
+    why = reasons(
+        ((F.col("tier") == "B") & ~F.coalesce(F.col(agree) >= least_agree, F.lit(False)), "agreement_not_met"), ((F.col("tier") == "B") & below, "below_threshold"),
+        (F.col("tier") == "C", "dominated"), (missing | vetoed, "unavailable"), (vetoed, "vetoed"),
+    )
+    p, q, r = powers
+    return out.withColumn("reasons", F.array_sort(why)).withColumn("utility", F.pow(x, F.lit(p)) * F.pow(y, F.lit(q)) * F.pow(safe, F.lit(r)))

@@ -70,3 +70,18 @@ def position_profile(rows: DataFrame, text: str) -> DataFrame:
     per = chars.groupBy("position", "c").agg(F.count(F.lit(1)).alias("_n"))
     g = per.groupBy("position").agg(F.sum("_n").alias("n"), F.max(F.struct(F.col("_n"))).alias("_m"), F.min_by("c", F.struct(-F.col("_n"), F.col("c"))).alias("consensus"), F.coalesce(F.sum(F.when(F.col("c") == "-", F.col("_n"))), F.lit(0)).alias("_gaps"))
     return g.select("position", "n", "consensus", (F.col("_m._n") / F.col("n")).alias("share"), (F.col("_gaps") / F.col("n")).alias("gaps"))
+
+
+def spectrum(rows: DataFrame, group: str, text: str, bins: int = 32, missing: str = "N") -> DataFrame:
+    """(group, bin, value) for every bin: the shares of a group's rows that have a character (other than ``missing``) at a position, summed over a bin's positions and divided by all positions.
+
+    Positions go to the longest row's end and are dealt to bins of equal width
+    (one position at least).
+    """
+    texts = rows.where(F.length(text) > 0).select(group, F.col(text).alias("_t"))
+    size = rows.groupBy(group).agg(F.max(F.length(text)).alias("_l"), F.count(F.lit(1)).alias("_n"))
+    spots = texts.select(group, F.posexplode(F.split("_t", "")).alias("_i", "_c")).where(~F.col("_c").isin("", missing)).groupBy(group, "_i").agg(F.count(F.lit(1)).alias("_k"))
+    place = F.least(F.floor(F.col("_i") / F.greatest(F.col("_l") / bins, F.lit(1.0))), F.lit(bins - 1)).cast("int")
+    summed = spots.join(size, group).groupBy(group, place.alias("bin")).agg(F.sum(F.col("_k") / F.col("_n") / F.col("_l")).alias("_v"))
+    every = size.select(group, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(summed, [group, "bin"], "left").select(group, "bin", F.coalesce("_v", F.lit(0.0)).alias("value"))

@@ -151,3 +151,16 @@ def with_lineage(rows: DataFrame, rules: Sequence[Rule], lineage: dict[str, str]
     if empty:
         raise ValueError(f"versions that say nothing: {empty}")
     return strict(rows, rules).withColumns({n: F.lit(v) for n, v in lineage.items()})
+
+
+def split_overlaps(rows: DataFrame, key: str, split: str) -> DataFrame:
+    """(a, b, n): pairs of splits with keys in both."""
+    pairs = rows.select(key, F.col(split).alias("a")).distinct().join(rows.select(key, F.col(split).alias("b")).distinct(), key).where(F.col("a") < F.col("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def verdict(issues: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """One row (status, issues): fail if an issue is blocking or splits overlap, warn if there is any issue, else pass."""
+    found = issues.select("issue", "severity").unionByName(overlaps.limit(1).select(F.lit("SPLIT_OVERLAP").alias("issue"), F.lit("fail").alias("severity")))
+    worst = found.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("severity") == "fail").alias("_f"), F.array_sort(F.collect_set("issue")).alias("_i"))
+    return worst.select(F.when(F.col("_f") > 0, "fail").when(F.col("_n") > 0, "warn").otherwise("pass").alias("status"), F.array_join("_i", ",").alias("issues"))

@@ -393,3 +393,27 @@ def test_labels_keep_duplicates_and_invent_no_negatives(spark):
     part = spark.createDataFrame([("a", "t", 1.0, "s"), ("a", "t", 1.0, "s")], "key string, task string, label double, source string")
     out = evidence.union_sources({"x": part, "y": part}, F.lit("E4")).collect()
     assert len(out) == 4 and all(r["label"] == 1.0 for r in out) and {r["origin"] for r in out} == {"x", "y"}
+
+
+def test_coverage_of_strata(spark):
+    strata = spark.createDataFrame([("s", 2.0)], "s string, w double")
+    inputs = spark.createDataFrame([("m", "s", 0.9, 1.0, 0.5, 0.8)], "m string, s string, p double, e double, lo double, hi double")
+    one = aggregate.strata_coverage(strata, inputs, "s", "w", ["p", "e"], "lo", "hi", inputs, "m").first()
+    assert (one["lower"], one["upper"], one["missing"]) == (pytest.approx(0.45), pytest.approx(0.72), 0)
+    more = inputs.select("m").unionByName(spark.createDataFrame([("x",)], "m string"))
+    assert tuple(aggregate.strata_coverage(strata, inputs, "s", "w", ["p", "e"], "lo", "hi", more, "m").first()) == (None, None, 1)
+    with pytest.raises(Exception, match="negative"):
+        aggregate.strata_coverage(strata.withColumn("w", F.lit(-1.0)), inputs, "s", "w", ["p", "e"], "lo", "hi", inputs, "m").collect()
+
+
+def test_judged_tiers(spark):
+    rows = spark.createDataFrame([("a", 0.8, 0.8, 0.8, 2, 0.1), ("b", 0.4, 0.4, 0.4, 2, 0.1), ("c", 0.9, 0.9, 0.9, 3, 0.8), ("d", None, 0.4, None, None, None), ("e", 0.9, 0.2, 1.0, None, None)], "id string, x double, y double, s double, n int, v double")
+    got = {r["id"]: (r["tier"], r["reasons"]) for r in ranking.judged_tiers(rows, "x", "y", "s", "n", "v", 0.7, 0.7, 0.5).collect()}
+    assert got == {"a": ("A", []), "b": ("C", ["dominated"]), "c": ("excluded", ["unavailable", "vetoed"]), "d": ("unranked", ["unavailable"]), "e": ("B", ["agreement_not_met", "below_threshold"])}
+    with pytest.raises(Exception, match="outside"):
+        ranking.judged_tiers(rows.withColumn("s", F.lit(1.5)), "x", "y", "s", "n", "v", 0.7, 0.7, 0.5).collect()
+
+
+def test_folded_titles(spark):
+    row = spark.range(1).select(T.folded_title_key(F.lit("Caf\u00e9  \ufb01ne!")).alias("k"), T.folded_title_key(F.lit(None).cast("string")).alias("n")).first()
+    assert row["k"] == "cafe fine" and row["n"] is None
