@@ -183,6 +183,33 @@ def test_media_file_reads_by_the_standards_procedures(payload):
     assert rgb.shape == (image.height, image.width, 3) and rgb.dtype == np.uint8
 
 
+@pytest.mark.parametrize("payload", [b"hello world", "größere Texte über Straßen ".encode() * 60])
+def test_media_tensor_by_definition(payload):
+    """All samples by the inverse transform's definition, chroma repeated to full size, colours by the standard's weights."""
+    file = jpeg_media.encode_batch([payload])[0]
+    coef, _ = plain_decoder(file)
+    image, _, rgb = jpeg_media.decode_batch([file])[0]
+    zig = sorted(((u, v) for u in range(8) for v in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    basis = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    most = max(h for h, _ in image.sampling), max(v for _, v in image.sampling)
+    full = []
+    for c, (h, v) in zip(sorted(coef), image.sampling):
+        plane = np.zeros((8 * (1 + max(r for r, _ in coef[c])), 8 * (1 + max(k for _, k in coef[c]))))
+        for (r, k), values in coef[c].items():
+            square = np.zeros((8, 8))
+            for (a, b), x in zip(zig, values):
+                square[a, b] = x
+            plane[8 * r : 8 * r + 8, 8 * k : 8 * k + 8] = np.clip(np.floor(basis.T @ square @ basis + 128.5), 0, 255)
+        full.append(np.kron(plane, np.ones((most[1] // v, most[0] // h)))[: image.height, : image.width])
+    y, cb, cr = (full[0], full[1] - 128, full[2] - 128) if len(full) == 3 else (full[0], 0 * full[0], 0 * full[0])
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    # a sample at the edge of rounding may fall to either side: one unit of chroma is 1.772 of blue, and half a unit is rounded
+    apart = np.abs(rgb.astype(float) - np.clip(want, 0, 255))
+    assert apart.max() <= 1.772 + 0.51 and (apart > 0.51).mean() < 0.01
+    means = [int(rgb[:, :, i].sum(dtype=np.int64)) * 1000 // (image.width * image.height) for i in range(3)]
+    assert jpeg_media.feature_of(rgb) == f"{image.width}x{image.height}:{means[0]}:{means[1]}:{means[2]}:{zlib.crc32(rgb.tobytes()):08x}"
+
+
 def test_broken_media_gives_a_message(spark):
     good = jpeg_media.encode_batch([b"some text"])[0]
     frame = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"\xff\xd8 nothing")), (4, bytearray(good[: len(good) // 2]))], "doc_id long, media binary")
@@ -297,6 +324,29 @@ def test_language_stage_rejects_what_no_language_holds(spark, small_tables):
     assert got == Counter(r["doc_id"] for r in docs.collect())
 
 
+@pytest.mark.parametrize("slots,apart", [(1 << 20, 1e-3), (1 << 12, 0.04)])
+def test_language_filters_against_exact_sets(slots, apart):
+    draw = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnop "))
+    text = lambda n: "".join(draw.choice(letters, n))
+    known = {k: set(language_id.trigrams([text(900)])[0].tolist()) for k in range(70)}  # more languages than bits of a word
+    grams = np.array([g for k in known for g in sorted(known[k])], np.uint64)
+    langs = np.array([k for k in known for _ in known[k]])
+    filters = language_id.Filters([f"l{k:02}" for k in known], "l00", grams, langs, slots, 3)
+    texts = [text(n) for n in (30, 300, 3000)] + ["", "123", "zz"]
+    pred, score, cover = filters.judge(texts)
+    for t, p, s, c in zip(texts, pred, score, cover):
+        mine = language_id.trigrams([t])[0].tolist()
+        hits = np.array([sum(g in known[k] for g in mine) for k in known], float)
+        if not any(x.isalpha() for x in t):
+            assert (p, s, c) == ("und", 0.0, 0.0)
+        elif not hits.sum():
+            assert c <= apart
+        else:
+            assert abs(c - hits.max() / len(mine)) <= apart and hits[int(p[1:])] >= hits.max() - apart * len(mine)
+            assert abs(s - hits[int(p[1:])] / hits.sum()) <= apart
+
+
 def test_language_trigram_counts_by_brute_force():
     texts = ["Ab c1de", "", "é", "xyz xyz"]
     packed, owner, n_letters = language_id.trigrams(texts)
