@@ -147,18 +147,10 @@ def pair_composition(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT doc_id, least(length(text), 200) AS n, string_split(substring(text, 1, 200), '') AS c FROM documents),
-p AS (SELECT unnest(c) AS c, unnest(range(len(c))) AS position FROM k),
+WITH p AS (SELECT unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS position FROM documents WHERE length(text) > 0),
 g AS (SELECT position, c, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT position::INTEGER AS position, sum(n)::BIGINT AS n, arg_min(c, (-n, c)) AS consensus, round(max(n) / sum(n), 9) AS share, round(coalesce(sum(n) FILTER (c = '-'), 0) / sum(n), 9) AS gaps FROM g GROUP BY 1""")
 def position_profile(t: Tables) -> DataFrame:
-    """The first 200 positions, for the SQL; ``whole_position_profile`` has all."""
-    p = textmine.position_profile(t.documents.select(F.substring("text", 1, 200).alias("text")), "text")
-    return p.select("position", "n", "consensus", F.round("share", 9).alias("share"), F.round("gaps", 9).alias("gaps"))
-
-
-@query()
-def whole_position_profile(t: Tables) -> DataFrame:
     """Every position of every document."""
     p = textmine.position_profile(t.documents, "text")
     return p.select("position", "n", "consensus", F.round("share", 9).alias("share"), F.round("gaps", 9).alias("gaps"))

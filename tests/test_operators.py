@@ -125,7 +125,7 @@ def test_position_profile_has_every_position(spark, small_tables):
             counts = places.setdefault(i, {})
             counts[c] = counts.get(c, 0) + 1
     want = {i: (sum(n.values()), min(n, key=lambda c: (-n[c], c)), round(max(n.values()) / sum(n.values()), 9), round(n.get("-", 0) / sum(n.values()), 9)) for i, n in places.items()}
-    assert {r[0]: tuple(r[1:]) for r in registry.QUERIES["whole_position_profile"](spark, small_tables).collect()} == want
+    assert {r[0]: tuple(r[1:]) for r in registry.QUERIES["position_profile"](spark, small_tables).collect()} == want
     assert len(want) > 200
 
 
@@ -417,3 +417,36 @@ def test_judged_tiers(spark):
 def test_folded_titles(spark):
     row = spark.range(1).select(T.folded_title_key(F.lit("Caf\u00e9  \ufb01ne!")).alias("k"), T.folded_title_key(F.lit(None).cast("string")).alias("n")).first()
     assert row["k"] == "cafe fine" and row["n"] is None
+
+
+def test_file_kinds_edges_and_ids(spark):
+    contents = [(bytearray(b"\x1f\x8b\x08"), "gzip"), (bytearray(b"PK\x03\x04xx"), "zip"), (bytearray(b"\x89PNG\r\n"), "png"), (bytearray(b"%PDF-1"), "pdf"), (bytearray(b"PAR1"), "parquet"), (bytearray(b"text"), "other"), (bytearray(b""), "other")]
+    rows = spark.createDataFrame(contents, "content binary, want string")
+    assert all(r["got"] == r["want"] for r in rows.select(validate.file_kind(F.col("content")).alias("got"), "want").collect())
+    edges = spark.createDataFrame([(1, 2, 0.5, 0), (None, 2, 0.5, 0), (1, 2, float("nan"), 0), (1, 2, 0.5, 9)], "s int, d int, w double, k int")
+    got = [r["reasons"] for r in validate.with_reasons(edges, validate.edge_rules("s", "d", "w", "k")).collect()]
+    assert got == [[], ["edge:missing_end"], ["edge:weight"], ["edge:kind"]]
+    ids = spark.createDataFrame([(1, "a", None), (1, "a", ""), (2, "a", None)], "n int, x string, y string").select(T.stable_id("p", F.col("n"), F.col("x"), F.col("y")).alias("id")).collect()
+    assert len({r["id"] for r in ids}) == 3 and all(r["id"].startswith("p") and len(r["id"].split("_")[1]) == 16 for r in ids)
+
+
+def test_first_rows_of_a_key(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 5)], "k string, v int")
+    got = sorted((r["k"], r["v"], r["rank"]) for r in dedup.neighbours_kept(rows, ["k"], [F.col("v")], 2).collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("b", 5, 1)]
+
+
+def test_csv_is_never_written_over(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,b")], "i int, t string")
+    sinks.write_csv(rows, str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()] == [("1", "a,b")]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_csv(rows, str(tmp_path / "out"))
+
+
+def test_first_events_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:10:00", 2), ("b", "2024-01-01 00:05:00", 3)], "k string, ts string, v int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = stream.first_seen(stream.read_folder(spark, str(tmp_path / "in"), "k string, ts string, v int"), "k", "ts")
+    events.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 3)]
