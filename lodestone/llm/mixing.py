@@ -39,6 +39,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 FAN_IN = 256
+#: So many copies of a row are made at a time.
+CHUNK = 100_000
 EPS = 1e-9
 
 
@@ -162,10 +164,19 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*columns).alias("doc"), F.xxhash64(*columns).alias("_mix1"), F.xxhash64(F.lit("mix"), *columns).alias("_mix2"), "doc_id", "source", size.alias("size"))
 
 
-def _copies(units: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, count: str, name: str, chunk: int = CHUNK, deal: bool = False) -> DataFrame:
+    """Every row ``count`` times, numbered from 0 in ``name``, ``chunk`` numbers at a time; ``deal``: chunks of the same row go to different tasks."""
+    first = F.col("_mix_chunk") * chunk
+    parts = rows.where(F.col(count) > 0).withColumn("_mix_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk))))
+    if deal:
+        parts = parts.where(F.col(count) <= chunk).unionByName(parts.where(F.col(count) > chunk).repartition("_mix_chunk", "_mix1"))
+    return parts.withColumn(name, F.explode(F.sequence(first, F.least(first + chunk, F.col(count)) - 1))).drop("_mix_chunk")
+
+
+def _copies(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per row of a unit: whole copies and a part. The n rows of a unit share its copies evenly."""
     total = F.col("sure") + F.col("x").cast("long")
-    rows = units.withColumn("total", total).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = repeated(units.withColumn("total", total), "n", "i", chunk, deal=True)
     first = F.col("total") % F.col("n")
     return rows.withColumns({
         "copies": F.floor(F.col("total") / F.col("n")).cast("long") + F.when(F.col("i") < first, 1).otherwise(0),
@@ -173,15 +184,15 @@ def _copies(units: DataFrame) -> DataFrame:
     })
 
 
-def mix_counts(docs: DataFrame, block: int = 2048) -> DataFrame:
+def mix_counts(docs: DataFrame, block: int = 2048, chunk: int = CHUNK) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source, ...)."""
     kind = docs.schema["doc_id"].dataType
     rows = _prepared(docs).drop("doc")
-    out = _copies(_units(rows, block))
+    out = _copies(_units(rows, block), chunk)
     return out.select(F.col("_mix_doc").cast(kind).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
-def mix_rows(docs: DataFrame, block: int = 2048) -> DataFrame:
+def mix_rows(docs: DataFrame, block: int = 2048, chunk: int = CHUNK) -> DataFrame:
     """The mixed corpus: columns of ``docs``, each row as often as it is taken; a document taken in part keeps its first words."""
     keyed = _prepared(docs)
     units = _units(keyed.drop("doc"), block)
@@ -189,8 +200,8 @@ def mix_rows(docs: DataFrame, block: int = 2048) -> DataFrame:
     taken = keyed.select("doc", "_mix1", "_mix2").join(units.where((F.col("_mix_total") > 0) | (F.col("_mix_part") > 0)), ["_mix1", "_mix2"])
     # equal rows are kept once and then repeated, so that no row needs a number among its equals
     single = taken.where(F.col("n") == 1).unionByName(taken.where(F.col("n") > 1).dropDuplicates(["_mix1", "_mix2"]))
-    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_mix_total").cast("int")), F.when(F.col("_mix_part") > 0, F.array("_mix_part")).otherwise(F.array().cast("array<bigint>")))
-    out = single.withColumn("_mix_words", F.explode(times))
+    times = single.withColumn("_mix_times", F.col("_mix_total") + F.when(F.col("_mix_part") > 0, 1).otherwise(0))
+    out = repeated(times, "_mix_times", "_mix_i", chunk).withColumn("_mix_words", F.when(F.col("_mix_i") < F.col("_mix_total"), -1).otherwise(F.col("_mix_part")))
     pieces = F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, F.col("_mix_words").cast("int")), "")
     whole = F.col("_mix_words") < 0

@@ -415,3 +415,12 @@ def test_mixed_rows_agree_with_the_counts(spark, small_tables):
 @pytest.mark.parametrize("op", [jpeg_media.op1_jpeg_media, license_scan.op2_license_scan, bpe_words.op5_bpe_words, language_id.op6_language_id, mixing.op7_source_mix])
 def test_empty_table(spark, empty_folder, op):
     assert op(spark, empty_folder).collect() == []
+
+
+def test_many_equal_rows_are_copied_in_chunks(spark, tmp_path):
+    rows = [(1, "one two three", "s")] * 37 + [(i, "four five", "s") for i in range(2, 9)] + [(20, "six", "t")] * 11
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for run in (mixing.mix_counts, mixing.mix_rows):
+        whole, parts = (Counter(tuple(r) for r in run(docs, chunk=n).collect()) for n in (100_000, 4))
+        assert whole == parts and sum(whole.values()) > 0
