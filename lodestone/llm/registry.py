@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_words import op5_bpe_words
 from .chat_preference import OP10_SQL, op10_preference_format
+from .divergence import OP11_SQL, op11_source_divergence
 from .fuzzy_lines import op4_fuzzy_lines
 from .jaccard_forest import OP8_SQL, op8_jaccard_forest
 from .jpeg_media import op1_jpeg_media
@@ -15,6 +16,7 @@ from .language_id import op6_language_id
 from .license_scan import op2_license_scan
 from .mixing import op7_source_mix
 from .repeats_rlindex import OP9_SQL, op9_repeats_rlindex
+from .spelling import OP13_SQL, op13_spelling_variants
 from .topk_fagin import OP3_SQL, op3_topk_fagin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_forest,
         op9_repeats_rlindex,
         op10_preference_format,
+        op11_source_divergence,
+        op13_spelling_variants,
     )
 }
 
-SQL = {"op3_topk_fagin": OP3_SQL, "op8_jaccard_forest": OP8_SQL, "op9_repeats_rlindex": OP9_SQL, "op10_preference_format": OP10_SQL}
+SQL = {"op3_topk_fagin": OP3_SQL, "op8_jaccard_forest": OP8_SQL, "op9_repeats_rlindex": OP9_SQL, "op10_preference_format": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_spelling_variants": OP13_SQL}
