@@ -15,6 +15,7 @@ from .jpeg_media import op1_jpeg_media
 from .language_id import op6_language_id
 from .license_scan import op2_license_scan
 from .mixing import op7_source_mix
+from .packing import op12_mixture_packing
 from .repeats_rlindex import OP9_SQL, op9_repeats_rlindex
 from .spelling import OP13_SQL, op13_spelling_variants
 from .topk_fagin import OP3_SQL, op3_topk_fagin
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_repeats_rlindex,
         op10_preference_format,
         op11_source_divergence,
+        op12_mixture_packing,
         op13_spelling_variants,
     )
 }
