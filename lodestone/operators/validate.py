@@ -51,6 +51,37 @@ def edge_rules(src: str, dst: str, weight: str, kind: str, kinds: int = 6) -> li
     return [(F.col(src).isNull() | F.col(dst).isNull(), "edge:missing_end"), (~is_finite(F.col(weight).cast("double")), "edge:weight"), (F.coalesce(~F.col(kind).between(0, kinds - 1), F.lit(True)), "edge:kind")]
 
 
+#: Views and tracks of a feature, the views of the second track, tasks, and names of versions.
+VIEWS = ["protein", "protein_residue", "annotation", "structure_3di", "msa", "pssm", "omics", "dna", "dna_window", "rna"]
+TRACKS = ["v1_protein", "v2_dna", "private_omics", "SOM", "INT"]
+DNA_VIEWS = ["dna", "dna_window"]
+DNA_TRACK = "v2_dna"
+TASKS = ["H1", "H2", "H3", "H4", "H5", "T1", "T2", "T3a", "T3b", "T4"]
+VERSIONS = ["model_version", "feature_version", "label_version", "batch_id"]
+
+
+def feature_rules(key: str = "gene_id", view: str = "view", track: str = "track", embedding: str = "embedding") -> list[Rule]:
+    """Rules of a feature row: a key, a known view and track that belong together, a vector that is not empty."""
+    known = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
+    dna_view, dna_track = known(view, DNA_VIEWS), F.coalesce(F.col(track) == DNA_TRACK, F.lit(False))
+    return [
+        (F.col(key).isNull(), f"{key}:missing"), (~known(view, VIEWS), "view:unknown"), (~known(track, TRACKS), "track:unknown"),
+        (dna_view & ~dna_track, "view:needs_its_track"), (dna_track & ~dna_view, "track:needs_its_view"), (F.coalesce(F.size(embedding), F.lit(0)) <= 0, "embedding:empty"),
+    ]
+
+
+def record_rules(kind: str) -> list[Rule]:
+    """The rules of a kind of record (feature, label, graph), its lineage included; an absent field counts as null."""
+    lineage = lineage_rules(*[f"lineage.{v}" for v in VERSIONS])
+    if kind == "feature":
+        return [*feature_rules(), *lineage]
+    if kind == "label":
+        return [(F.col("gene_id").isNull(), "gene_id:missing"), *label_rules(level="evidence_level", gold="training_eligible_as_gold", tasks=TASKS), *lineage]
+    if kind == "graph":
+        return edge_rules("src", "dst", "weight", "relation")
+    raise ValueError(f"no kind of record: {kind}")
+
+
 def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): keys on one side only, by one full outer join."""
     a, b = left.select(key).distinct().withColumn("_l", F.lit(True)), right.select(key).distinct().withColumn("_r", F.lit(True))
