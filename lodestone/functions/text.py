@@ -29,9 +29,11 @@ def reasons(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(when, F.lit(message)) for when, message in rules]))
 
 
-def normalise(text: Column, allowed: str, ambiguous: str = "", shortest: int = 20, longest: int = 100_000) -> Column:
+def normalise(text: Column, allowed: str, ambiguous: str = "", shortest: int = 20, longest: int = 100_000, usual: tuple[int, int] | None = None) -> Column:
     """Struct of the cleaned text and what was found: blanks, one final ``*`` and ``-`` go, other foreign characters are reported and left out.
 
+    Lengths under ``shortest`` are reviewed, or, where it is given, those outside the ``usual`` range (8 to 30 for peptides).
+
     Fields: text, sha256 (null if empty), length, stop_removed, gaps, ambiguous, invalid, status (invalid, review, pass), reasons.
     """
     squeezed = ascii_upper(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, ""))
@@ -42,7 +44,8 @@ def normalise(text: Column, allowed: str, ambiguous: str = "", shortest: int = 2
     def found(s: Column, g: Column, strange: Column, clean: Column) -> Column:
         n, gaps = F.length(clean), F.length(s) - F.when(s.endswith("*"), 1).otherwise(0) - F.length(g)
         unsure = F.array_compact(F.array(*[F.when(F.contains(g, F.lit(c)), c) for c in sorted(ambiguous)]).cast("array<string>"))
-        why = reasons((n == 0, "empty_after_normalization"), (F.size(strange) > 0, "invalid_characters"), (n < shortest, "short_review"), (n > longest, "implausibly_long"), (F.size(unsure) > 0, "ambiguous_characters"), (gaps > 0, "gaps_removed"))
+        odd_length = (n < shortest, f"length:below_{shortest}") if usual is None else (~n.between(*usual), f"length:outside_{usual[0]}_{usual[1]}")
+        why = reasons((F.size(strange) > 0, "letters:foreign"), (F.size(unsure) > 0, "letters:ambiguous"), (gaps > 0, "letters:gaps"), (n == 0, "length:none"), odd_length, (n > longest, f"length:above_{longest}"))
         status = F.when((F.size(strange) > 0) | (n == 0) | (n > longest), "invalid").when(F.size(why) > 0, "review").otherwise("pass")
         return F.struct(
             clean.alias("text"), F.when(n > 0, F.sha2(clean, 256)).alias("sha256"), n.cast("long").alias("length"), s.endswith("*").alias("stop_removed"),

@@ -45,11 +45,15 @@ def level_weight(level: Column) -> Column:
     return out
 
 
+#: Roles of a group of labels.
+ROLES = ("quarantine_conflict", "direct_supervision", "weak_supervision_only")
+
+
 def resolve_labels(labels: DataFrame, keys: Sequence[str], label: str = "label", level: str = "level") -> DataFrame:
     """One row a key: n, n_values, conflict, role. Opposite finite labels are set aside, not averaged."""
     value = F.when(is_finite(F.col(label).cast("double")), F.col(label).cast("double"))
     out = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(value).alias("n_values"), F.max(F.coalesce(F.col(level).isin("E1", "E2"), F.lit(False))).alias("_direct"))
-    role = F.when(F.col("n_values") > 1, "quarantine_conflict").when(F.col("_direct"), "direct_supervision").otherwise("weak_supervision_only")
+    role = F.when(F.col("n_values") > 1, ROLES[0]).when(F.col("_direct"), ROLES[1]).otherwise(ROLES[2])
     return out.withColumn("conflict", F.col("n_values") > 1).withColumn("role", role).drop("_direct")
 
 

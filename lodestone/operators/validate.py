@@ -106,22 +106,35 @@ def hard_gate(frame: DataFrame, above: dict[str, float], below: dict[str, float]
     return frame
 
 
+#: Issues of a labelled collection and how grave they are.
+ISSUES = {
+    "EMPTY_SEQUENCES": "blocking", "EMPTY_LABELS": "blocking", "UNLABELED_SEQUENCES": "warning", "LABELS_WITHOUT_SEQUENCE": "warning",
+    "DUPLICATE_SEQUENCE_IDS": "error", "SMALL_TASK": "warning", "SPLIT_OVERLAP": "blocking",
+}
+
+
 def inspect(items: DataFrame, labels: DataFrame, key: str, task: str, least: int = 5) -> DataFrame:
-    """(issue, n, severity): what is wrong with a labelled collection; no row for issues without cases."""
+    """(issue, severity, task, n): what is wrong with a labelled collection; no row for issues without cases.
+
+    n: 1 for an empty side, distinct keys without a label or an item, rows
+    beyond the first of each key, labels of a task with fewer than ``least``
+    (one row a task, which alone names it). A null key is a key.
+    """
+    same = lambda a, b: a.join(b.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    n = F.count(F.lit(1))
+    mine, theirs = items.select(key).distinct(), labels.select(key).distinct()
     found = [
-        items.agg(F.count(F.lit(1)).alias("c")).select(F.lit("EMPTY_ITEMS").alias("issue"), F.when(F.col("c") == 0, 1).otherwise(0).cast("long").alias("n"), F.lit("fail").alias("severity")),
-        labels.agg(F.count(F.lit(1)).alias("c")).select(F.lit("EMPTY_LABELS").alias("issue"), F.when(F.col("c") == 0, 1).otherwise(0).cast("long").alias("n"), F.lit("fail").alias("severity")),
-    ]
-    count = lambda frame, issue, severity: frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(issue).alias("issue"), "n", F.lit(severity).alias("severity"))
-    found += [
-        count(items.select(key).distinct().join(labels.select(key), key, "left_anti"), "UNLABELLED", "warn"),
-        count(labels.select(key).distinct().join(items.select(key), key, "left_anti"), "ORPHAN_LABEL", "fail"),
-        count(items.groupBy(key).count().where("count > 1"), "DUPLICATE_ITEM", "fail"),
-        count(labels.groupBy(task).count().where(F.col("count") < least), "SMALL_TASK", "warn"),
+        ("EMPTY_SEQUENCES", items.limit(1).agg((1 - n).alias("n"))),
+        ("EMPTY_LABELS", labels.limit(1).agg((1 - n).alias("n"))),
+        ("UNLABELED_SEQUENCES", same(mine, theirs).agg(n.alias("n"))),
+        ("LABELS_WITHOUT_SEQUENCE", same(theirs, mine).agg(n.alias("n"))),
+        ("DUPLICATE_SEQUENCE_IDS", items.groupBy(key).agg(n.alias("_c")).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n"))),
+        ("SMALL_TASK", labels.groupBy(F.col(task).cast("string").alias("task")).agg(n.alias("n")).where(F.col("n") < least)),
     ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    out = None
+    for issue, frame in found:
+        named = frame.select(F.lit(issue).alias("issue"), F.lit(ISSUES[issue]).alias("severity"), F.col("task") if "task" in frame.columns else F.lit(None).cast("string").alias("task"), F.col("n").cast("long").alias("n"))
+        out = named if out is None else out.unionByName(named)
     return out.where("n > 0")
 
 
@@ -191,7 +204,14 @@ def split_overlaps(rows: DataFrame, key: str, split: str) -> DataFrame:
 
 
 def verdict(issues: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """One row (status, issues): fail if an issue is blocking or splits overlap, warn if there is any issue, else pass."""
-    found = issues.select("issue", "severity").unionByName(overlaps.limit(1).select(F.lit("SPLIT_OVERLAP").alias("issue"), F.lit("fail").alias("severity")))
-    worst = found.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("severity") == "fail").alias("_f"), F.array_sort(F.collect_set("issue")).alias("_i"))
-    return worst.select(F.when(F.col("_f") > 0, "fail").when(F.col("_n") > 0, "warn").otherwise("pass").alias("status"), F.array_join("_i", ",").alias("issues"))
+    """One row: status (fail if an issue is blocking, splits that share keys included; warn if there is any; else pass), the issues, and the training policy that follows.
+
+    Policy: review (by hand before training: where it fails) and repeated
+    (repeated grouped cross-validation: where a task is small); dropping
+    duplicates and weights by number and by evidence always hold.
+    """
+    split = overlaps.limit(1).select(F.lit("SPLIT_OVERLAP").alias("issue"), F.lit(ISSUES["SPLIT_OVERLAP"]).alias("severity"))
+    found = issues.select("issue", "severity").unionByName(split)
+    worst = found.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("severity") == "blocking").alias("_f"), F.count_if(F.col("issue") == "SMALL_TASK").alias("_s"), F.array_sort(F.collect_set("issue")).alias("_i"))
+    status = F.when(F.col("_f") > 0, "fail").when(F.col("_n") > 0, "warn").otherwise("pass")
+    return worst.select(status.alias("status"), F.array_join("_i", ",").alias("issues"), (status == "fail").alias("review"), (F.col("_s") > 0).alias("repeated"))

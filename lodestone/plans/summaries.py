@@ -10,7 +10,7 @@ from lodestone.operators import aggregate, evidence, metrics, ranking, textmine,
 
 from .catalogue import Tables, query
 from .records import RATIO, SCORES, part_scores
-from .texts import LABELS, graded_labels
+from .texts import INSPECTED, LABELS, graded_labels
 
 
 @query("""WITH i AS (SELECT p_brand AS m, (p_size % 2)::BIGINT AS s, avg(p_size) / 100 AS f, min(p_size) / 60 AS lo, max(p_size) / 60 AS hi FROM part GROUP BY 1, 2), w AS (SELECT range AS s, range + 1.0 AS w FROM range(2)),
@@ -89,10 +89,8 @@ def spectrum(t: Tables) -> DataFrame:
     return textmine.spectrum(t.part, "p_brand", "p_type").withColumn("value", F.round("value", 9))
 
 
-@query(f"""WITH {LABELS}, r AS (SELECT DISTINCT doc_id, task FROM l), o AS (SELECT a.task AS a, b.task AS b, count(*) AS n FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.task < b.task GROUP BY 1, 2),
-i AS (SELECT 'UNLABELLED' AS issue, count(*) AS n, 'warn' AS severity FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT 'DUPLICATE_ITEM', count(*), 'fail' FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL
-  SELECT 'SMALL_TASK', count(*), 'warn' FROM (SELECT level FROM l GROUP BY 1 HAVING count(*) < 200)), f AS (SELECT issue, severity FROM i WHERE n > 0 UNION ALL SELECT 'SPLIT_OVERLAP', 'fail' FROM (FROM o LIMIT 1))
-SELECT CASE WHEN count(*) FILTER (severity = 'fail') > 0 THEN 'fail' WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status, string_agg(DISTINCT issue, ',' ORDER BY issue) AS issues FROM f""")
+@query(f"""WITH {INSPECTED}, r AS (SELECT DISTINCT doc_id, task FROM l), o AS (FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.task < b.task LIMIT 1), f AS (SELECT issue, severity FROM i WHERE n > 0 UNION ALL SELECT 'SPLIT_OVERLAP', 'blocking' FROM o)
+SELECT CASE WHEN count(*) FILTER (severity = 'blocking') > 0 THEN 'fail' WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status, string_agg(DISTINCT issue, ',' ORDER BY issue) AS issues, count(*) FILTER (severity = 'blocking') > 0 AS review, count(*) FILTER (issue = 'SMALL_TASK') > 0 AS repeated FROM f""")
 def dataset_verdict(t: Tables) -> DataFrame:
     """The two tasks stand for two splits that share documents."""
     labels = graded_labels(t)

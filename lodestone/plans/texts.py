@@ -22,8 +22,8 @@ d AS (SELECT *, list_sort(list_distinct(regexp_extract_all(g, '[^A-Z]'))) AS inv
 SELECT doc_id, length(c)::BIGINT AS length, CASE WHEN c <> '' THEN sha256(c) END AS sha256, (length(u) - length(g))::BIGINT AS gaps,
   array_to_string(inv, '|') AS invalid, array_to_string(amb, '|') AS ambiguous,
   CASE WHEN len(inv) > 0 OR c = '' OR length(c) > 100000 THEN 'invalid' WHEN length(c) < 20 OR len(amb) > 0 OR length(u) <> length(g) THEN 'review' ELSE 'pass' END AS status,
-  array_to_string(list_filter([CASE WHEN c = '' THEN 'empty_after_normalization' END, CASE WHEN len(inv) > 0 THEN 'invalid_characters' END, CASE WHEN length(c) < 20 THEN 'short_review' END,
-    CASE WHEN length(c) > 100000 THEN 'implausibly_long' END, CASE WHEN len(amb) > 0 THEN 'ambiguous_characters' END, CASE WHEN length(u) <> length(g) THEN 'gaps_removed' END], lambda x: x IS NOT NULL), '|') AS reasons
+  array_to_string(list_filter([CASE WHEN len(inv) > 0 THEN 'letters:foreign' END, CASE WHEN len(amb) > 0 THEN 'letters:ambiguous' END, CASE WHEN length(u) <> length(g) THEN 'letters:gaps' END,
+    CASE WHEN c = '' THEN 'length:none' END, CASE WHEN length(c) < 20 THEN 'length:below_20' END, CASE WHEN length(c) > 100000 THEN 'length:above_100000' END], lambda x: x IS NOT NULL), '|') AS reasons
 FROM d""")
 def normalize_text(t: Tables) -> DataFrame:
     n = t.documents.select("doc_id", T.normalise(F.col("text"), ALLOWED, UNSURE).alias("n"))
@@ -31,6 +31,14 @@ def normalize_text(t: Tables) -> DataFrame:
     return n.select("doc_id", "n.length", "n.sha256", "n.gaps", joined("invalid"), joined("ambiguous"), "n.status", joined("reasons"))
 
 
+@query("""SELECT p_partkey, length(c)::BIGINT AS length, CASE WHEN c = '' THEN 'invalid' WHEN length(c) BETWEEN 8 AND 30 THEN 'pass' ELSE 'review' END AS status,
+  concat_ws('|', CASE WHEN c = '' THEN 'length:none' END, CASE WHEN NOT length(c) BETWEEN 8 AND 30 THEN 'length:outside_8_30' END) AS reasons FROM (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS c FROM part)""")
+def normalize_short(t: Tables) -> DataFrame:
+    """Short texts against the range of lengths that is usual for their role."""
+    n = t.part.select("p_partkey", T.normalise(F.regexp_replace("p_name", "[^A-Za-z]", ""), ALLOWED + UNSURE, usual=(8, 30)).alias("n"))
+    return n.select("p_partkey", "n.length", "n.status", F.array_join("n.reasons", "|").alias("reasons"))
+
+
 @query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicate_groups(t: Tables) -> DataFrame:
     return dedup.duplicate_groups(t.documents, F.col("text"), "doc_id")
@@ -127,14 +135,10 @@ def first_category(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.first_category(F.col("text"), rules).alias("category"), T.keyword(F.col("text"), "version ([0-9]+)", ["mit", "gpl"]).alias("keyword"))
 
 
-#: How a cut-off and a compound identifier look.
-CUT_OFF, COMPOUND = r"(?i)\((gb|ref|emb|dbj)$", r"^(?!x).*[|\s]"
-
-
-@query("""SELECT page_id, concat_ws(';', CASE WHEN trim(url) = '' THEN 'missing_id' END, CASE WHEN regexp_matches(trim(url), '(?i)\\((gb|ref|emb|dbj)$') THEN 'possibly_cut_off' END, CASE WHEN regexp_matches(trim(url), '[|\\s]') AND NOT regexp_matches(trim(url), '^x') THEN 'compound_or_blank_id' END) AS flags FROM pages""")
+@query("""SELECT page_id, concat_ws(';', CASE WHEN trim(coalesce(url, '')) = '' THEN 'no_url' END, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'no_scheme' END, CASE WHEN regexp_matches(url, '[0-9]$') THEN 'ends_in_number' END, CASE WHEN regexp_matches(url, '//[^/]*[0-9][^/]*/') THEN 'number_in_host' END) AS flags FROM pages""")
 def identifier_flags(t: Tables) -> DataFrame:
-    rules = [(CUT_OFF, "possibly_cut_off"), (COMPOUND, "compound_or_blank_id")]
-    return t.pages.select("page_id", F.array_join(T.pattern_flags(F.col("url"), rules, "missing_id"), ";").alias("flags"))
+    rules = [("^(?!https?://)", "no_scheme"), ("[0-9]$", "ends_in_number"), ("//[^/]*[0-9][^/]*/", "number_in_host")]
+    return t.pages.select("page_id", F.array_join(T.pattern_flags(F.col("url"), rules, "no_url"), ";").alias("flags"))
 
 
 @query("""
@@ -283,10 +287,14 @@ def contract_quarantine(t: Tables) -> DataFrame:
     return validate.with_reasons(rows, validate.label_rules()).select("doc_id", "task", F.array_join("reasons", ";").alias("reasons"))
 
 
-@query(f"""WITH {LABELS}, i AS (
-  SELECT 'UNLABELLED' AS issue, count(*) AS n, 'warn' AS severity FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL
-  SELECT 'DUPLICATE_ITEM', count(*), 'fail' FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL
-  SELECT 'SMALL_TASK', count(*), 'warn' FROM (SELECT level FROM l GROUP BY 1 HAVING count(*) < 200)) SELECT * FROM i WHERE n > 0""")
+INSPECTED = f"""{LABELS}, i AS (
+  SELECT 'UNLABELED_SEQUENCES' AS issue, 'warning' AS severity, NULL AS task, count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l)) UNION ALL
+  SELECT 'LABELS_WITHOUT_SEQUENCE', 'warning', NULL, count(*) FROM (SELECT DISTINCT doc_id FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents)) UNION ALL
+  SELECT 'DUPLICATE_SEQUENCE_IDS', 'error', NULL, count(*) - count(DISTINCT doc_id) FROM documents UNION ALL
+  SELECT 'SMALL_TASK', 'warning', level, count(*) FROM l GROUP BY level HAVING count(*) < 200)"""
+
+
+@query(f"WITH {INSPECTED} SELECT * FROM i WHERE n > 0")
 def inspect_issues(t: Tables) -> DataFrame:
     return validate.inspect(t.documents, graded_labels(t), "doc_id", "level", 200)
 

@@ -21,8 +21,8 @@ def test_normalise_cases(spark):
     n = lambda s: one(spark, T.normalise(F.col("s").cast("string"), "ABCD", "X"), s=s)
     bad = n("ab*c?*")
     assert (bad["text"], bad["stop_removed"], bad["invalid"], bad["status"]) == ("ABC", True, ["*", "?"], "invalid")
-    assert n(None)["sha256"] is None and n(None)["reasons"] == ["empty_after_normalization", "short_review"]
-    assert n("A-" * 20 + "X")["reasons"] == ["ambiguous_characters", "gaps_removed"] and n("A b\n" * 10)["status"] == "pass"
+    assert n(None)["sha256"] is None and n(None)["reasons"] == ["length:none", "length:below_20"]
+    assert n("A-" * 20 + "X")["reasons"] == ["letters:ambiguous", "letters:gaps"] and n("A b\n" * 10)["status"] == "pass"
 
 
 @pytest.mark.parametrize("text,number", [("1_000", None), (" 1.5 ", 1.5), ("nan", None), ("", None), ("-3e2", -300.0), ("N/A", None), ("x", None)])
