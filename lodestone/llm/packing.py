@@ -38,18 +38,20 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe_words import VOCABULARY as RANKS
-from .bpe_words import _numbers, _planes, _squeeze, _unsqueeze, encoding
+from .bpe_words import encoding
 from .common import by_bytes, materialise, ragged_take, read_table
 
 #: The vocabulary, the id after each document, the length of a sequence.
@@ -60,9 +62,11 @@ SIZE = 2048
 LEAST = 256
 SPAN = 2_000_000
 TAKEN = 2_000_000
+#: Rows of the table of queues up to which it is broadcast.
+MOST = 200_000
 #: Words are remembered up to this length and number.
 WORD = 32
-WORDS = 300_000
+WORDS = 600_000
 CUT = re.compile(" (?=[^ ])")
 #: Below this character both libraries know the same letters, digits and blanks.
 LATIN = "ƀ"
@@ -76,6 +80,11 @@ def tokenizer(vocabulary: str):
     return Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
 
+def id_type(vocabulary: str) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class Words(dict):
     """The ids of words, as bytes of little-endian 32-bit numbers; a word is preceded by a space."""
 
@@ -83,10 +92,15 @@ class Words(dict):
         super().__init__()
         self.exact = tokenizer(vocabulary)
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.fast = encoding(RANKS).encode_ordinary if vocabulary == VOCABULARY else None
+        self.least_special = min(map(len, self.special), default=0)
+        latin = encoding(RANKS)
+        self.fast, self.piece = (latin.encode_ordinary, latin._encode_single_piece) if vocabulary == VOCABULARY else (None, None)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(f" {word}")
+        if self.fast and word.isalpha() and (word.isascii() or max(word) < LATIN):  # the tokenizer leaves it whole
+            ids = array("I", self.piece(f" {word}".encode())).tobytes()
+        else:
+            ids = self.encode(f" {word}")
         if len(word) <= WORD:
             if len(self) >= WORDS:
                 self.clear()
@@ -96,9 +110,10 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.fast and max(text) < LATIN and not any(s in text for s in self.special):
-            return np.array(self.fast(text), "<u4").tobytes()
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        special = self.special and len(text) >= self.least_special and any(s in text for s in self.special)
+        if self.fast and not special and (text.isascii() or max(text) < LATIN):
+            return array("I", self.fast(text)).tobytes()
+        return array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
 
     def document(self, text: str) -> np.ndarray:
         parts = CUT.split(text) if "  " in text or text.endswith(" ") else text.split(" ")
@@ -112,7 +127,8 @@ def _chunks(vocabulary: str, end: int, size: int):
     """Documents as chunks of up to ``size`` ids; before: ids of the same source earlier in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary)
+        words, kind = Words(vocabulary), id_type(vocabulary)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         task = TaskContext.get().partitionId()
         sent: dict[str, int] = {}
         doc = 0
@@ -126,7 +142,7 @@ def _chunks(vocabulary: str, end: int, size: int):
                     before = sent.get(source, 0)
                     for at in range(0, len(ids), size):
                         piece = ids[at : at + size]
-                        rows.append((source, task, before + at, doc, at, len(piece), len(ids), _squeeze(_planes(piece))))
+                        rows.append((source, task, before + at, doc, at, len(piece), len(ids), squeeze(piece.astype(kind).tobytes())))
                         of.append(a + k)
                     sent[source] = before + len(ids)
                     doc += 1
@@ -174,7 +190,7 @@ def sequence_bounds(first: int, last: int, total: int, size: int) -> tuple[np.nd
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _span(total: int, size: int, least: int, keep: bool):
+def _span(total: int, size: int, least: int, keep: bool, vocabulary: str):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by([("source", "ascending"), ("place", "ascending")])
         lo, hi = left.column("lo").to_numpy(), left.column("hi").to_numpy()
@@ -219,7 +235,8 @@ def _span(total: int, size: int, least: int, keep: bool):
         # neighbours that go on in the same document and sequence are one piece
         new = np.append(True, (doc[0][1:] != doc[0][:-1]) | (doc[1][1:] != doc[1][:-1]) | (start[1:] != (start + size_of)[:-1]) | (seq[1:] != seq[:-1]))
 
-        parts = [_numbers(_unsqueeze(p)) for p in left.column("ids").to_pylist()]
+        unsqueeze, kind = zstandard.ZstdDecompressor().decompress, id_type(vocabulary)
+        parts = [np.frombuffer(unsqueeze(p), kind) for p in left.column("ids").to_pylist()]
         skip = lo - left.column("place").to_numpy()
         flat = np.concatenate([p[s : s + n] for p, s, n in zip(parts, skip.tolist(), length.tolist())]).astype("<u4")
         offsets = np.append(0, np.cumsum(length))[row] + at
@@ -267,7 +284,9 @@ def pack_documents(
         "slice": F.ceil(F.col("tokens") / F.col("slices")),
         "phase": F.when(F.col("slices") == F.col("most"), 0.0).otherwise(F.crc32("source") / 2.0**32),
     }).select("source", "task", "base", "slice", "slices", "phase", "most")
-    placed = chunks.join(parts, ["source", "task"]).withColumn("place", F.col("base") + F.col("before"))
+    # a row for each source of each task: names and numbers only
+    parts = materialise(parts, "packing-queues")
+    placed = chunks.join(F.broadcast(parts) if parts.limit(MOST + 1).count() <= MOST else parts, ["source", "task"]).withColumn("place", F.col("base") + F.col("before"))
     sliced = placed.withColumn("k", F.explode(F.sequence(F.floor(F.col("place") / F.col("slice")), F.floor((F.col("place") + F.col("length") - 1) / F.col("slice")))))
     rows = sliced.select(
         F.least(F.floor((F.col("k") + F.col("phase")) / F.col("slices") * F.col("most")), F.col("most") - 1).cast("long").alias("span"),
@@ -281,7 +300,7 @@ def pack_documents(
     before = spanned.join(far, "far").select(F.col("span").alias("of_span"), (near + F.col("earlier")).alias("before"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {PIECE}" + (", source string, ids binary" if keep else "")
-    return rows.groupBy("span").cogroup(before.groupBy("of_span")).applyInArrow(_span(total, size, least, keep), schema)
+    return rows.groupBy("span").cogroup(before.groupBy("of_span")).applyInArrow(_span(total, size, least, keep, vocabulary), schema)
 
 
 def packed_sequences(docs: DataFrame, **how) -> DataFrame:
