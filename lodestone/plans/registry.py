@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, records, sequences, summaries, texts  # noqa: F401  registration
+from . import decisions, files, records, sequences, summaries, texts  # noqa: F401  registration
 from .catalogue import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.textmine import few
+
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str, strict: bool = False) -> DataFrame:
     """Records with ``_corrupt`` (lines that are no JSON object) and ``_file``; ``strict`` fails on the first of them. Blank lines are skipped."""
@@ -71,7 +73,8 @@ def fasta(spark: SparkSession, path: str, others: bool = False) -> DataFrame:
     # only the first record of a file still has its mark
     marked = F.col("value").startswith(">")
     begun = raw.groupBy("_file").agg(F.bool_or(marked).alias("_begun"))
-    checked = raw.join(begun, "_file").where(F.when(F.col("_begun"), True).otherwise(F.raise_error(F.concat(F.lit("no header at the start of "), F.col("_file"))).cast("boolean")))
+    # a row a file: its records stay where they are unless there are very many files
+    checked = raw.join(F.broadcast(begun) if few(begun) else begun, "_file").where(F.when(F.col("_begun"), True).otherwise(F.raise_error(F.concat(F.lit("no header at the start of "), F.col("_file"))).cast("boolean")))
     block = (checked.where(~marked) if others else checked).select(F.regexp_replace("value", "^>", "").alias("b"))
     head = F.regexp_extract("b", r"^([^\r\n]*)", 1)
     return block.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), F.regexp_replace(F.regexp_replace("b", r"^[^\r\n]*", ""), r"\s", "").alias("sequence"))
