@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.order import sums_before
+
 
 def missing_by_field(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, missing): null or blank values of each column, by one pass."""
@@ -69,15 +71,11 @@ def entropy(rows: DataFrame, group: Sequence[str], category: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """(group, n, upper_median): the value at place n div 2 (from 0) in order; percentile_disc just above one half."""
+    """(group, n, upper_median): the value at place n div 2 (from 0) in order, from counts of distinct values put in order by runs."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    g = per.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(value, "_c"))).alias("_v"), F.sum("_c").alias("n"))
-    walk = F.aggregate(
-        "_v", F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(rows.schema[value].dataType).alias("found")),
-        lambda a, v: F.struct((a["at"] + v["_c"]).alias("at"), F.when(a["found"].isNull() & (a["at"] + v["_c"] > F.floor(F.col("n") / 2)), v[value]).otherwise(a["found"]).alias("found")),
-        lambda a: a["found"],
-    )
-    return g.select(*group, "n", walk.alias("upper_median"))
+    placed = sums_before(per, [F.col(value).asc()], {"_at": F.col("_c")}, group)
+    middle = F.floor(F.col("_at_all") / 2)
+    return placed.where((F.col("_at") <= middle) & (F.col("_at") + F.col("_c") > middle)).select(*group, F.col("_at_all").alias("n"), F.col(value).alias("upper_median"))
 
 
 def joined_values(rows: DataFrame, key: str, value: str, order: Sequence[str], separator: str = ";") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.order import sums_before
+
 
 def ndcg(rows: DataFrame, group: Sequence[str], score: str, relevance: str, row_id: str, k: int = 10) -> DataFrame:
     """(group, ndcg): gain 2^rel - 1, discount log2(rank + 1); 0 where nothing is relevant."""
@@ -23,13 +25,12 @@ def reciprocal_rank(rows: DataFrame, group: Sequence[str], score: str, relevance
 
 
 def auc(rows: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
-    """(group, n, positives, auc, average_precision); ties count half. Works on one row a distinct score."""
+    """(group, n, positives, auc, average_precision); ties count half. Works on one row a distinct score, put in order by runs, so a group may be as large as the table."""
     per = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q"))
-    w = Window.partitionBy(*group)
-    below = w.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = per.withColumn("_below", F.coalesce(F.sum("_q").over(below), F.lit(0))).withColumn("_tp", F.sum("_p").over(down)).withColumn("_all", F.sum(F.col("_p") + F.col("_q")).over(down))
-    sums = walked.groupBy(*group).agg(F.sum("_p").alias("p"), F.sum("_q").alias("q"), F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)).alias("u"), F.sum(F.col("_p") * F.col("_tp") / F.col("_all")).alias("ap"))
+    walked = sums_before(per, [F.col(score).asc()], {"_tn": F.col("_q"), "_fn": F.col("_p")}, group)
+    # at and above a score: all positives less those below it
+    tp, above = F.col("_fn_all") - F.col("_fn"), F.col("_fn_all") - F.col("_fn") + F.col("_tn_all") - F.col("_tn")
+    sums = walked.groupBy(*group).agg(F.sum("_p").alias("p"), F.sum("_q").alias("q"), F.sum(F.col("_p") * (F.col("_tn") + F.col("_q") / 2)).alias("u"), F.sum(F.col("_p") * tp / above).alias("ap"))
     return sums.select(*group, (F.col("p") + F.col("q")).alias("n"), F.col("p").alias("positives"), F.try_divide("u", F.col("p") * F.col("q")).alias("auc"), F.try_divide("ap", "p").alias("average_precision"))
 
 

@@ -8,26 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import reasons
+from lodestone.operators.order import sums_before
 
 
 
-def global_rank(rows: DataFrame, score: str, row_id: str, buckets: int = 256) -> DataFrame:
-    """Adds rank (from 1; best score first, ties by id, null last) and percentile (N - rank) / max(1, N - 1).
-
-    Rows are ranked within buckets of the score's range and shifted by the
-    counts of the buckets above, so no window holds the whole table. The
-    range and the counts (one row, and a row a bucket) are broadcast.
-    """
-    span = rows.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
-    place = F.least(F.floor((F.col("_high") - F.col(score)) / (F.col("_high") - F.col("_low")) * buckets), F.lit(buckets - 1))
-    bucket = F.when(F.col(score).isNull(), buckets).when(F.col("_high") == F.col("_low"), 0).otherwise(place).cast("int")
-    dealt = rows.crossJoin(F.broadcast(span)).withColumn("_bucket", bucket).drop("_low", "_high")
-    counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.orderBy("_bucket")
-    offsets = counts.select("_bucket", (F.sum("_n").over(above) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(score).desc_nulls_last(), row_id))
-    out = dealt.join(F.broadcast(offsets), "_bucket").withColumn("rank", F.col("_before") + within)
-    return out.withColumn("percentile", (F.col("_total") - F.col("rank")) / F.greatest(F.lit(1), F.col("_total") - 1)).drop("_bucket", "_before", "_total")
+def global_rank(rows: DataFrame, score: str, row_id: str, group: Sequence[str] = ()) -> DataFrame:
+    """Adds rank (from 1; best score first, ties by id, null last) and percentile (N - rank) / max(1, N - 1), in all rows or in each group."""
+    out = sums_before(rows, [F.col(score).desc_nulls_last(), F.col(row_id)], {"_rank": F.lit(1)}, group)
+    out = out.withColumn("rank", F.col("_rank") + 1)
+    return out.withColumn("percentile", (F.col("_rank_all") - F.col("rank")) / F.greatest(F.lit(1), F.col("_rank_all") - 1)).drop("_rank", "_rank_all")
 
 
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -122,25 +111,18 @@ def threshold_grid(rows: DataFrame, a: str, b: str, known: str, steps: int = 10)
 def conformal(pairs: DataFrame, predicted: str, actual: str, alpha: float = 0.1, small: int = 100) -> DataFrame:
     """One row: n, width, status. Width is the ceil((1 - alpha)(n + 1))-th error; under ``small`` rows, or where that place is beyond n, the largest error, widened by 1 / n.
 
-    The place is bracketed by approximate percentiles, and only the errors
-    between them (some 0.06 % of all) are put in order.
+    Errors are counted by value and put in order by runs, so the place is exact.
     """
     errors = pairs.select(F.abs(F.col(predicted) - F.col(actual)).cast("double").alias("_e")).where(F.col("_e").isNotNull())
-    accuracy = 10_000
-    at = round(1 - alpha, 10)
-    ends = F.percentile_approx("_e", [max(0.0, at - 3 / accuracy), min(1.0, at + 3 / accuracy)], accuracy)
-    span = errors.agg(F.count(F.lit(1)).alias("n"), F.max("_e").alias("_max"), ends.alias("_ends"))
-    place = F.ceil(F.lit(at) * (F.col("n") + 1))
-    span = span.select("n", "_max", place.alias("_place"), F.when(F.col("n") >= small * 100, F.col("_ends")[0]).alias("_low"), F.when(F.col("n") >= small * 100, F.col("_ends")[1]).alias("_high"))
-    placed = errors.crossJoin(F.broadcast(span))
-    below = placed.agg(F.count_if(F.col("_e") < F.col("_low")).alias("_below"))
-    inside = placed.where((F.col("_low").isNull() | (F.col("_e") >= F.col("_low"))) & (F.col("_high").isNull() | (F.col("_e") <= F.col("_high")))).groupBy("_e", "_place").agg(F.count(F.lit(1)).alias("_c"))
-    upto = inside.crossJoin(F.broadcast(below)).withColumn("_upto", F.col("_below") + F.sum("_c").over(Window.orderBy("_e")))
-    picked = upto.agg(F.min(F.when(F.col("_upto") >= F.col("_place"), F.col("_e"))).alias("_q"))
+    counted = errors.groupBy("_e").agg(F.count(F.lit(1)).alias("_c"))
+    placed = sums_before(counted, [F.col("_e").asc()], {"_below": F.col("_c")})
+    place = F.ceil(F.lit(round(1 - alpha, 10)) * (F.col("_below_all") + 1))
+    holds = (F.col("_below") < place) & (F.col("_below") + F.col("_c") >= place)
+    picked = placed.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.max("_e").alias("_max"), F.max(F.when(holds, F.col("_e"))).alias("_q"))
     few = F.col("n") < small
-    width = F.when(few | (F.col("_place") > F.col("n")), F.col("_max") * (1 + F.try_divide(F.lit(1.0), F.col("n")))).otherwise(F.col("_q"))
+    width = F.when(few | F.col("_q").isNull(), F.col("_max") * (1 + F.try_divide(F.lit(1.0), F.col("n")))).otherwise(F.col("_q"))
     status = F.when(F.col("n") == 0, "no_calibration_data").when(few, "small_sample_widened").otherwise("split_conformal")
-    return span.crossJoin(F.broadcast(picked)).select("n", width.alias("width"), status.alias("status"))
+    return picked.select("n", width.alias("width"), status.alias("status"))
 
 
 def intervals(rows: DataFrame, point: str, calibration: DataFrame) -> DataFrame:
@@ -269,19 +251,32 @@ def class_ranking(rows: DataFrame, classes: Sequence[str], row_id: str, score: s
     """Rows (id, class, score) with rank in the class, call (score at or above the class's cutoff) and status.
 
     status joins evidence (id, class) and call: known_above, known_below,
-    candidate, below.
+    candidate, below. A row of a class that is not listed is an error.
     """
     kind = F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(float(cutoffs[c])))]), F.col("class"))
-    ranked = None
-    for c in classes:  # one global rank a class: no window holds a class
-        part = global_rank(rows.where(F.col("class") == c), score, row_id).drop("percentile")
-        ranked = part if ranked is None else ranked.unionByName(part)
+    listed = F.coalesce(F.col("class").isin(list(classes)), F.lit(False))
+    checked = rows.where(F.when(listed, True).otherwise(F.raise_error(F.concat(F.lit("no cutoff for class "), F.coalesce(F.col("class").cast("string"), F.lit("null")))).cast("boolean")))
+    ranked = global_rank(checked, score, row_id, ["class"]).drop("percentile")
     known = evidence.select(row_id, "class").distinct().withColumn("_known", F.lit(True))
     out = ranked.join(known, [row_id, "class"], "left").withColumn("call", F.coalesce(F.col(score) >= kind, F.lit(False)))
     status = F.when(F.col("_known") & F.col("call"), "known_above").when(F.col("_known"), "known_below").when(F.col("call"), "candidate").otherwise("below")
     return out.withColumn("status", status).drop("_known")
 
 
+def recall_at_cutoff(ranked: DataFrame, evidence: DataFrame, classes: Sequence[str], row_id: str) -> DataFrame:
+    """(class, known, scored, found, recall) of ``class_ranking``'s rows for every listed class.
+
+    known: distinct ids of the evidence; scored: those among the rows; found:
+    those at or above the cutoff; recall: found over known, null without any.
+    """
+    known = evidence.where(F.col("class").isin(list(classes))).select(row_id, "class").distinct()
+    mine = ranked.groupBy(row_id, "class").agg(F.max("call").alias("call"))
+    per = known.join(mine, [row_id, "class"], "left").groupBy("class").agg(F.count(F.lit(1)).alias("known"), F.count("call").alias("scored"), F.count_if("call").alias("found"))
+    every = ranked.sparkSession.createDataFrame([(c,) for c in classes], "class string")
+    out = every.join(per, "class", "left").fillna(0, ["known", "scored", "found"])
+    return out.withColumn("recall", F.try_divide("found", "known"))
+
+
 def screened(rows: DataFrame, group: Sequence[str], score: str, year: str, row_id: str, least: float, quota: int) -> DataFrame:
     """The first ``quota`` rows of each group with at least ``least``: best score first, then the latest year (null as 0), then id."""
     order = [F.col(score).desc(), F.coalesce(year, F.lit(0)).desc(), F.col(row_id)]

@@ -19,12 +19,19 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
     return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
-def tfidf(rows: DataFrame, row_id: str, terms: Column, least_df: int = 2) -> DataFrame:
-    """(id, term, weight): (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), each row's weights of length 1."""
+def tfidf(rows: DataFrame, row_id: str, terms: Column, least_df: int = 2, most_terms: int | None = None) -> DataFrame:
+    """(id, term, weight): (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), each row's weights of length 1.
+
+    ``most_terms``: only so many terms with the most occurrences in all rows
+    are kept, ties to the smaller term; an exact top k, whose k rows are what
+    reaches one task.
+    """
     tf = rows.select(row_id, F.explode(terms).alias("term")).groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("_tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= least_df)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("_tf").alias("_all")).where(F.col("_df") >= least_df)
+    if most_terms is not None:
+        df = df.orderBy(F.col("_all").desc(), "term").limit(most_terms)
     n = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select(row_id, "term", ((1 + F.ln("_tf")) * (F.ln((1 + F.col("_n")) / (1 + F.col("_df"))) + 1)).alias("_w"))
+    raw = tf.join(df.drop("_all"), "term").crossJoin(F.broadcast(n)).select(row_id, "term", ((1 + F.ln("_tf")) * (F.ln((1 + F.col("_n")) / (1 + F.col("_df"))) + 1)).alias("_w"))
     norm = raw.groupBy(row_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return raw.join(norm, row_id).select(row_id, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import aggregate, evidence, graph, ranking, splits, validate
+from lodestone.operators import aggregate, evidence, graph, linear, ranking, splits, textmine, validate
 from lodestone.sources import readers, sinks
 
 from .catalogue import Tables, query
@@ -152,13 +152,27 @@ def attention_positions(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.posexplode(ranking.position_scores(F.array(head), valid)).alias("position", "score")).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS class, o_totalprice / 100000 AS s FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY s DESC, id) AS rank, s >= CASE class WHEN '1-URGENT' THEN 2.5 ELSE 3.5 END AS call FROM r WHERE class IN ('1-URGENT', '2-HIGH'))
-SELECT id, class, rank, call, CASE WHEN id % 13 = 0 AND call THEN 'known_above' WHEN id % 13 = 0 THEN 'known_below' WHEN call THEN 'candidate' ELSE 'below' END AS status FROM k""")
-def class_ranking(t: Tables) -> DataFrame:
+CLASSES = """r AS (SELECT o_orderkey AS id, o_orderpriority AS class, o_totalprice / 100000 AS s FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY s DESC, id) AS rank, s >= CASE class WHEN '1-URGENT' THEN 2.5 ELSE 3.5 END AS call FROM r)"""
+CUTOFFS = {"1-URGENT": 2.5, "2-HIGH": 3.5, "3-MEDIUM": 3.5, "4-NOT SPECIFIED": 3.5, "5-LOW": 3.5}
+
+
+def ranked_orders(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("class"), (F.col("o_totalprice") / 100000).alias("s"))
     known = rows.where(F.col("id") % 13 == 0).select("id", "class")
-    out = ranking.class_ranking(rows, ["1-URGENT", "2-HIGH"], "id", "s", {"1-URGENT": 2.5, "2-HIGH": 3.5}, known)
-    return out.select("id", "class", "rank", "call", "status")
+    return ranking.class_ranking(rows, list(CUTOFFS), "id", "s", CUTOFFS, known), known
+
+
+@query(f"WITH {CLASSES} SELECT id, class, rank, call, CASE WHEN id % 13 = 0 AND call THEN 'known_above' WHEN id % 13 = 0 THEN 'known_below' WHEN call THEN 'candidate' ELSE 'below' END AS status FROM k")
+def class_ranking(t: Tables) -> DataFrame:
+    return ranked_orders(t)[0].select("id", "class", "rank", "call", "status")
+
+
+@query(f"WITH {CLASSES}, n AS (SELECT class, count(*) AS known, count(*) FILTER (call) AS found FROM k WHERE id % 13 = 0 GROUP BY 1) SELECT class, known, known AS scored, found, round(found / known, 9) AS recall FROM n UNION ALL SELECT '6-NONE', 0, 0, 0, NULL")
+def class_recall(t: Tables) -> DataFrame:
+    """The share of each class's known orders at or above the class's cutoff; one class has none."""
+    ranked, known = ranked_orders(t)
+    return ranking.recall_at_cutoff(ranked, known, [*CUTOFFS, "6-NONE"], "id").withColumn("recall", F.round("recall", 9))
 
 
 @query("SELECT c_nationkey, c_custkey, k AS rank FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal / 1000) DESC, coalesce(CASE WHEN c_custkey % 5 > 0 THEN 2000 + c_custkey % 20 END, 0) DESC, c_custkey) AS k FROM customer WHERE floor(c_acctbal / 1000) >= 2) WHERE k <= 12")
@@ -290,3 +304,21 @@ def validated_features(t: Tables) -> DataFrame:
     rules = [(F.col("embedding").isNull() | (F.size("embedding") != 64), "feature:shape")]
     rows = validate.with_lineage(t.embeddings, rules, {"model_version": "v1", "batch_id": "b7"})
     return rows.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), "model_version", "batch_id")
+
+
+@query()
+def quality_decisions(t: Tables) -> DataFrame:
+    """Documents' scores by a classifier of their 2- to 4-letter runs, fitted to the labels; without SQL, as it is fitted in rounds."""
+    rows = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "text", "quality")
+    grams = textmine.tfidf(rows, "doc_id", textmine.char_ngrams(F.col("text"), 2, 4), most_terms=150_000)
+    return linear.decisions(rows, grams, "doc_id", linear.fit_logistic(rows, grams, "doc_id", "quality"))
+
+
+@query("""WITH g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, length(text)), lambda i: substring(text, i, 2)), list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)), list_transform(range(1, length(text) - 2), lambda i: substring(text, i, 4)))) AS term FROM benchmark JOIN (SELECT item_id AS doc_id FROM benchmark) ON doc_id = item_id),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
+r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term))
+SELECT doc_id AS item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""")
+def frequent_term_weights(t: Tables) -> DataFrame:
+    """The benchmark's passages by the 500 most frequent of their 2- to 4-letter runs."""
+    w = textmine.tfidf(t.benchmark, "item_id", textmine.char_ngrams(F.col("text"), 2, 4), most_terms=500)
+    return w.withColumn("weight", F.round("weight", 6))
