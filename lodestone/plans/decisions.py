@@ -311,7 +311,7 @@ def quality_decisions(t: Tables) -> DataFrame:
     """Documents' scores by a classifier of their 2- to 4-letter runs, fitted to the labels; without SQL, as it is fitted in rounds."""
     rows = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "text", "quality")
     grams = textmine.tfidf(rows, "doc_id", textmine.char_ngrams(F.col("text"), 2, 4), most_terms=150_000)
-    return linear.decisions(rows, grams, "doc_id", linear.fit_logistic(rows, grams, "doc_id", "quality"))
+    return linear.decisions(rows, grams, "doc_id", linear.fit_logistic(rows, grams, "doc_id", "quality", rounds=30, tolerance=1e-6))
 
 
 @query("""WITH g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, length(text)), lambda i: substring(text, i, 2)), list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)), list_transform(range(1, length(text) - 2), lambda i: substring(text, i, 4)))) AS term FROM benchmark JOIN (SELECT item_id AS doc_id FROM benchmark) ON doc_id = item_id),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numeric as N
 from lodestone.functions import text as T
-from lodestone.operators import aggregate, dedup, graph, metrics, ranking, validate
+from lodestone.operators import aggregate, dedup, graph, metrics, ranking, similar, validate
 from lodestone.streaming import events as stream
 
 from .catalogue import Tables, query
@@ -126,15 +126,20 @@ def adjacent_pairs(t: Tables) -> DataFrame:
 @query("""SELECT label, src, dst, round(cosine, 9) AS cosine FROM (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS cosine
 FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE cosine >= 0.3""")
 def pair_cosine(t: Tables) -> DataFrame:
-    """Pairs within a label. Meant for blocks of bounded size: at scale the block key must be fine."""
+    """Pairs within a label."""
     return similar_vectors(t.embeddings, 0.3).withColumn("cosine", F.round("cosine", 9))
 
 
 def similar_vectors(e: DataFrame, least: float) -> DataFrame:
     """(label, src, dst, cosine) of pairs within a label."""
-    a, b = e.select("label", F.col("vec_id").alias("src"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("dst"), F.col("embedding").alias("y"))
-    c = a.join(b, "label").where(F.col("src") < F.col("dst")).withColumn("cosine", N.cosine(F.col("x"), F.col("y")))
-    return c.where(F.col("cosine") >= least).select("label", "src", "dst", "cosine")
+    return similar.similar_pairs(e, "vec_id", "embedding", least, ["label"])
+
+
+@query("""SELECT src, dst, round(cosine, 9) AS cosine FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS cosine
+FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT *, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id < b.vec_id) WHERE cosine >= 0.4""")
+def similar_pairs(t: Tables) -> DataFrame:
+    """All pairs of vectors with a cosine of 0.4 or more, whatever their labels."""
+    return similar.similar_pairs(t.embeddings, "vec_id", "embedding", 0.4).withColumn("cosine", F.round("cosine", 9))
 
 
 @query("""SELECT a.vec_id, a.label, round(avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) AS cosine
