@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import _checkpoints, components
+from .order import sums_before
 
 
 def draw(seed: int | str, key: Column) -> Column:
@@ -141,3 +144,53 @@ def component_split(rows: DataFrame, group: str, content: str, seed: int | str =
 def leaks(rows: DataFrame, key: str, split: str) -> DataFrame:
     """(key, n_splits, splits) of keys that stand in several splits."""
     return rows.groupBy(key).agg(F.countDistinct(split).alias("n_splits"), F.array_join(F.sort_array(F.collect_set(split)), ",").alias("splits")).where("n_splits > 1")
+
+
+def group_folds(rows: DataFrame, group: str, label: str, folds: int, seed: int | str = 42, largest: int = 10_000, classes: int = 100) -> DataFrame:
+    """(group, fold from 0): whole groups, dealt so that every fold has its share of each class.
+
+    The ``largest`` groups (by rows, ties by checksum) go one by one, the
+    largest first, to the fold that makes the folds' shares of the classes
+    most even, ties to the fold with fewer rows: a bounded table, one task.
+    All other groups are numbered by checksum among those with the same rows
+    of each class, and each such set is shared out by the rows that the folds
+    still lack, to a group more or less; no task sees all groups. A null label is a class; a null group takes no part.
+    Errors: fewer groups than folds, more than ``classes`` classes.
+    """
+    known = rows.where(F.col(group).isNotNull())
+    names = [r[0] for r in known.select(F.col(label).cast("string")).distinct().orderBy(F.col(label).cast("string")).limit(classes + 1).collect()]
+    if len(names) > classes:
+        raise ValueError(f"more than {classes} classes")
+    per = known.groupBy(group).agg(F.array(*[F.count_if(F.col(label).cast("string").eqNullSafe(F.lit(c))) for c in names]).alias("_c") if names else F.array().cast("array<bigint>").alias("_c"), F.count(F.lit(1)).alias("_size"))
+    _checkpoints(rows.sparkSession)
+    per = per.withColumn("_draw", draw(seed, F.col(group))).checkpoint()
+    if per.limit(folds).count() < folds:
+        raise ValueError(f"fewer than {folds} groups")
+    first = per.orderBy(F.col("_size").desc(), "_draw", group).limit(largest)
+    totals = [max(1, x) for x in (per.agg(*[F.sum(F.col("_c")[i]) for i in range(len(names))]).first() or [])]
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_size", "_draw"], ascending=[False, True], kind="stable")
+        share = np.zeros((folds, len(totals)))
+        size = np.zeros(folds)
+        out = []
+        for counts, n in zip(pdf["_c"], pdf["_size"]):
+            add = np.asarray(counts) / totals
+            uneven = [np.std(np.where((np.arange(folds) == f)[:, None], share + add, share), axis=0).mean() for f in range(folds)]
+            fold = min(range(folds), key=lambda f: (round(uneven[f], 12), size[f], f))
+            share[fold] += add
+            size[fold] += n
+            out.append(fold)
+        return pd.DataFrame({group: pdf[group].to_numpy(), "fold": np.array(out, np.int32)})
+
+    kind = rows.schema[group].dataType.simpleString()
+    dealt = first.groupBy().applyInPandas(deal, f"`{group}` {kind}, fold int").checkpoint()
+    rest = per.join(dealt.select(group), group, "left_anti").withColumn("_set", F.array_join(F.transform("_c", lambda c: c.cast("string")), ","))
+    sized = {r["fold"]: r["n"] for r in dealt.join(per, group).groupBy("fold").agg(F.sum("_size").alias("n")).collect()}
+    whole = per.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    room = [max(0.0, whole / folds - sized.get(f, 0)) for f in range(folds)]
+    bounds = np.cumsum(room) / sum(room) if sum(room) else np.arange(1, folds + 1) / folds
+    placed = sums_before(rest, [F.col("_draw").asc(), F.col(group).asc()], {"_at": F.lit(1)}, ["_set"])
+    turn = (F.col("_at") + F.crc32(F.col("_set").cast("binary")) / 2.0**32) / F.col("_at_all")
+    fold = F.coalesce(*[F.when(turn - F.floor(turn) < float(b), f) for f, b in enumerate(bounds[:-1])], F.lit(folds - 1)) if folds > 1 else F.lit(0)
+    return dealt.unionByName(placed.select(group, fold.cast("int").alias("fold")))
