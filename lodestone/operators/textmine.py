@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import let
 
 
-def char_ngrams(text: Column, low: int, high: int) -> Column:
-    """All character n-grams of the text, n from low to high."""
-    def of(n: int) -> Column:
-        cut = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
-        return let(text, lambda x: F.when(F.length(x) >= n, cut(x)).otherwise(F.array().cast("array<string>")))
+#: Letters of a piece; runs are cut from pieces, as cutting from a long text counts its letters from the start each time.
+PIECE = 128
+
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+def char_ngrams(text: Column, low: int, high: int) -> Column:
+    """All character n-grams of the text, n from low to high (at most ``PIECE``), piece by piece."""
+    if high > PIECE:
+        raise ValueError(f"n-grams of more than {PIECE} letters")
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    # each piece with its number of letters and the first letters of what follows
+    after = lambda p: F.zip_with(p, F.slice(F.concat(p, F.array(F.lit(""))), 2, F.greatest(F.size(p), F.lit(1))), lambda x, y: F.struct(F.length(x).alias("n"), F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, high - 1)).alias("t")))
+
+    def of(z: Column, n: int) -> Column:
+        last = F.least(z["n"], F.length(z["t"]) - n + 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(z["t"], i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(let(pieces, after), lambda z: F.concat(*[of(z, n) for n in range(low, high + 1)])))
 
 
 def tfidf(rows: DataFrame, row_id: str, terms: Column, least_df: int = 2, most_terms: int | None = None) -> DataFrame:

@@ -425,14 +425,14 @@ def bootstrap(t: Tables) -> DataFrame:
     return out.select("replicates", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
 
 
-@query(f"""WITH g AS (SELECT p_brand AS g, p_size AS s, count(*) FILTER (p_retailprice > 1200) AS p, count(*) FILTER (NOT p_retailprice > 1200) AS q FROM part GROUP BY 1, 2), k AS (SELECT range AS k FROM range(63)),
+@query(f"""WITH g AS (SELECT p_brand AS g, p_size AS s, count(*) FILTER (p_retailprice > 905) AS p, count(*) FILTER (NOT p_retailprice > 905) AS q FROM part GROUP BY 1, 2), k AS (SELECT range AS k FROM range(63)),
 h AS (SELECT g, k, md5(k || ':0:' || g) AS h FROM (SELECT DISTINCT g FROM g), k), d AS (SELECT g, 16 * k + i - 1 AS replicate, ('0x' || substring(h, 2 * i - 1, 2))::INTEGER AS u FROM h, (SELECT range AS i FROM range(1, 17)) WHERE 16 * k + i - 1 < 1000),
 w AS (SELECT replicate, s, sum(w * p) AS p, sum(w * q) AS q FROM (SELECT g, replicate, {metrics.poisson_sql('u')} AS w FROM d) x JOIN g USING (g) GROUP BY 1, 2),
 b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY replicate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w), a AS (SELECT replicate, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS auc FROM b GROUP BY 1)
 SELECT count(*) AS replicates, round(avg(auc), 6) AS auc, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM a""")
 def bootstrap_area(t: Tables) -> DataFrame:
     """The 95 % interval of the area under the curve of sizes against dear parts, from 1000 draws of whole brands."""
-    rows = t.part.select("p_brand", "p_size", (F.col("p_retailprice") > 1200).cast("int").alias("dear"))
+    rows = t.part.select("p_brand", "p_size", (F.col("p_retailprice") > 905).cast("int").alias("dear"))
     out = metrics.bootstrap_auc_interval(rows, "p_brand", "p_size", "dear", 1000)
     return out.select("replicates", *[F.round(c, 6).alias(c) for c in ("auc", "low", "high")])
 
