@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -20,8 +20,10 @@ def log_contribution(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).otherwise(0.0)
 
 
-def flag_score(flags: Mapping[str, Column], step: float = 0.2) -> Column:
-    """Struct (status, score, unassessed): 1 less ``step`` a true flag, if every flag is known."""
+def flag_score(flags: Mapping[str, Column], step: float = 0.2, allowed: Collection[str] | None = None) -> Column:
+    """Struct (status, score, unassessed): 1 less ``step`` a true flag, if every flag is known; a flag that is not ``allowed`` is an error."""
+    if allowed is not None and set(flags) - set(allowed):
+        raise ValueError(f"unknown flags: {sorted(set(flags) - set(allowed))}")
     known = sum((c.isNotNull().cast("int") for c in flags.values()), F.lit(0))
     true = sum((F.coalesce(c, F.lit(False)).cast("int") for c in flags.values()), F.lit(0))
     missing = F.array_compact(F.array(*[F.when(c.isNull(), n) for n, c in flags.items()]))

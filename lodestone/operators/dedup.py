@@ -42,9 +42,17 @@ def file_local_duplicates(rows: DataFrame, file: str, content: Column) -> DataFr
     return per.groupBy(file).agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("groups"), F.sum(F.col("n") - 1).alias("excess"))
 
 
-def first_occurrence_counts(rows: DataFrame, content: Column, row_id: str, order: Sequence[str]) -> DataFrame:
-    """(sha256, n, representative): the representative is the first row in ``order``."""
-    return rows.groupBy(F.sha2(content, 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min_by(row_id, F.struct(*order)).alias("representative"))
+def first_occurrence_counts(rows: DataFrame, content: Column, row_id: str, order: Sequence[str], file: str | None = None) -> DataFrame:
+    """(sha256, n, representative): the representative is the first row in ``order``; with ``file`` also files, in how many files the content stands."""
+    files = [] if file is None else [F.countDistinct(file).alias("files")]
+    return rows.groupBy(F.sha2(content, 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min_by(row_id, F.struct(*order)).alias("representative"), *files)
+
+
+def catalogue(rows: DataFrame, name: str, part: str, quotas: dict[str, int]) -> DataFrame:
+    """(part, rows, names, quota, met) of every part with a quota: rows and distinct names (case and outer blanks apart) against the quota of names."""
+    per = rows.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.lower(F.trim(name))).alias("names"))
+    wanted = rows.sparkSession.createDataFrame(list(quotas.items()), "part string, quota long")
+    return wanted.join(per, "part", "left").fillna(0, ["rows", "names"]).select("part", "rows", "names", "quota", (F.col("names") >= F.col("quota")).alias("met"))
 
 
 def recover_names(rows: DataFrame, known: DataFrame, content: str, name: str) -> DataFrame:

@@ -145,17 +145,17 @@ def leaders(pairs: DataFrame, names: Sequence[str], least: float) -> dict[str, s
     return out
 
 
-def build_edges(edges: DataFrame, nodes: DataFrame, node: str, split: str, aliases: dict[str, str], least: dict[str, float], signed: Sequence[str] = (), strict: dict[str, float] | None = None) -> DataFrame:
+def build_edges(edges: DataFrame, nodes: DataFrame, node: str, split: str, aliases: dict[str, str], least: dict[str, float], signed: Sequence[str] = (), strict: dict[str, float] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(src, dst, kind, weight, reason) of edges (src, dst, kind, confidence): accepted ones both ways, the others once with their reason.
 
     Kinds are trimmed, lower-cased and renamed by ``aliases``; ``least`` names
     the kinds and the least confidence of each (``strict``: of a kind by its
     name before renaming), for ``signed`` kinds of the absolute value, whose
     square is the weight. Reasons: those of ``drop_reasons``, invalid_confidence
-    and below_threshold. Repeated edges stay.
+    and below_threshold. Repeated edges stay. ``keep``: columns to be kept.
     """
     raw = F.lower(F.trim("kind"))
-    named = edges.select("src", "dst", raw.alias("_raw"), F.coalesce(*[F.when(raw == a, k) for a, k in aliases.items()], raw).alias("kind"), F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
+    named = edges.select("src", "dst", *keep, raw.alias("_raw"), F.coalesce(*[F.when(raw == a, k) for a, k in aliases.items()], raw).alias("kind"), F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
     checked = drop_reasons(named, nodes, node, split, list(least))
     odd = F.col("kind").isin(list(signed))
     size = F.when(odd, F.abs("confidence")).otherwise(F.col("confidence"))
@@ -163,10 +163,29 @@ def build_edges(edges: DataFrame, nodes: DataFrame, node: str, split: str, alias
     limit = F.coalesce(*[F.when(F.col("_raw") == k, float(v)) for k, v in limits.items()], *[F.when(F.col("kind") == k, float(v)) for k, v in least.items()])
     reason = F.coalesce("reason", F.when(~F.coalesce(size.between(0, 1), F.lit(False)), "invalid_confidence").when(size < limit, "below_threshold"))
     weight = F.when(odd, F.col("confidence") * F.col("confidence")).otherwise(F.col("confidence"))
-    done = checked.select("src", "dst", "kind", weight.alias("weight"), reason.alias("reason"))
+    done = checked.select("src", "dst", "kind", weight.alias("weight"), reason.alias("reason"), *keep)
     return both_ways(done.where(F.col("reason").isNull())).unionByName(done.where(F.col("reason").isNotNull()))
 
 
+def tracked_edges(edges: DataFrame, nodes: DataFrame, node: str, split: str, aliases: dict[str, str], least: dict[str, float], track: str, kinds_of: dict[str, Sequence[str]], levels: dict[str, str], default: str = "E2", **how) -> DataFrame:
+    """``build_edges`` with level and source (columns of ``edges``): the graph of one track, each edge with the grade of its evidence.
+
+    ``kinds_of``: the kinds that a track admits; ``levels``: the level of a
+    kind's edges that state none (null or blank), ``default`` for other kinds.
+    Reasons besides those of ``build_edges``, which come first: outside_track,
+    unknown_level (none of E1 to E4).
+    """
+    kind = F.lower(F.trim("kind"))
+    kind = F.coalesce(*[F.when(kind == a, k) for a, k in aliases.items()], kind)
+    usual = F.coalesce(*[F.when(kind == k, level) for k, level in levels.items()], F.lit(default))
+    level = F.coalesce(F.when(F.trim("level") != "", F.trim("level")), usual)
+    built = build_edges(edges.withColumn("_edge", F.struct(level.alias("level"), "source")), nodes, node, split, aliases, least, keep=["_edge"], **how)
+    gate = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("kind").isin(list(kinds_of[track])), "outside_track").when(~F.col("_edge.level").isin("E1", "E2", "E3", "E4"), "unknown_level")
+    out = built.select("src", "dst", "kind", "weight", F.col("_edge.level").alias("level"), F.col("_edge.source").alias("source"), built["reason"].isNull().alias("_both"), gate.alias("reason"))
+    # a refused edge is one row: of the two directions the one from the smaller end
+    return out.where(F.col("reason").isNull() | ~F.col("_both") | (F.col("src") < F.col("dst"))).drop("_both")
+
+
 def attribute_edges(*sources: DataFrame) -> DataFrame:
     """(src, dst, kind, weight) both ways from several edge tables of these columns; of edges with the same ends and kind the last table's (there, the heaviest) stays."""
     out = None

@@ -180,7 +180,7 @@ def compatible(required: dict[str, object], aliases: dict[str, str]) -> Column:
 def verified_evidence(evidence: DataFrame, reference: DataFrame, key: str, text: str, sha: str, category: str, scope: Sequence[str]) -> DataFrame:
     """Curated rows against a reference table, with status: unknown_key, hash_mismatch (blanks apart, in upper case), out_of_scope, accepted."""
     actual = F.sha2(F.upper(F.regexp_replace(F.col(text), r"\s+", "")), 256)
-    known = reference.select(key, actual.alias("_actual"), F.lit(True).alias("_known")).dropDuplicates([key])
+    known = reference.groupBy(key).agg(F.min(actual).alias("_actual"), F.lit(True).alias("_known"))  # of several texts of a key the one with the smallest checksum
     stated = F.coalesce(F.col(sha), F.lit(""))
     status = (
         F.when(F.col("_known").isNull(), "unknown_key").when((stated != "") & ~F.col("_actual").eqNullSafe(stated), "hash_mismatch")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import aggregate, evidence, graph, linear, ranking, splits, textmine, validate
+from lodestone.operators import aggregate, dedup, evidence, graph, linear, ranking, splits, textmine, validate
 from lodestone.sources import readers, sinks
 
 from .catalogue import Tables, query
@@ -323,3 +323,31 @@ def frequent_term_weights(t: Tables) -> DataFrame:
     """The benchmark's passages by the 500 most frequent of their 2- to 4-letter runs."""
     w = textmine.tfidf(t.benchmark, "item_id", textmine.char_ngrams(F.col("text"), 2, 4), most_terms=500)
     return w.withColumn("weight", F.round("weight", 6))
+
+
+@query("""WITH e AS (SELECT o_custkey AS src, o_custkey + 7 * (o_orderkey % 5) AS dst, CASE o_orderkey % 4 WHEN 0 THEN 'near' WHEN 1 THEN 'same' WHEN 2 THEN 'same' ELSE 'odd' END AS kind, CASE WHEN o_orderkey % 10 <> 0 THEN (o_orderkey % 21 - 10) / 10 ELSE 1.0 END AS c, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'E' || (1 + o_orderkey % 5) ELSE ' ' END AS level, o_orderpriority AS source FROM orders),
+j AS (SELECT e.*, coalesce(nullif(trim(level), ''), CASE kind WHEN 'near' THEN 'E3' ELSE 'E2' END) AS grade, CASE WHEN kind = 'odd' THEN 'unknown_kind' WHEN src = dst THEN 'self' WHEN a.c_custkey IS NULL OR b.c_custkey IS NULL THEN 'missing_split' WHEN a.c_mktsegment <> b.c_mktsegment THEN 'cross_split'
+  WHEN c < 0 OR c > 1 THEN 'invalid_confidence' WHEN c < CASE kind WHEN 'near' THEN 0.3 ELSE 0.0 END THEN 'below_threshold' WHEN kind = 'same' THEN 'outside_track' END AS reason FROM e LEFT JOIN customer a ON a.c_custkey = src LEFT JOIN customer b ON b.c_custkey = dst),
+g AS (SELECT *, coalesce(reason, CASE WHEN grade NOT IN ('E1', 'E2', 'E3', 'E4') THEN 'unknown_level' END) AS why FROM j)
+SELECT coalesce(why, 'kept') AS reason, kind, grade AS level, source, CASE WHEN why IS NULL THEN 2 ELSE 1 END * count(*) AS n FROM g GROUP BY why, kind, grade, source""")
+def tracked_edges(t: Tables) -> DataFrame:
+    """Edges between customers in the track that admits one kind alone, with the grades of their evidence."""
+    o = F.col("o_orderkey")
+    level = F.when(o % 3 == 1, F.concat(F.lit("E"), (1 + o % 5).cast("string"))).when(o % 3 == 2, " ")
+    edges = t.orders.select(
+        F.col("o_custkey").alias("src"), (F.col("o_custkey") + 7 * (o % 5)).alias("dst"), F.when(o % 4 == 0, "near").when(o % 4 == 1, "same").when(o % 4 == 2, "coex").otherwise("odd").alias("kind"),
+        F.when(o % 10 != 0, (o % 21 - 10) / 10).alias("confidence"), level.alias("level"), F.col("o_orderpriority").alias("source"),
+    )
+    built = graph.tracked_edges(edges, t.customer, "c_custkey", "c_mktsegment", {"coex": "same"}, {"near": 0.3, "same": 0.0}, "first", {"first": ["near"], "second": ["near", "same"]}, {"near": "E3"})
+    return built.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), "kind", "level", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, arg_min(doc_id, doc_id) AS representative, count(DISTINCT source) AS files FROM documents GROUP BY 1")
+def occurrences_in_sources(t: Tables) -> DataFrame:
+    """Each text's rows, its first row, and in how many sources it stands."""
+    return dedup.first_occurrence_counts(t.documents, F.col("text"), "doc_id", ["doc_id"], "source")
+
+
+@query("SELECT p.part, count(x.p_name) AS rows, count(DISTINCT lower(trim(x.p_name))) AS names, p.quota, count(DISTINCT lower(trim(x.p_name))) >= p.quota AS met FROM (VALUES ('Brand#11', 5), ('Brand#22', 100000), ('none', 1)) p(part, quota) LEFT JOIN part x ON x.p_brand = p.part GROUP BY p.part, p.quota")
+def catalogue_quotas(t: Tables) -> DataFrame:
+    return dedup.catalogue(t.part, "p_name", "p_brand", {"Brand#11": 5, "Brand#22": 100000, "none": 1})

@@ -119,13 +119,18 @@ def aligned_texts(spark: SparkSession, path: str) -> DataFrame:
     return fasta(spark, path, others=True).withColumn("sequence", F.regexp_replace("sequence", "[a-z.]", ""))
 
 
-def blocks(spark: SparkSession, path: str, separator: str = "//") -> DataFrame:
-    """(fields): a map of each block's ``key<TAB>value`` lines; blocks end with a line ``separator``."""
+def blocks(spark: SparkSession, path: str, separator: str = "//", keys: Sequence[str] | None = None) -> DataFrame:
+    """(fields): a map of each block's ``key<TAB>value`` lines; blocks end with a line ``separator``. ``keys``: a block with other keys, more or fewer, is an error."""
     rows = spark.read.option("lineSep", f"\n{separator}").text(path).select(F.trim(F.regexp_replace("value", r"^[\r\n]+", "")).alias("b")).where(F.col("b") != "")
     lines = F.filter(F.split("b", r"\r?\n"), lambda x: F.contains(x, F.lit("\t")))
     entries = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "\t", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^\t]*\t", "")).alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return rows.select(F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))).alias("fields"))
+    found = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+    out = rows.select(F.map_from_entries(F.transform(found, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))).alias("fields"))
+    if keys is None:
+        return out
+    got = F.array_sort(F.map_keys("fields"))
+    same = got == F.array(*[F.lit(k) for k in sorted(keys)])
+    return out.where(F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("a block has the keys "), F.array_join(got, ", ")))).cast("boolean"))
 
 
 def features(spark: SparkSession, path: str, kind: str = "CDS") -> DataFrame:
@@ -151,6 +156,14 @@ def section_titles(xml: Column) -> Column:
     return F.when(F.coalesce(xml.rlike(r"(?s)^\s*<.*>\s*$") & broken.isNull(), F.lit(False)), F.xpath(xml, F.lit("//sec/title/text()")))
 
 
+def section_paragraphs(xml: Column) -> Column:
+    """Texts of the paragraphs of the sections of well-formed XML, markup left out and blanks drawn together; null where it is not well formed."""
+    sections = F.regexp_extract_all(xml, F.lit(r"(?s)<sec(?:\s[^>]*)?>(.*)</sec>"), F.lit(1))
+    paragraphs = F.flatten(F.transform(sections, lambda s: F.regexp_extract_all(s, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))))
+    plain = F.transform(paragraphs, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", ""), r"\s+", " ")))
+    return F.when(section_titles(xml).isNotNull(), F.filter(plain, lambda p: p != ""))
+
+
 def archive_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(archive, member, number, line) of the text members of zip and tar archives (gzip too) whose names match.
 
@@ -196,8 +209,10 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def vectors(table: DataFrame, wanted: DataFrame, key: str, place: str) -> DataFrame:
-    """The wanted keys in their order with their rows; a key without a row raises when it is read."""
+def vectors(table: DataFrame, wanted: DataFrame, key: str, place: str, **fields: str) -> DataFrame:
+    """The wanted keys in their order with their rows, of those whose ``fields`` (view, track) have these values; a key without a row raises when it is read."""
+    for name, value in fields.items():
+        table = table.where(F.col(name) == value)
     joined = wanted.join(table.withColumn("_found", F.lit(True)), key, "left")
     checked = joined.where(F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True))
     return checked.drop("_found").orderBy(place)

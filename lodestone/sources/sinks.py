@@ -20,20 +20,22 @@ def write_csv(frame: DataFrame, path: str) -> None:
 
 
 def append_manifest(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str], fixed: Sequence[str]) -> None:
-    """Append rows whose keys are new to a Parquet manifest; a known key with other ``fixed`` fields is an error."""
+    """Append rows whose keys are new to a Parquet manifest; a known key with other ``fixed`` fields is an error. Of several rows of a key the first in the order of all fields is taken."""
+    names = rows.columns
+    rows = rows.groupBy(*keys).agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
     try:
         known = spark.read.schema(rows.schema).parquet(path)
         known.limit(0).collect()
     except Exception as e:  # there is no manifest yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows.dropDuplicates(list(keys)).write.parquet(path)
+        rows.write.parquet(path)
         return
     same = rows.alias("a").join(known.alias("b"), list(keys))
     differ = " OR ".join(f"NOT (a.`{c}` <=> b.`{c}`)" for c in fixed)
     if fixed and not same.where(differ).isEmpty():
         raise ValueError("a known key has other fields now")
-    rows.dropDuplicates(list(keys)).join(known.select(*keys), list(keys), "left_anti").write.mode("append").parquet(path)
+    rows.join(known.select(*keys), list(keys), "left_anti").write.mode("append").parquet(path)
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
