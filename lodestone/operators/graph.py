@@ -95,20 +95,34 @@ def _checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(folder)
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, batch: int = 10_000) -> DataFrame:
     """(node, betweenness) of an undirected graph: the share of shortest paths between other nodes that pass a node, of all pairs of nodes.
 
-    Breadth-first levels from all nodes at once, then the dependencies back
-    from the farthest level: each level is a join with the edges and a sum by
-    (source, node), written before the next. All (source, node) pairs that are
-    connected are rows, so it is for graphs of bounded components. Loops and
-    repeated edges change nothing; fewer than three nodes give 0.
+    Sources are taken some ``batch`` at a time (dealt by a checksum): breadth-first
+    levels from all of them at once, then the dependencies back from the
+    farthest level; each level is a join with the edges and a sum by (source,
+    node), written before the next. A batch leaves a sum for each node, so
+    what is held at a time is a row for each source of one batch and node it
+    is connected with. Loops and repeated edges change nothing; fewer than
+    three nodes give 0.
     """
     _checkpoints(edges.sparkSession)
     both = both_ways(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())).distinct().checkpoint()
     near = both.where(F.col("src") != F.col("dst"))
-    nodes = both.select(F.col("src").alias("node")).distinct()
-    levels = [nodes.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"))]
+    nodes = both.select(F.col("src").alias("node")).distinct().checkpoint()
+    n = nodes.count()
+    batches = max(1, -(-n // batch))
+    sums: DataFrame | None = None
+    for k in range(batches):
+        part = _dependencies(nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == k), near).checkpoint()
+        sums = part if sums is None else sums.unionByName(part)
+    pairs = (n - 1) * (n - 2)
+    return sums.groupBy("node").agg(F.sum("d").alias("_d")).select("node", (F.col("_d") / pairs if pairs > 0 else F.lit(0.0)).alias("betweenness"))
+
+
+def _dependencies(sources: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, d): the dependencies of the sources on each node they reach, summed up; 0 of a source on itself."""
+    levels = [sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"))]
     seen = levels[0].select("s", "node")
     while True:
         reached = levels[-1].join(near, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -124,9 +138,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
         back = near.join(later, "dst").groupBy("s", F.col("src").alias("node")).agg(F.sum("x").alias("x"))
         through = level.join(back, ["s", "node"], "left").select("s", "node", "paths", F.coalesce(F.col("paths") * F.col("x"), F.lit(0.0)).alias("d")).checkpoint()
         total = total.unionByName(through.select("s", "node", "d"))
-    n = nodes.agg(F.count(F.lit(1)).alias("_n"))
-    per = total.groupBy("node").agg(F.sum(F.when(F.col("s") != F.col("node"), F.col("d")).otherwise(0.0)).alias("_d"))
-    return per.crossJoin(F.broadcast(n)).select("node", F.coalesce(F.try_divide("_d", (F.col("_n") - 1) * (F.col("_n") - 2)), F.lit(0.0)).alias("betweenness"))
+    return total.groupBy("node").agg(F.sum(F.when(F.col("s") != F.col("node"), F.col("d")).otherwise(0.0)).alias("d"))
 
 
 def leaders(pairs: DataFrame, names: Sequence[str], least: float) -> dict[str, str]:
