@@ -178,33 +178,6 @@ def composite(rows: DataFrame, share: str, cost: str, weight: float = 0.5) -> Da
     return turned.withColumn("composite", F.when(both, weight * F.col(share) + (1 - weight) * F.col("_turned_scaled"))).drop("_turned", "_turned_scaled")
 
 
-def choose_thresholds(rows: DataFrame, high: str, low_a: str, low_b: str, target: str, spoiled_a: str, spoiled_b: str, least_recall: float = 0.6, most_a: float = 0.05, most_b: float = 0.02) -> DataFrame:
-    """One row: cut_high, cut_a, cut_b, n, recall, rate_a, rate_b of the best admissible thresholds; no row if none is.
-
-    A row is chosen if high >= cut_high, low_a < cut_a and low_b < cut_b, for
-    cuts among the columns' own values. Admissible: some rows, recall of
-    ``target`` and the shares of ``spoiled_a`` and ``spoiled_b`` within bounds.
-    Best: most recall, fewest rows, least rate_a, then the highest cut_high and
-    lowest other cuts. Rows are counted once a cell of values; cumulative
-    windows along each axis then give every triple, so the work is the product
-    of the numbers of distinct values: round fine scores first.
-    """
-    axes = {"_a": high, "_b": low_a, "_c": low_b}
-    usable = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in axes.values()))
-    flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
-    cells = usable.groupBy(*[F.col(c).alias(n) for n, c in axes.items()]).agg(F.count(F.lit(1)).alias("n"), flag(target).alias("t"), flag(spoiled_a).alias("p"), flag(spoiled_b).alias("q"))
-    total = cells.agg(F.sum("t").alias("_targets"))
-    values = [cells.select(n).distinct() for n in axes]
-    grid = values[0].crossJoin(values[1]).crossJoin(values[2]).join(cells, list(axes), "left").fillna(0, ["n", "t", "p", "q"])
-    for axis, order, frame in (("_a", F.col("_a").desc(), (Window.unboundedPreceding, 0)), ("_b", F.col("_b"), (Window.unboundedPreceding, -1)), ("_c", F.col("_c"), (Window.unboundedPreceding, -1))):
-        w = Window.partitionBy(*[x for x in axes if x != axis]).orderBy(order).rowsBetween(*frame)
-        grid = grid.select(*axes, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(m) for m in ("n", "t", "p", "q")])
-    rated = grid.where("n > 0").crossJoin(F.broadcast(total)).select(*axes, "n", (F.col("t") / F.greatest("_targets", F.lit(1))).alias("recall"), (F.col("p") / F.col("n")).alias("rate_a"), (F.col("q") / F.col("n")).alias("rate_b"))
-    fit = rated.where((F.col("recall") >= least_recall) & (F.col("rate_a") <= most_a) & (F.col("rate_b") <= most_b))
-    best = fit.agg(F.min_by(F.struct(*rated.columns), F.struct(-F.col("recall"), "n", "rate_a", -F.col("_a"), "_b", "_c")).alias("_best")).where(F.col("_best").isNotNull())
-    return best.select(F.col("_best._a").alias("cut_high"), F.col("_best._b").alias("cut_a"), F.col("_best._c").alias("cut_b"), *[f"_best.{c}" for c in ("n", "recall", "rate_a", "rate_b")])
-
-
 def combination_scores(rows: DataFrame, edges: DataFrame, row_id: str, gain: str, kept: str, safe: str, worth: str, veto: str, veto_above: float, most: int = 3, shortlist: int = 60) -> DataFrame:
     """(members, gain, retained, safe) of all sets of up to ``most`` of the ``shortlist`` rows with the largest gain x kept x safe.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import aggregate, dedup, evidence, graph, linear, ranking, splits, textmine, validate
+from lodestone.operators import aggregate, dedup, evidence, graph, linear, ranking, splits, textmine, thresholds, validate
 from lodestone.sources import readers, sinks
 
 from .catalogue import Tables, query
@@ -120,7 +120,7 @@ SELECT ta AS cut_high, tb AS cut_a, tv AS cut_b, n, round(recall, 9) AS recall,
 def choose_thresholds(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     rows = part_scores(t).select("a", F.round("b", 1).alias("b"), F.coalesce("v", F.lit(0.0)).alias("v"), (F.col("votes") >= 2).alias("t"), (k % 10 == 0).alias("x"), (k % 40 == 1).alias("y"))
-    best = ranking.choose_thresholds(rows, "a", "b", "v", "t", "x", "y", 0.3, 0.1, 0.03)
+    best = thresholds.choose_thresholds(rows, "a", "b", "v", "t", "x", "y", 0.3, 0.1, 0.03)
     return best.withColumns({c: F.round(c, 9) for c in ("recall", "rate_a", "rate_b")})
 
 

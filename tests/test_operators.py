@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numeric as N
 from lodestone.functions import text as T
-from lodestone.operators import aggregate, dedup, evidence, graph, metrics, ranking, splits, validate
+from lodestone.operators import aggregate, dedup, evidence, graph, metrics, ranking, splits, thresholds, validate
 from lodestone.plans import catalogue, records, registry
 from lodestone.sources import readers, sinks
 from lodestone.streaming import events as stream
@@ -299,9 +299,9 @@ def test_fit_reasons(spark):
 
 def test_thresholds_none_and_ties(spark):
     rows = spark.createDataFrame([(0.9, 0.1, 0.1, True, False, False), (0.9, 0.3, 0.2, False, False, False), (0.2, 0.9, 0.9, False, True, True)], "a double, i double, e double, t boolean, x boolean, y boolean")
-    best = ranking.choose_thresholds(rows, "a", "i", "e", "t", "x", "y").collect()
+    best = thresholds.choose_thresholds(rows, "a", "i", "e", "t", "x", "y").collect()
     assert [tuple(r) for r in best] == [(0.9, 0.3, 0.2, 1, 1.0, 0.0, 0.0)]
-    assert ranking.choose_thresholds(rows, "a", "i", "e", "x", "x", "y").collect() == []
+    assert thresholds.choose_thresholds(rows, "a", "i", "e", "x", "x", "y").collect() == []
 
 
 def test_combinations_leave_out_vetoed_and_lose_neighbours(spark):
