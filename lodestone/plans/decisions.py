@@ -96,10 +96,10 @@ IDENTITY = "list_count(list_filter(list_zip(string_split(substring(a.p_type, 1,
 c AS (SELECT p_brand, i, x, count(*) AS c FROM (SELECT p_brand, unnest(range(l)) AS i, unnest(string_split(substring(p_type, 1, l), '')) AS x FROM r) GROUP BY 1, 2, 3),
 s AS (SELECT p_brand, string_agg(x, '' ORDER BY i) AS cons FROM (SELECT p_brand, i, coalesce(arg_min(x, (-c, x)) FILTER (x NOT IN ('-', '.')), 'X') AS x FROM c GROUP BY 1, 2) GROUP BY 1),
 e AS (SELECT p_brand, count(*) FILTER (list_count(list_filter(list_zip(string_split(substring(p_type, 1, l), ''), string_split(cons, '')), lambda z: z[1] = z[2] AND z[1] NOT IN ('-', '.'))) >= 0.6 * l) AS effective FROM r JOIN s USING (p_brand) GROUP BY 1),
-p AS (SELECT a.p_brand, avg({IDENTITY} / least(length(a.p_type), length(b.p_type))) AS identity FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.k < b.k AND b.k <= 20 GROUP BY 1)
+p AS (SELECT a.p_brand, avg({IDENTITY} / least(length(a.p_type), length(b.p_type))) AS identity FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.k < b.k AND b.k <= 100 GROUP BY 1)
 SELECT DISTINCT r.p_brand, n, cons AS consensus, effective, round(coalesce(identity, 1), 9) AS identity FROM r JOIN s USING (p_brand) JOIN e USING (p_brand) LEFT JOIN p USING (p_brand)""")
 def alignment(t: Tables) -> DataFrame:
-    return aggregate.alignment(t.part, "p_brand", "p_partkey", "p_type", 20).withColumn("identity", F.round("identity", 9))
+    return aggregate.alignment(t.part, "p_brand", "p_partkey", "p_type", 100).withColumn("identity", F.round("identity", 9))
 
 
 @query("SELECT source, round(count(DISTINCT i) / 500, 9) AS covered FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT source, i FROM (SELECT source, unnest(string_split(substring(text, 1, 500), '')) AS x, unnest(range(least(length(text), 500))) AS i FROM documents WHERE length(text) > 0) WHERE x NOT IN ('-', '.')) c ON c.source IS NOT DISTINCT FROM s.source WHERE source IS NOT NULL GROUP BY 1".replace("SELECT source, round", "SELECT s.source, round").replace("WHERE source IS NOT NULL GROUP", "WHERE s.source IS NOT NULL GROUP"))

@@ -182,16 +182,18 @@ def neighbor_mean(t: Tables) -> DataFrame:
     return graph.neighbour_mean(customer_edges(t).where("src <> dst"), t.customer, "c_custkey", "c_acctbal").withColumn("around", F.round("around", 6))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS src, c_custkey - c_custkey % 10 AS dst FROM customer WHERE c_custkey % 10 < 6), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT src AS node, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""")
+REACH = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS src, c_custkey - c_custkey % 10 AS dst FROM customer), {REACH}")
 def components(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    return graph.components(t.customer.where(k % 10 < 6).select(k.alias("src"), (k - k % 10).alias("dst")))
+    return graph.components(t.customer.select(k.alias("src"), (k - k % 10).alias("dst")))
 
 
-@query()
+@query(f"WITH RECURSIVE {EDGES}, {REACH}")
 def order_components(t: Tables) -> DataFrame:
-    """Components of all customer edges; ``components`` is the part of the job that its SQL can check."""
+    """Components of all customer edges, which form long chains."""
     return graph.components(customer_edges(t))
 
 
@@ -203,14 +205,22 @@ def _walks(levels: int) -> str:
     return ", ".join(steps)
 
 
-@query(f"""WITH e AS (SELECT n_nationkey + 100 AS src, n_regionkey AS dst FROM nation UNION ALL SELECT r_regionkey, (r_regionkey + 1) % 5 FROM region), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)),
-v AS (SELECT DISTINCT src AS node FROM b), {_walks(4)}, n AS (SELECT count(*) AS n FROM v)
-SELECT v.node, round(coalesce(sum(a.paths * z.paths / w.paths), 0) / any_value((n - 1) * (n - 2)), 9) AS betweenness FROM v CROSS JOIN n LEFT JOIN w4 a ON a.t = v.node AND a.s <> v.node
-LEFT JOIN w4 z ON z.s = v.node AND z.t <> v.node AND a.s <> z.t LEFT JOIN w4 w ON w.s = a.s AND w.t = z.t AND w.d = a.d + z.d GROUP BY 1""")
+@query(f"""WITH sold AS (SELECT l_suppkey, c_nationkey, sum(l_quantity) AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+e AS (SELECT n_nationkey + 100 AS src, n_regionkey AS dst FROM nation UNION ALL SELECT r_regionkey, (r_regionkey + 1) % 5 FROM region UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100 FROM supplier
+UNION ALL SELECT l_suppkey + 1000, arg_min(c_nationkey, (-q, c_nationkey)) + 100 FROM sold GROUP BY l_suppkey), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)),
+v AS (SELECT DISTINCT src AS node FROM b), {_walks(6)}, n AS (SELECT count(*) AS n FROM v)
+SELECT v.node, round(coalesce(sum(a.paths * z.paths / w.paths), 0) / any_value((n - 1) * (n - 2)), 9) AS betweenness FROM v CROSS JOIN n LEFT JOIN w6 a ON a.t = v.node AND a.s <> v.node
+LEFT JOIN w6 z ON z.s = v.node AND z.t <> v.node AND a.s <> z.t LEFT JOIN w6 w ON w.s = a.s AND w.t = z.t AND w.d = a.d + z.d GROUP BY 1""")
 def betweenness(t: Tables) -> DataFrame:
-    """Nations hang on their regions, regions form a ring."""
-    ring = t.region.select(F.col("r_regionkey").alias("src"), ((F.col("r_regionkey") + 1) % 5).alias("dst"))
-    return graph.betweenness(t.nation.select((F.col("n_nationkey") + 100).alias("src"), F.col("n_regionkey").alias("dst")).unionByName(ring)).withColumn("betweenness", F.round("betweenness", 9))
+    """All suppliers hang on their nation and on the nation they sold most to; nations hang on their regions, regions form a ring."""
+    sold = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).groupBy("l_suppkey", "c_nationkey").agg(F.sum("l_quantity").alias("q"))
+    markets = sold.groupBy("l_suppkey").agg(F.min_by("c_nationkey", F.struct(-F.col("q"), "c_nationkey")).alias("to"))
+    ends = [
+        t.nation.select((F.col("n_nationkey") + 100).alias("src"), F.col("n_regionkey").alias("dst")), t.region.select(F.col("r_regionkey").alias("src"), ((F.col("r_regionkey") + 1) % 5).alias("dst")),
+        t.supplier.select((F.col("s_suppkey") + 1000).alias("src"), (F.col("s_nationkey") + 100).alias("dst")), markets.select((F.col("l_suppkey") + 1000).alias("src"), (F.col("to") + 100).alias("dst")),
+    ]
+    edges = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3])
+    return graph.betweenness(edges).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank, round((count(*) OVER () - row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)) / greatest(1, count(*) OVER () - 1), 9) AS percentile FROM supplier")
