@@ -4,10 +4,10 @@ A first pass counts, over all documents, in how many each licence word stands;
 that gives every licence word its inverse document frequency. The index holds
 the postings of all words of all templates: word -> (template, place). A file
 is looked up by the highest-IDF word of each template's mandatory phrases, and
-each hit fixes a relative position, file place less template place. There the
-mandatory phrases are verified word for word; a phrase may stand up to
-``DRIFT`` words nearer or farther than in the template, as copies add names
-and drop clauses. The postings of all the template's words are then
+each hit fixes a relative position, file place less template place. From there
+the other mandatory phrases are verified word for word, in the template's order
+and at any distance, the nearest place first, as copies add names, comments and
+clauses or drop them. The postings of all the template's words are then
 intersected at the relative positions of its phrases, and the share of the
 template's IDF weight that they hold there is its score.
 
@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,6 @@ BASE = [
 ]
 
 TEMPLATES = [*WORDINGS, *LINES]
-#: How many words a mandatory phrase may stand off its place in the template.
-DRIFT = 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -99,41 +98,50 @@ class Index:
         starts: set[tuple[str, int]] = set()
         found: dict[str, float] = {}
         present = set(words)
-        places: dict[str, list[int]] = {}
+        places: dict[tuple[str, ...], list[int]] = {}
 
-        def standing(word: str) -> list[int]:
-            if word not in places:
+        def standing(phrase: list[str], rare: str, offset: int) -> list[int]:
+            """Where the phrase stands, ascending; its rarest word is looked up first."""
+            key = tuple(phrase)
+            if key not in places:
                 at, out = -1, []
-                for _ in range(words.count(word)):
-                    at = words.index(word, at + 1)
-                    out.append(at)
-                places[word] = out
-            return places[word]
+                for _ in range(words.count(rare) if rare in present else 0):
+                    at = words.index(rare, at + 1)
+                    if at >= offset and words[at - offset : at - offset + len(phrase)] == phrase:
+                        out.append(at - offset)
+                places[key] = out
+            return places[key]
 
         for rare in self.lookup:
             if rare not in present:
                 continue
             for is_base, number in self.entries[rare]:
                 template = (self.base if is_base else self.full)[number]
-                start, phrase, _, offset = template.phrases[0]
-                for p in standing(rare):
-                    if words[p - offset : p - offset + len(phrase)] != phrase or p < offset:
-                        continue
+                for p in standing(*template.phrases[0][1:]):
                     if is_base:
-                        starts.add((template.label, p - offset))
-                    elif shifts := self._shifts(words, standing, template, p - offset - start):
+                        starts.add((template.label, p))
+                    elif shifts := self._shifts(standing, template, p):
                         found[template.label] = max(found.get(template.label, 0.0), self._share(words, number, shifts))
         return starts, {label for label, _ in starts}, found
 
     @staticmethod
-    def _shifts(words: list[str], standing, template: Template, zero: int) -> set[int] | None:
-        """The relative positions of all mandatory phrases; None if one does not stand."""
-        shifts = {zero}
-        for start, phrase, rare, offset in template.phrases[1:]:
-            near = [p - offset - start for p in standing(rare) if abs(p - offset - start - zero) <= DRIFT and p >= offset and words[p - offset : p - offset + len(phrase)] == phrase]
-            if not near:
-                return None
-            shifts.add(min(near, key=lambda x: (abs(x - zero), x)))
+    def _shifts(standing: Callable[[list[str], str, int], list[int]], template: Template, place: int) -> set[int] | None:
+        """The relative positions of all mandatory phrases around the first one's place; None if one does not stand in its order."""
+        ordered = sorted(template.phrases)
+        known = ordered.index(template.phrases[0])
+        shifts = {place - template.phrases[0][0]}
+        for step, rest in ((1, ordered[known + 1 :]), (-1, ordered[:known][::-1])):
+            last, here = template.phrases[0], place
+            for phrase in rest:
+                first, second = (last, phrase) if step > 0 else (phrase, last)
+                # phrases stand apart, unless they overlap in the template
+                apart = min(len(first[1]), second[0] - first[0])
+                at = standing(*phrase[1:])
+                k = bisect_left(at, here + apart) if step > 0 else bisect_right(at, here - apart) - 1
+                if not 0 <= k < len(at):
+                    return None
+                last, here = phrase, at[k]
+                shifts.add(here - phrase[0])
         return shifts
 
     def _share(self, words: list[str], number: int, shifts: set[int]) -> float:

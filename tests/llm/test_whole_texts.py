@@ -255,9 +255,13 @@ def test_scores_are_shares_of_idf_weight_at_the_phrases_places(df):
         if len(template.phrases) > 1:
             starts = sorted(p[0] for p in template.phrases)
             cut = starts[1]
-            moved = template.words[:cut] + ["new"] * 5 + template.words[cut:]
-            assert index.scan(moved)[2][template.label] == pytest.approx(1.0)
-            assert template.label not in index.scan(template.words[:cut] + ["new"] * 40 + template.words[cut:])[2] or any(t.label == template.label for i, t in enumerate(index.full) if i != number)
+            for added in (5, 17, 40, 3000):
+                moved = template.words[:cut] + ["new"] * added + template.words[cut:]
+                assert index.scan(moved)[2][template.label] == pytest.approx(1.0)
+            # in the other order, or with one of them missing, they are no licence
+            alone = sum(t.label == template.label for t in index.full) == 1
+            assert not alone or template.label not in index.scan(template.words[cut:] + ["new"] + template.words[:cut])[2]
+            assert not alone or template.label not in index.scan(template.words[:cut])[2]
         # by brute force: one word of the wording replaced takes its weight
         k = max(i for i in range(len(template.words)) if not any(s <= i < s + len(p) for s, p, *_ in template.phrases)) if len(template.words) > sum(len(p[1]) for p in template.phrases) else None
         if k is not None and sum(t.label == template.label for t in index.full) == 1:
