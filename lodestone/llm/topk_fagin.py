@@ -2,8 +2,10 @@
 
 Vectors are dealt evenly into blocks of about ``block`` rows, whatever their
 ids; each block is one row that holds its vectors. Queries are packed the same
-way, and every block of queries meets every block of vectors once. Within a
-pair, each dimension's list is the block sorted by that component. A query
+way, and every pack of queries meets every block of vectors once; the pairs are
+dealt out by block and pack, so neither side gathers in a task. Within a pair,
+each dimension's list is the block sorted by that component, once for the up to
+``PACK`` queries. A query
 walks all lists at once, from the end that its own component favours; it
 scores what the lists bring up by random access and stops as soon as the
 bound, the score that a vector standing at the current depth of every list
@@ -33,6 +35,8 @@ from .common import read_table
 
 PACKED = "blk int, dim int, ids binary, extra binary, flat binary"
 EXACT = 2.0**53
+#: Queries that meet a block at once: their search takes many times as long as sorting and moving the block.
+PACK = 2048
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -128,11 +132,12 @@ class Lists:
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                lists = Lists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["flat"], np.int64).reshape(-1, dim))
-                queries = np.frombuffer(row["q_flat"], np.int64).reshape(-1, dim)
-                own, key = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_extra"], np.int64)
+            for i in range(batch.num_rows):
+                # read in place: a row is a whole block
+                ids, flat, own, key, q_flat = (np.frombuffer(b, np.int64) if (b := batch.column(c)[i].as_buffer()).size else np.zeros(0, np.int64) for c in ("ids", "flat", "q_ids", "q_extra", "q_flat"))
+                dim = batch.column("dim")[i].as_py()
+                lists = Lists(ids, flat.reshape(len(ids), dim))
+                queries = q_flat.reshape(len(own), dim)
                 out: list[tuple[np.ndarray, ...]] = []
                 for q, o, e in zip(queries, own.tolist(), key.tolist()):
                     ids, scores = lists.top(q, o, k)
@@ -147,9 +152,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 8192
     """query_id, rank, vec_id, score; both inputs are (vec_id, v) as ``quantised`` gives them."""
     asked = queries.withColumn("extra", F.xxhash64("v")).dropDuplicates(["vec_id", "extra"]).select("vec_id", "extra", "v")
     vector_blocks, n = _dealt(vectors.select("vec_id", F.lit(0).cast("long").alias("extra"), "v"), block)
-    query_blocks, _ = _dealt(asked, 512)
-    named = query_blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("blk"), "dim", F.col("ids").alias("q_ids"), F.col("extra").alias("q_extra"), F.col("flat").alias("q_flat"))
-    pairs = named.join(vector_blocks.drop("extra"), ["blk", "dim"]).select("dim", "ids", "flat", "q_ids", "q_extra", "q_flat")
+    query_packs, m = _dealt(asked, PACK)
+    named = query_packs.select(F.col("blk").alias("pack"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("blk"), "dim", F.col("ids").alias("q_ids"), F.col("extra").alias("q_extra"), F.col("flat").alias("q_flat"))
+    spread = vector_blocks.select("blk", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("pack"), "dim", "ids", "flat")
+    pairs = named.join(spread, ["blk", "pack", "dim"]).select("dim", "ids", "flat", "q_ids", "q_extra", "q_flat")
     found = pairs.mapInArrow(_search(k), "query_id long, q long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -298,6 +298,19 @@ def test_top_k_is_exact(spark, block):
     assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == want
 
 
+def test_top_k_of_many_packs(spark, monkeypatch):
+    """Queries in packs of 3 against blocks of 7, two lengths of vectors, equal vectors and negative components."""
+    monkeypatch.setattr(topk_fagin, "PACK", 3)
+    draw = random.Random(5)
+    vectors = [(i, [draw.randrange(-4, 5) for _ in range(3 + i % 2)]) for i in range(60)]
+    frame = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    want = set()
+    for q, a in vectors[::4]:
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q and len(a) == len(b))
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(scores[:10], 1)}
+    assert {tuple(r) for r in topk_fagin.top_k(frame.where("vec_id % 4 = 0"), frame, block=7).collect()} == want
+
+
 def test_top_k_on_the_table(spark, small_tables):
     import pyarrow.parquet as pq
 
