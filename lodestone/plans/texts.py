@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import aggregate, dedup, evidence, splits, textmine, validate
+from lodestone.operators import aggregate, dedup, evidence, grams, splits, textmine, validate
 from lodestone.sources import readers
 
 from .catalogue import Tables, query
@@ -179,8 +179,9 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT
 r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term))
 SELECT doc_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weight, round(max(w) / sqrt(sum(w * w)), 6) AS heaviest FROM r GROUP BY 1""")
 def ngram_tfidf(t: Tables) -> DataFrame:
-    w = textmine.tfidf(t.documents, "doc_id", textmine.char_ngrams(F.lower("text"), 2, 4))
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("heaviest"))
+    w, _ = grams.gram_vectors(t.documents, "doc_id", F.lower("text"), 2, 4)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return w.select("doc_id", F.size("weights").cast("long").alias("terms"), F.round(total, 6).alias("weight"), F.round(F.array_max("weights"), 6).alias("heaviest"))
 
 
 @query("SELECT DISTINCT source, CASE WHEN n <= greatest(floor(t * 0.7::DOUBLE), 1) THEN 'train' WHEN n <= greatest(floor(t * 0.7::DOUBLE), 1) + greatest(floor(t * 0.15::DOUBLE), 1) THEN 'validation' ELSE 'test' END AS split FROM (SELECT source, row_number() OVER (ORDER BY sha256('42:' || source), source) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))")
