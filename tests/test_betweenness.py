@@ -40,3 +40,15 @@ def test_batches_of_sources_equal_counting_paths(spark, batch):
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(edges, "src int, dst int"), batch).collect()}
     expected = scalar(edges)
     assert set(got) == set(expected) and all(got[v] == pytest.approx(expected[v]) for v in expected)
+
+
+def test_nodes_with_the_same_neighbours_are_one_source(spark, monkeypatch):
+    draw = random.Random(4)
+    edges = [(k, 100 + k % 3) for k in range(60)] + [(k, 103 + k % 2) for k in range(60)] + [(100, 101), (101, 102), (102, 100), (103, 200), (300, 300), (301, 301)] + [(400 + draw.randrange(6), 400 + draw.randrange(6)) for _ in range(8)]
+    taken = []
+    whole = graph._dependencies
+    monkeypatch.setattr(graph, "_dependencies", lambda sources, near: taken.append(sources.count()) or whole(sources, near))
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    expected = scalar(edges)
+    assert set(got) == set(expected) and all(got[v] == pytest.approx(expected[v]) for v in expected)
+    assert sum(taken) < 22 < len(expected)
