@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 #: Vectors that serve as pivots, members of a block, and room for rounding of angles.
 PIVOTS = 64
-BLOCK = 512
+BLOCK = 4096
 ROUNDING = 1e-6
+#: Blocks of a band, unless they had more members than the second number; places a vector may have on average; rows compared at once.
+BLOCKS, MOST = 8, 65_536
+PLACES = 8
+STRIP = 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -25,7 +29,7 @@ def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def members(rows: DataFrame, row_id: str, vector: str, least: float, group: Sequence[str] = (), pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(group, cell, band, bi, bj, blk, home, id, unit vector): which vectors meet, as members of units of at most about two blocks.
+    """(group, cell, band, bi, bj, blk, home, id, unit vector): which vectors meet, as members of units of two blocks.
 
     A vector's home is its nearest pivot. If the angle of two vectors is at
     most t, their angles to a pivot differ by at most t, so a cell is cut into
@@ -36,6 +40,10 @@ def members(rows: DataFrame, row_id: str, vector: str, least: float, group: Sequ
     is visited). Pivots are at most ``pivots`` vectors, drawn by a checksum;
     they and a number for each are all that reaches the driver. Members of a
     band are dealt to blocks by a checksum, and each pair of blocks is a unit.
+    A band has at most ``BLOCKS`` blocks until these have ``MOST`` members, so
+    a vector is sent to a bounded number of units however many there are.
+    Where the angle is so wide that vectors would have more than ``PLACES``
+    places on average or half of all pairs would meet, a group is one band.
     """
     t = float(np.arccos(np.clip(least, -1.0, 1.0))) + ROUNDING
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
@@ -82,7 +90,12 @@ def members(rows: DataFrame, row_id: str, vector: str, least: float, group: Sequ
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in unit.schema.fields)
     placed = unit.mapInArrow(places, f"{fields}, cell int, band int, home boolean")
     key = [*group, "cell", "band"]
-    sizes = placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"), F.count_if("home").alias("_homes")).where("_homes > 0")
+    n, home = F.count(F.lit(1)), F.count_if("home")
+    per = placed.groupBy(*key).agg(n.alias("n"), home.alias("h")).where("h > 0").groupBy(*group).agg(F.sum("h").alias("all"), F.sum("n").alias("n"), F.sum(F.col("h") * (F.col("n") - F.col("h") / 2)).alias("pairs"))
+    cost = per.agg(F.sum("all").alias("all"), F.sum("n").alias("n"), F.sum("pairs").alias("pairs"), F.sum(F.col("all") * F.col("all") / 2).alias("every")).first()
+    if cost["all"] and (cost["n"] > PLACES * cost["all"] or cost["pairs"] > cost["every"] / 2):
+        placed = unit.withColumns({"cell": F.lit(0), "band": F.lit(0), "home": F.lit(True)})
+    sizes = placed.groupBy(*key).agg(F.least(F.ceil(n / block), F.greatest(F.lit(BLOCKS), F.ceil(n / MOST))).alias("_blocks"), home.alias("_homes")).where("_homes > 0")
     for k in key:
         sizes = sizes.withColumnRenamed(k, f"_{k}")
     same = F.lit(True)
@@ -104,19 +117,26 @@ def similar_pairs(rows: DataFrame, row_id: str, vector: str, least: float, group
     kind = met.schema["id"].dataType.simpleString()
     kinds = {g: met.schema[g].dataType.simpleString() for g in group}
 
-    def run(key, unit):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = pa.Table.from_batches(list(batches))
         bi, bj = key[-2].as_py(), key[-1].as_py()
         x = _matrix(unit.column("_x").combine_chunks())
-        home, blk = unit.column("home").to_numpy(), unit.column("blk").to_numpy()
-        a, b = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-        cosine = x[a] @ x[b].T
-        near = (cosine >= least) & (home[a][:, None] | home[b][None, :])
-        if bi == bj:
-            near &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
-        i, j = np.nonzero(near)
-        src, dst = unit.column("id").take(pa.array(a[i])), unit.column("id").take(pa.array(b[j]))
-        names = [*group, "a", "b", "cosine"]
-        return pa.table([*(pa.array([key[k].as_py()] * len(i), unit.schema.field(g).type) for k, g in enumerate(group)), src, dst, pa.array(cosine[i, j])], names=names)
+        ids, home, blk = unit.column("id").combine_chunks(), unit.column("home").to_numpy(), unit.column("blk").to_numpy()
+        every, b = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+        right = x[b].T
+        for k in range(0, len(every), STRIP):
+            a = every[k : k + STRIP]
+            after = k + 1 if bi == bj else 0  # within a block a row meets those behind it
+            cosine = x[a] @ right[:, after:]
+            near = (cosine >= least) & (home[a][:, None] | home[b[after:]][None, :])
+            if bi == bj:
+                near = np.triu(near)
+            i, j = np.nonzero(near)
+            for m in range(0, len(i), 1 << 20):
+                u, v = i[m : m + (1 << 20)], j[m : m + (1 << 20)]
+                columns = [pa.array([key[g].as_py()] * len(u), unit.schema.field(name).type) for g, name in enumerate(group)]
+                columns += [ids.take(pa.array(a[u])), ids.take(pa.array(b[after:][v])), pa.array(cosine[u, v])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*group, "a", "b", "cosine"])
 
     schema = "".join(f"`{g}` {k}, " for g, k in kinds.items()) + f"a {kind}, b {kind}, cosine double"
     found = met.groupBy(*group, "cell", "band", "bi", "bj").applyInArrow(run, schema)

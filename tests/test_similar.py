@@ -58,3 +58,21 @@ def test_nothing_to_compare(spark):
     table = spark.createDataFrame([], "id long, v array<float>")
     assert similar.similar_pairs(table, "id", "v", 0.5).count() == 0
     assert similar.similar_pairs(spark.createDataFrame([(1, [1.0, 0.0])], table.schema), "id", "v", 0.5).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.3, 0.97])
+def test_vectors_are_sent_to_few_units(spark, least):
+    """However wide the angle, a vector has few places, and they do not grow with the table."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(3000, 64))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    assert similar.members(table, "id", "v", least, block=40).count() <= similar.PLACES * similar.BLOCKS * 3000
+    assert similar.members(table, "id", "v", 0.3, block=40).count() == similar.BLOCKS * 3000
+    got = {(r["src"], r["dst"]) for r in similar.similar_pairs(table, "id", "v", least, block=40).collect()}
+    assert {("all", *p) for p in got} == set(all_pairs(list(range(3000)), ["all"] * 3000, x, least))
+
+
+def test_dense_pairs_leave_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "STRIP", 7)
+    table = spark.createDataFrame([(k, [1.0, 0.01 * k]) for k in range(50)], "id long, v array<double>")
+    assert similar.similar_pairs(table, "id", "v", 0.5, block=20).distinct().count() == 50 * 49 // 2
