@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import grams, textmine
+from lodestone.operators import grams, linear, textmine
 from lodestone.plans import registry
 
 TEXTS = [(1, "abab"), (2, "ab\0"), (3, None), (4, ""), (5, "a"), (6, "b\U0001f600ab\U0001f600a"), (7, "\0\0\0ab"), (8, "zq"), (9, "ééabab " * 40)]
@@ -53,3 +53,19 @@ def test_more_letters_than_fit_a_number():
 def test_no_row_a_gram_and_document(spark, small_tables):
     plan = registry.QUERIES["ngram_tfidf"](spark, small_tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_classifier_on_vectors_equals_that_on_terms(spark):
+    rows = [(i, i % 3 and i % 2, ("abcab" * (i % 4) + "xyzz" * (i % 3))[i % 5 :]) for i in range(60)] + [(99, None, "abcxyz"), (100, 1, None)]
+    table = spark.createDataFrame(rows, "id int, y int, t string").repartition(3)
+    exploded = textmine.tfidf(table, "id", textmine.char_ngrams(F.col("t"), 1, 3), most_terms=9)
+    expected = {r["id"]: r["score"] for r in linear.decisions(table, exploded, "id", linear.fit_logistic(table, exploded, "id", "y", tolerance=1e-12)).collect()}
+    vectors, terms = grams.gram_vectors(table, "id", F.col("t"), 1, 3, most_terms=9, block=50)
+    assert all(r["places"] == sorted(r["places"]) for r in vectors.collect())
+    got = {r["id"]: r["score"] for r in linear.vector_decisions(table, vectors, "id", linear.fit_vectors(table, vectors, terms.count(), "id", "y", tolerance=1e-12)).collect()}
+    assert got == pytest.approx(expected, abs=1e-6) and len(got) == 62
+
+
+def test_decisions_move_no_row_a_gram(spark, small_tables):
+    plan = registry.QUERIES["quality_decisions"](spark, small_tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
