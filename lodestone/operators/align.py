@@ -32,6 +32,58 @@ def seeds(texts: DataFrame, text_id: str, text: str, k: int, unknown: str = UNKN
     return found.where(~F.contains("seed", F.lit(unknown)))
 
 
+#: Odd factor of the seeds' hashes.
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def seed_hashes(text: str, k: int) -> np.ndarray:
+    """A hash for the k letters from each place on: a sum of letters times powers of a factor, put together from halves."""
+    one = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(one) < k:
+        return np.zeros(0, np.uint64)
+    out, done, width = None, 0, 1
+    while True:
+        if k & width:
+            shifted = one[done : done + len(text) - k + 1]
+            out = shifted if out is None else out * np.uint64(pow(FACTOR, width, 1 << 64)) + shifted
+            done += width
+        if width * 2 > k:
+            return out * np.uint64(0xC2B2AE3D27D4EB4F)
+        one = one[:-width] * np.uint64(pow(FACTOR, width, 1 << 64)) + one[width:]
+        width *= 2
+
+
+def seeds_among(texts: DataFrame, text_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
+    """``seeds`` of the texts that hash like one of ``wanted`` (seed); few, as their hashes go to every task."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(seed_hashes(s, k)[0].view(np.int64)) for s in batch.column(0).to_pylist()], pa.int64())], names=["h"])
+
+    known = np.unique(wanted.select("seed").mapInArrow(hashed, "h long").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    kind = texts.schema[text_id].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 22, bool)
+        seen[(known >> np.uint64(42)).astype(np.int64)] = True
+        for batch in batches:
+            rows, found, places = [], [], []
+            for row, s in enumerate(batch.column("_t")):
+                s = s.as_py()
+                h = seed_hashes(s, k)
+                at = np.flatnonzero(seen[(h >> np.uint64(42)).astype(np.int64)])
+                if len(at):
+                    at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]].tolist()
+                    rows += [row] * len(at)
+                    places += at
+                    found += [s[i : i + k] for i in at]
+                if len(rows) > 100_000 or (rows and row == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows)), pa.array(found, pa.string()), pa.array(places, pa.int64())], names=[text_id, "seed", "at"])
+                    rows, found, places = [], [], []
+
+    return texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_t")).mapInArrow(find, f"`{text_id}` {kind}, seed string, at long")
+
+
 def other_strand(text: Column, complement: dict[str, str] | None = None) -> Column:
     """The text from its end, letters exchanged by ``complement``."""
     pairs = COMPLEMENT if complement is None else complement
@@ -46,18 +98,17 @@ def candidates(reads: DataFrame, references: DataFrame, ref_id: str, text: str,
     in the read, which may be negative) or for the seed's own place
     (``by="place"``). Ties go to the + strand, then to the smaller reference
     and place. Equal reads vote once. References' seeds are held against the
-    reads' distinct seeds where those are few, so that only seeds in common
-    move; a pair of a read and a place with a seed in common is a row before
+    hashes of the reads' distinct seeds where those are few, so that only seeds in common
+    become rows; a pair of a read and a place with a seed in common is a row before
     votes are summed.
     """
     texts = reads.select(F.col(read).alias("read")).where(F.col("read").isNotNull()).distinct()
     ways = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("read").alias("_way")), F.struct(F.lit("-").alias("strand"), other_strand(F.col("read"), complement).alias("_way")))).alias("_w")
     sided = texts.select("read", ways).select(F.struct("read", "_w.strand").alias("_key"), "_w._way")
     mine = seeds(sided, "_key", "_way", k, unknown).select("_key", "seed", F.col("at").alias("_from"))
-    theirs = seeds(references.where(F.col(text).isNotNull()), ref_id, text, k, unknown)
+    whole = references.where(F.col(text).isNotNull())
     wanted = mine.select("seed").distinct()
-    if few(wanted):
-        theirs = theirs.join(F.broadcast(wanted), "seed", "left_semi")
+    theirs = seeds_among(whole, ref_id, text, k, wanted) if few(wanted) else seeds(whole, ref_id, text, k, unknown)
     place = F.col("at") - F.col("_from") if by == "diagonal" else F.col("at")
     votes = mine.join(theirs, "seed").groupBy("_key", ref_id, place.alias("place")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least)
     order = Window.partitionBy("read").orderBy(F.col("votes").desc(), "strand", ref_id, "place")
