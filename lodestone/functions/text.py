@@ -170,9 +170,10 @@ def pair_composition(text: Column, classes: dict[str, str]) -> Column:
     """Map of two-letter class pairs to their share; characters without a class are left out."""
     chars = "".join(classes)
     reduced = F.translate(F.regexp_replace(text, f"[^{chars}]", ""), chars, "".join(classes.values()))
-    halves = lambda r: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))), lambda p: F.length(p) == 2)
-    shares = lambda ps: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(ps)), lambda p: F.struct(p, F.size(F.filter(ps, lambda q: q == p)) / F.size(ps))))
-    return let(let(reduced, halves), shares)
+    kinds = sorted(set(classes.values()))
+    # a pair is counted at every place where it stands ahead, in one pass over the text
+    counted = lambda r: F.array(*[F.struct(F.lit(a + b).alias("pair"), (F.regexp_count(r, F.lit(f"(?=\\Q{a + b}\\E)")) / (F.length(r) - 1)).alias("share")) for a in kinds for b in kinds])
+    return F.when(text.isNotNull(), let(reduced, lambda r: F.when(F.length(r) > 1, F.map_from_entries(F.filter(counted(r), lambda p: p["share"] > 0)))))
 
 
 def text_windows(frame: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
