@@ -5,7 +5,8 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,8 +254,9 @@ def pooled_pairs(text: Column, classes: dict[str, str], order: str, cells: int)
 
 def folded_title_key(title: Column) -> Column:
     """``title_key`` of the title without accents (compatibility decomposition, in Arrow batches: Spark has no function for it)."""
-    @F.pandas_udf("string")
-    def fold(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKD")
+    @F.arrow_udf("string")
+    def fold(values: pa.Array) -> pa.Array:
+        return pc.utf8_normalize(values, "NFKD")
 
-    return title_key(fold(title))
+    # texts of ASCII alone are their own decomposition and stay out of Python
+    return title_key(F.coalesce(fold(F.when(title.rlike("[^\\x00-\\x7F]"), title)), title))

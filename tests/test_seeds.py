@@ -38,3 +38,10 @@ def test_pairs_of_a_long_text_in_one_pass(spark):
     pairs = [reduced[i : i + 2] for i in range(len(reduced) - 1)]
     assert got[0] == pytest.approx({p: pairs.count(p) / len(pairs) for p in set(pairs)})
     assert not any(got[1:4]) and got[4] == {"AA": 1.0}
+
+
+def test_only_texts_with_other_letters_are_folded_in_python(spark):
+    table = spark.createDataFrame([("Caf\u00e9  \ufb01ne",), ("plain title",), ("",), (None,)], "t string")
+    keys = table.select(T.folded_title_key(F.col("t")))
+    assert "rlike" in keys._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r[0] for r in keys.collect()] == ["cafe fine", "plain title", "", None]
