@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -158,8 +159,7 @@ def read_quality(read: Column, quality: Column, adapters: Sequence[str] = (), sh
     """Struct (length, unknown, mean_quality, reasons) of a sequencing read; quality characters count from ``!``."""
     n = F.length(read)
     unknown = F.coalesce(F.try_divide(F.regexp_count(read, F.lit("[Nn]")), n), F.lit(0.0))
-    scores = F.transform(F.filter(F.split(quality, ""), lambda c: c != ""), lambda c: F.greatest(F.ascii(c) - 33, F.lit(0)))
-    mean = F.coalesce(F.try_divide(F.aggregate(scores, F.lit(0), lambda a, x: a + x), F.size(scores)), F.lit(0.0))
+    mean = F.coalesce(F.try_divide(score_sum(quality), F.length(quality)), F.lit(0.0))
     adapter = F.lit(False)
     for a in adapters:
         adapter = adapter | read.contains(a)
@@ -167,6 +167,40 @@ def read_quality(read: Column, quality: Column, adapters: Sequence[str] = (), sh
     return F.struct(n.cast("long").alias("length"), F.bround(unknown, 4).alias("unknown"), F.bround(mean, 2).alias("mean_quality"), why.alias("reasons"))
 
 
+def score_sum(quality: Column) -> Column:
+    """Sum of what the code points of a text lie above ``!``; those below count 0. Taken from the bytes of many texts at once."""
+
+    @F.arrow_udf("long")
+    def summed(text: pa.Array) -> pa.Array:
+        text = text.cast(pa.large_string())
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        out = np.zeros(len(text), np.int64)
+        a = 0
+        while a < len(text):  # some 4 MB of whole texts at a time
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + 4_000_000, side="right")) - 1)
+            upto = np.concatenate([[0], np.cumsum(point_scores(data[ends[a] : ends[b]]))])
+            out[a:b] = np.diff(upto[ends[a : b + 1] - ends[a]])
+            a = b
+        return pa.array(out, mask=text.is_null().to_numpy(zero_copy_only=False))
+
+    return summed(quality)
+
+
+def point_scores(data: np.ndarray) -> np.ndarray:
+    """What each byte of UTF-8 adds to the sum of code points above ``!``."""
+    out = np.maximum(data.astype(np.int64) - 33, 0)
+    high = np.flatnonzero(data >= 0x80)
+    if len(high):
+        follows = np.concatenate([(data & 0xC0) == 0x80, [False] * 3])
+        after = follows[high + 1].astype(np.int64)
+        after += follows[high + 1] & follows[high + 2]
+        after += follows[high + 1] & follows[high + 2] & follows[high + 3]
+        bits = np.where(follows[high], data[high] & 0x3F, data[high] & (0x3F >> after))
+        out[high] = (bits.astype(np.int64) << 6 * after) - np.where(follows[high], 0, 33)
+    return out
+
+
 def pair_composition(text: Column, classes: dict[str, str]) -> Column:
     """Map of two-letter class pairs to their share; characters without a class are left out."""
     chars = "".join(classes)

@@ -139,10 +139,10 @@ SELECT doc_id, n::INT AS length, round_even(CASE WHEN n > 0 THEN u / n ELSE 0 EN
   concat_ws(';', CASE WHEN n < 20 THEN 'too_short' END, CASE WHEN n > 0 AND u / n > 0.3 THEN 'too_many_unknown' END, CASE WHEN contains(r, 'tion') THEN 'adapter' END, CASE WHEN (CASE WHEN n > 0 THEN q / n ELSE 0 END) < 15 THEN 'low_quality' END) AS reasons FROM s""")
 def read_qualities(t: Tables) -> DataFrame:
     """Documents' letters as reads, each letter 50 places down as its quality."""
-    letters = F.regexp_replace("text", "[^A-Za-z]", "")
     down = "".join(chr(max(33, ord(c) - 50)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-    quality = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", down)
-    out = t.documents.select("doc_id", T.read_quality(letters, quality, ["tion"]).alias("q"))
+    letters = t.documents.select("doc_id", F.regexp_replace("text", "[^A-Za-z]+", "").alias("letters"))
+    quality = F.translate("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", down)
+    out = letters.select("doc_id", T.read_quality(F.col("letters"), quality, ["tion"]).alias("q"))
     return out.select("doc_id", "q.length", F.round("q.unknown", 4).alias("unknown"), F.round("q.mean_quality", 2).alias("mean_quality"), F.array_join("q.reasons", ";").alias("reasons"))
 
 
