@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ragged_take, read_table
+from .common import bound_batches, by_bytes, giving_back, ragged_take, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_TOKENS = 500_000
@@ -203,9 +203,9 @@ def _encoded(docs: DataFrame, vocabulary: str, chunk_tokens: int, digest: bool)
     id_name = {pa.int64(): "bigint", pa.int32(): "int"}.get(id_type, "string")
     docs = docs.select(F.col("doc_id").cast(id_name).alias("doc_id"), "text")
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets, True), "chunk long, bucket int, packed binary")
-    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "chunk long, bucket int, packed binary")
-    texts = docs.mapInArrow(_chunks(id_type, chunk_tokens, buckets, False), f"of_chunk long, doc_id {id_name}, packed binary")
+    words = docs.mapInArrow(giving_back(_chunks(id_type, chunk_tokens, buckets, True)), "chunk long, bucket int, packed binary")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(_encode_words(vocabulary)), "chunk long, bucket int, packed binary")
+    texts = docs.mapInArrow(giving_back(_chunks(id_type, chunk_tokens, buckets, False)), f"of_chunk long, doc_id {id_name}, packed binary")
     return coded.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(_documents(id_type, vocabulary, digest), f"doc_id {id_name}, {DIGESTS if digest else 'ids binary'}")
 
 
@@ -284,4 +284,5 @@ def op5_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What ``digest_documents`` gives for every row of ``docs``: null text has no tokens, repeated rows give repeated results, extra columns of any name are ignored, an empty table gives no rows."""
+    bound_batches(spark)
     return digest_documents(docs)

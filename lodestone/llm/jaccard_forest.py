@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, packed_rows, read_table, with_row_id
+from .common import bound_batches, by_bytes, giving_back, materialise, packed_rows, read_table, with_row_id
 from .components import connected_components, forest, in_units
 from .shingles import mix, overlaps, shingle_sets
 
@@ -84,7 +84,7 @@ def _sketch(words: int):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             cls: list[bytes | None] = []
             labels: list[bytes | None] = []
-            for a, b in by_bytes((len(t) for t in texts), 2_000_000):
+            for a, b in by_bytes((len(t) for t in texts), 500_000):
                 for s in shingle_sets(texts[a:b], words):
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     labels.append((signature(s) & np.uint64(0xFFFF)).astype("<u2").tobytes() if len(s) else None)
@@ -213,7 +213,7 @@ def _verify(words: int, threshold: float):
         blk = table.column("blk").to_numpy()
         texts = table.column("text").to_pylist()
         sets: list[np.ndarray] = []
-        for a, b in by_bytes((len(t) for t in texts), 2_000_000):
+        for a, b in by_bytes((len(t) for t in texts), 500_000):
             sets += shingle_sets(texts[a:b], words)
         size = np.array([len(s) for s in sets], dtype=np.float64)
         both = overlaps(sets).astype(np.float64)
@@ -240,14 +240,14 @@ def _classes(docs: DataFrame, words: int, threshold: float, block: int, longest:
     """(row, doc_id, cls) of all rows, and (cls, n, first_row, class_id, class_row, links) of all classes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = with_row_id(docs.select("doc_id", "text"), "row")
-    rows = numbered.select("row", "doc_id", "text").mapInArrow(_sketch(words), f"row long, doc_id {kind}, cls binary, labels binary")
+    rows = numbered.select("row", "doc_id", "text").mapInArrow(giving_back(_sketch(words)), f"row long, doc_id {kind}, cls binary, labels binary")
     rows = materialise(rows, "sketches")
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"), F.min("doc_id").alias("first_id"), F.min("labels").alias("labels"))
     classes = with_row_id(materialise(classes, "classes"), "id")
     depth = shortest(threshold)
     tries = classes.select("id", "labels").mapInArrow(_tries(depth), "path long, rest long, id long, sample binary")
     least = int(np.ceil(SAMPLE * threshold - 5 * np.sqrt(SAMPLE * threshold * (1 - threshold))))
-    joins = tries.repartition("path").sortWithinPartitions("path", "rest", "id").mapInArrow(_joins(least, longest, depth), "src long, dst long, depth int, agree int")
+    joins = tries.repartition("path").sortWithinPartitions("path", "rest", "id").mapInArrow(giving_back(_joins(least, longest, depth)), "src long, dst long, depth int, agree int")
     joins = materialise(joins, "joins")
     near = connected_components(joins.where(F.col("depth") >= enough(joins, threshold, depth))).withColumnRenamed("node", "id").withColumnRenamed("component", "grp")
     near = materialise(near.join(classes.select("id", "n", "first_row"), "id"), "candidates")
@@ -310,4 +310,5 @@ FROM k JOIN c USING (cls) JOIN m USING (cls) LEFT JOIN d USING (cls)
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each group of near duplicates stays, with all its columns; wordless and null texts stay, of repeated rows one stays, an empty table stays empty."""
+    bound_batches(spark)
     return drop_near_duplicates(docs)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, free_name, read_table
+from .common import bound_batches, by_bytes, free_name, giving_back, read_table
 
 BLANK = 32
 #: The least share of known trigrams of a document that is kept. Held-out documents of sf0.001, sf0.01 and sf0.1 have 0.58 or more, random letters 0.24 or less.
@@ -82,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(set(langs))
         number = {x: i for i, x in enumerate(names)}
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in by_bytes((len(t) for t in texts), 2_000_000):
+        for a, b in by_bytes((len(t) for t in texts), 500_000):
             packed, owner, _ = trigrams(texts[a:b])
             of = np.fromiter((number[x] for x in langs[a:b]), dtype=np.int64, count=b - a)[owner]
             for i in range(len(names)):
@@ -132,7 +132,7 @@ class Filters:
 def train(labelled: DataFrame, min_share: float = 1e-5, min_ratio: float = 0.1, slots: int = 1 << 20, hashes: int = 3) -> Filters | None:
     """Fit on columns ``text`` and ``lang``. What reaches the driver is at most 1 / min_share trigrams a language."""
     rows = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.mapInArrow(_count, "gram long, lang string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(giving_back(_count), "gram long, lang string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     spark = labelled.sparkSession
     # the per-language totals come from the same counts; observing them would need a second pass, so they are summed from the kept table
     from .common import materialise
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, filters: Filters | None, pred: str = "lang_pred", s
             out: list[str] = []
             scores: list[np.ndarray] = []
             covers: list[np.ndarray] = []
-            for a, b in by_bytes((len(t) for t in texts), 2_000_000):
+            for a, b in by_bytes((len(t) for t in texts), 500_000):
                 if model.value is None:
                     p, s, c = ["und"] * (b - a), np.zeros(b - a), np.zeros(b - a)
                 else:
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, filters: Filters | None, pred: str = "lang_pred", s
                 names=[*batch.schema.names, pred, score, cover],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -200,6 +200,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score:
     Repeated rows have one fate, other columns of any name are kept, and
     without a labelled document, or without rows, nothing stays.
     """
+    bound_batches(spark)
     columns = [f"`{c}`" for c in docs.columns]
     filters = train(docs.where(~held_out()))
     pred, score, cover = (free_name(docs.columns, name) for name in ("lang_pred", "score", "cover"))
