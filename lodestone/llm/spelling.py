@@ -13,7 +13,9 @@ A shared string of L letters has at most 1 + (L + 1) * a words, a being the
 letters that a run may have (some 90), so no key is hot whatever the corpus;
 frequent words are summed within tasks first. A word's form has at least
 ``ratio`` times its occurrences, so chains have at most log10 of the corpus's
-length, and each round of joins doubles what has been followed.
+length, and each round of joins doubles what has been followed. All joins are
+of tables without a size bound and never broadcast: Spark sizes the shared
+strings by the packed file of the words they are made of.
 
 Defined cases: null texts have no words; a null id is spelled as '' before the
 colon; repeated rows are documents of their own with the same deletions;
@@ -120,7 +122,7 @@ def near_words(words: DataFrame) -> DataFrame:
     a, b = (keys.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("lo", "hi", "id", "n"))) for side in "ab")
     whole_a, whole_b = F.col("a_lo") < 0, F.col("b_lo") < 0
     replaced = ~whole_a & ~whole_b & (F.greatest("a_lo", "b_lo") <= F.least("a_hi", "b_hi"))
-    met = a.join(b, "key").where((F.col("a_id") != F.col("b_id")) & ((whole_a != whole_b) | replaced))
+    met = a.join(b.hint("merge"), "key").where((F.col("a_id") != F.col("b_id")) & ((whole_a != whole_b) | replaced))
     return met.select(F.col("a_id").alias("id"), F.col("a_n").alias("n"), F.col("b_id").alias("other"), F.col("b_n").alias("other_n"))
 
 
@@ -129,7 +131,7 @@ def roots(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     now = materialise(links.select("id", F.col("form").alias("root")), "spelling-roots")
     for _ in range(rounds):
         ahead = now.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        joined = now.join(ahead, "root", "left").select("id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        joined = now.join(ahead.hint("merge"), "root", "left").select("id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         now = materialise(joined, "spelling-roots")
         if now.where("moved").isEmpty():
             return now.select("id", "root")
@@ -146,8 +148,8 @@ def spelling_groups(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     near = near.select("id", "n_near", F.when(formed, -F.col("best.turned")).alias("form_id"), F.when(formed, F.col("best.form_n")).alias("form_n"))
     near = materialise(near, "spelling-near")
     root = roots(near.where(F.col("form_id").isNotNull()).select("id", F.col("form_id").alias("form"))).select("id", F.col("root").alias("root_id"))
-    named = words.select(F.col("id").alias("name_id"), F.col("word").alias("name"))
-    found = words.join(near, "id", "left").join(root, "id", "left")
+    named = words.select(F.col("id").alias("name_id"), F.col("word").alias("name")).hint("merge")
+    found = words.join(near.hint("merge"), "id", "left").join(root.hint("merge"), "id", "left")
     found = found.join(named.withColumnsRenamed({"name_id": "form_id", "name": "form"}), "form_id", "left").join(named.withColumnsRenamed({"name_id": "root_id", "name": "root"}), "root_id", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 

@@ -242,3 +242,16 @@ def test_queries_equal_their_sql(spark, small_tables, odd_folder, name):
         got = QUERIES[name](spark, folder)
         assert sorted(got.columns) == sorted(names)
         assert Counter(map(tuple, got.select(*names).collect())) == Counter(cursor.fetchall())
+
+
+def test_spelling_broadcasts_no_table(spark, monkeypatch):
+    """Few words on disk are many shared strings, which Spark sizes by the words' file."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    write = spelling.materialise
+    monkeypatch.setattr(spelling, "materialise", lambda df, label: plans.append(plan(df)) or write(df, label))
+    words = spark.createDataFrame([("spelling", 200), ("speling", 20), ("spling", 2), ("other", 5)], "word string, n long")
+    groups = spelling.spelling_groups(words)
+    plans.append(plan(groups))
+    assert {(r.word, r.root, r.n_near) for r in groups.collect()} == {("spelling", "spelling", 1), ("speling", "spelling", 2), ("spling", "spelling", 1), ("other", "other", 0)}
+    assert not [p for p in plans if "Broadcast" in p] and sum("Join" in p for p in plans) >= 3
